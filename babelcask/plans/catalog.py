@@ -10,18 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from babelcask.functions.text import SEPARATOR, prefixed
-from babelcask.operators import bayes, curves, metrics
+from babelcask.operators import bayes, curves, metrics, trainer
 from babelcask.operators.encode import ClassDictionary, dictionary_frame
 from babelcask.operators.features import token_stats
 from babelcask.operators.ranking import bucketed_rank, md5_bucket
 from babelcask.operators.split import assign_split_and_fold, order_key, split_sizes
 from babelcask.plans import cascade, crossval
 from babelcask.plans.cascade import CascadeConfig, Corpus
-from babelcask.sources import tables
+from babelcask.session import cut_lineage
+from babelcask.sources import models, tables, tsv
 
 MAX_TOKENS = 512
 CANDIDATE_ALPHAS = (1, 2, 5)
@@ -49,20 +52,25 @@ def cascade_model(spark, sf_dir) -> cascade.CascadeModel:
 
 
 def cascade_eval_df(spark, sf_dir) -> DataFrame:
-    return cascade.cascade_eval(corpus_of(spark, sf_dir), cascade_model(spark, sf_dir))
+    """Scored test rows, materialised once: every report and curve reads the same scores."""
+    return _memo(spark, sf_dir, "cascade_eval", lambda: cut_lineage(
+        cascade.cascade_eval(corpus_of(spark, sf_dir), cascade_model(spark, sf_dir)), "cascade_eval"))
+
+
+def baseline_model(spark, sf_dir):
+    return _memo(spark, sf_dir, "baseline_model", lambda: cascade.fit_baseline(corpus_of(spark, sf_dir)))
 
 
 def baseline_eval_df(spark, sf_dir) -> DataFrame:
     def build():
-        cp = corpus_of(spark, sf_dir)
-        return cascade.fit_baseline(cp)
-    m, sd = _memo(spark, sf_dir, "baseline_model", build)
-    cp = corpus_of(spark, sf_dir)
-    test = cp.features.where(F.col("split") == "test")
-    s = bayes.score(m, test, id_cols=["doc_id", "label"], out="sent_scores")
-    return s.select("doc_id", "label", sd.decode(bayes.predict_ids("sent_scores")).alias("predicted_label"),
-                    sd.encode("label").alias("label_id"),
-                    bayes.predict_ids("sent_scores").alias("predicted_label_id"), "sent_scores")
+        m, sd = baseline_model(spark, sf_dir)
+        test = corpus_of(spark, sf_dir).features.where(F.col("split") == "test")
+        s = bayes.score(m, test, id_cols=["doc_id", "label"], out="sent_scores")
+        return cut_lineage(s.select(
+            "doc_id", "label", sd.decode(bayes.predict_ids("sent_scores")).alias("predicted_label"),
+            sd.encode("label").alias("label_id"),
+            bayes.predict_ids("sent_scores").alias("predicted_label_id"), "sent_scores"), "baseline_eval")
+    return _memo(spark, sf_dir, "baseline_eval", build)
 
 
 # ---------------------------------------------------------------- sources, corpus
@@ -164,8 +172,7 @@ def q_conditioned_model(spark, sf_dir):
 
 
 def q_baseline_model(spark, sf_dir):
-    baseline_eval_df(spark, sf_dir)
-    m, sd = _MEMO[(spark.sparkContext.applicationId, sf_dir.rstrip("/"), "baseline_model")]
+    m, sd = baseline_model(spark, sf_dir)
     return _model_long(m, sd)
 
 
@@ -258,11 +265,13 @@ def q_cascade_summary(spark, sf_dir):
 # ---------------------------------------------------------------- cross-validation
 
 def cv_baseline_df(spark, sf_dir):
-    return _memo(spark, sf_dir, "cv_baseline", lambda: crossval.cv_baseline(corpus_of(spark, sf_dir)))
+    return _memo(spark, sf_dir, "cv_baseline",
+                 lambda: cut_lineage(crossval.cv_baseline(corpus_of(spark, sf_dir)), "cv_baseline"))
 
 
 def cv_cascade_df(spark, sf_dir):
-    return _memo(spark, sf_dir, "cv_cascade", lambda: crossval.cv_cascade(corpus_of(spark, sf_dir)))
+    return _memo(spark, sf_dir, "cv_cascade",
+                 lambda: cut_lineage(crossval.cv_cascade(corpus_of(spark, sf_dir)), "cv_cascade"))
 
 
 def q_cv_baseline(spark, sf_dir):
@@ -325,7 +334,118 @@ def q_roc_auc_embeddings(spark, sf_dir):
     return curves.roc_auc(_embedding_ovr(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- sources and sinks
+
+def q_tsv_roundtrip(spark, sf_dir):
+    """documents -> tab-separated part files per language -> read back (whole texts)."""
+    path = models.new_folder(spark, "tsv")
+    docs = tables.read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("lang").alias("language"))
+    tsv.write_tsv(docs, path, partition_by="language")
+    back = tsv.read_tsv(spark, path, columns=("doc_id", "text"))
+    ok, _ = tsv.split_rejects(back)
+    return ok.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "language")
+
+
+def _language_files(spark, sf_dir) -> tuple[str, list[str]]:
+    """Corpus written in one pass as one folder of part files per language (``language=<code>``)."""
+    def build():
+        path = models.new_folder(spark, "langfiles")
+        c = tables.corpus(spark, sf_dir)
+        tsv.write_tsv(c.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "label", "language"),
+                      path, partition_by="language")
+        return path, list(ClassDictionary.fit(c, "language").classes)
+    return _memo(spark, sf_dir, "language_files", build)
+
+
+def q_union_languages(spark, sf_dir):
+    """One file set per language, language appended as a constant, positional union, nulls dropped."""
+    path, langs = _language_files(spark, sf_dir)
+    frames = []
+    for lang in langs:   # one read per class: the class list is small and bounded
+        ok, _ = tsv.split_rejects(tsv.read_tsv(spark, f"{path}/language={lang}", columns=("doc_id", "text", "label")))
+        frames.append(ok.withColumn("language", F.lit(lang)))
+    u = tsv.positional_union(frames, ("doc_id", "text", "label", "language"))
+    u = tables.clean_corpus(u)
+    return u.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label", "language")
+
+
+def q_many_file_scan(spark, sf_dir):
+    """All language files in one scan; the language comes from each file's folder name."""
+    path, _ = _language_files(spark, sf_dir)
+    u = tsv.read_language_files(spark, f"{path}/language=*", columns=("doc_id", "text", "label"),
+                                path_pattern=tsv.LANGUAGE_FROM_PARTITION)
+    u = tables.clean_corpus(u)
+    return u.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label", "language")
+
+
+def _baseline_results(spark, sf_dir) -> tuple[str, str]:
+    def build():
+        ev = baseline_eval_df(spark, sf_dir)
+        preds = ev.select("doc_id", "label_id", "predicted_label_id", "label", "predicted_label")
+        wide = metrics.weighted_prf(ev, "label", "predicted_label")
+        return models.write_results(preds, models.metrics_rows(wide), models.new_folder(spark, "results"))
+    return _memo(spark, sf_dir, "baseline_results", build)
+
+
+def q_results_tables(spark, sf_dir):
+    return spark.read.parquet(_baseline_results(spark, sf_dir)[0])
+
+
+def q_results_metrics(spark, sf_dir):
+    return spark.read.parquet(_baseline_results(spark, sf_dir)[1])
+
+
+def q_model_reload_predict(spark, sf_dir):
+    """Save the fitted cascade, load it back (guarded), predict the unlabelled documents."""
+    path = models.save_cascade(cascade_model(spark, sf_dir), models.new_folder(spark, "models"))
+    loaded = models.load_cascade(spark, path)
+    return cascade.predict(loaded, tables.unlabelled_documents(spark, sf_dir))
+
+
+def q_predict_conversations(spark, sf_dir):
+    """Cascade on every conversation turn, keyed by (conv_id, turn)."""
+    conv = tables.read_table(spark, sf_dir, "conversations").select(
+        F.struct("conv_id", "turn").alias("key"), "text")
+    p = cascade.predict(cascade_model(spark, sf_dir), conv, id_col="key")
+    return p.select("key.conv_id", "key.turn", "predicted_language", "predicted_sentiment")
+
+
+# ---------------------------------------------------------------- iterative trainer, user model
+
+def q_lr_train_predict(spark, sf_dir):
+    cp = corpus_of(spark, sf_dir)
+    text = tables.corpus(spark, sf_dir).select("doc_id", "text")
+    docs = cp.docs.join(text, "doc_id")
+    _, scored = trainer.lr_fit_predict(docs.where(F.col("split") == "train"), docs.where(F.col("split") == "test"))
+    return scored.select("doc_id", "label", "predicted_label")
+
+
+def q_user_model_scores(spark, sf_dir):
+    """A user model (nearest centroid, fitted by Spark) run on Arrow batches."""
+    e = tables.read_table(spark, sf_dir, "embeddings").withColumn("x", F.col("embedding").cast("array<double>"))
+    dim = int(e.select(F.max(F.size("x"))).first()[0])
+    # centroids: one row per class, ``dim`` numbers each - a small, bounded table
+    cent = e.groupBy("label").agg(*[F.avg(F.col("x")[i]).alias(f"c{i}") for i in range(dim)]).orderBy("label")
+    rows = cent.collect()
+    labels = [r["label"] for r in rows]
+    matrix = np.array([[r[f"c{i}"] for i in range(dim)] for r in rows])
+    s = trainer.batch_scores(e, "x", trainer.nearest_centroid_fn(matrix), dim)
+    idx = F.array_position(F.col("scores"), F.array_max("scores")) - 1
+    return s.select("vec_id", "label", F.element_at(F.array(*[F.lit(v) for v in labels]), idx.cast("int") + 1)
+                    .alias("predicted_label"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "tsv_roundtrip": q_tsv_roundtrip,
+    "union_languages": q_union_languages,
+    "many_file_scan": q_many_file_scan,
+    "results_tables": q_results_tables,
+    "results_metrics": q_results_metrics,
+    "model_reload_predict": q_model_reload_predict,
+    "predict_conversations": q_predict_conversations,
+    "lr_train_predict": q_lr_train_predict,
+    "user_model_scores": q_user_model_scores,
     "corpus_clean": q_corpus_clean,
     "label_dictionary": q_label_dictionary,
     "label_encode": q_label_encode,

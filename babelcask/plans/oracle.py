@@ -470,4 +470,22 @@ fl AS (
     q["roc_auc"] = _q(ovr + ",\n" + CURVE, ROC_AUC)
     q["roc_points_embeddings"] = _q(_with(EMBED_OVR, CURVE) + ",\n" + ROC_POINTS)
     q["roc_auc_embeddings"] = _q(_with(EMBED_OVR, CURVE), ROC_AUC)
+    q["tsv_roundtrip"] = "SELECT doc_id, text, lang AS language FROM documents"
+    q["union_languages"] = q["corpus_clean"]
+    q["many_file_scan"] = q["corpus_clean"]
+    q["results_tables"] = _q(base, "SELECT doc_id, label_id, predicted_label_id, label, predicted_label FROM bev")
+    q["results_metrics"] = _q(base + ",\n" + metric_ctes("bmx", "bev", "label", "predicted_label") + ",\nw AS ("
+                              + weighted_select("bmx") + ")", """
+SELECT 'accuracy' AS metric, accuracy AS value FROM w UNION ALL SELECT 'precision', precision FROM w
+UNION ALL SELECT 'recall', recall FROM w UNION ALL SELECT 'f1', f1 FROM w""")
+    q["model_reload_predict"] = q["predict"]
+    q["predict_conversations"] = _q(casc + ",\n" + """
+unl AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS doc_id, conv_id, turn, text FROM conversations)
+""".strip() + ",\n" + gram_ctes("uf", "unl") + ",\n" + score_ctes("ul", "lm", "uf", "unl", "langs_k", ["gram"])
+                                    + ",\n" + """
+ustage2 AS (SELECT f.doc_id, f.gram, f.n, p.pred AS language FROM uf f JOIN ul_pred p USING (doc_id))""".strip()
+                                    + ",\n" + score_ctes("us", "sm", "ustage2", "unl", "labels_k",
+                                                         ["language", "gram"]), """
+SELECT u.conv_id, u.turn, lp.pred AS predicted_language, sp.pred AS predicted_sentiment
+FROM unl u JOIN ul_pred lp USING (doc_id) JOIN us_pred sp USING (doc_id)""")
     return q

@@ -15,6 +15,12 @@ from babelcask.functions.text import null_if_na
 
 CORPUS_COLUMNS = ("text", "label", "language")
 
+# language code = name up to the first '_' of the file, or of its folder when
+# the file is a Spark part file
+LANGUAGE_FROM_PATH = r"([^/_]+)_[^/]*(/part-[^/]*)?$"
+# language code from a partition folder written by ``write_tsv(partition_by="language")``
+LANGUAGE_FROM_PARTITION = r"/language=([^/]+)/[^/]*$"
+
 _READ_OPTIONS = {
     "sep": "\t",
     "header": "true",
@@ -61,19 +67,20 @@ def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_language_files(spark: SparkSession, pattern: str, columns=("text", "label"),
-                        language: str | None = None) -> DataFrame:
+                        language: str | None = None, path_pattern: str = LANGUAGE_FROM_PATH) -> DataFrame:
     """Many per-language files in one scan, positional union of all of them.
 
     The language is appended as the last column: a fixed code when given, else
-    the file-name stem before the first ``_`` (``am_train.tsv`` -> ``am``).
+    the name before the first ``_`` of the file (``am_train.tsv`` -> ``am``) or,
+    for a folder of part files, of the folder (``am_train/part-0...`` -> ``am``).
     """
-    df = read_tsv(spark, pattern, columns)
+    df = read_tsv(spark, pattern, columns).select("*", F.col("_metadata.file_path").alias("_path"))
     ok, _ = split_rejects(df)
     if language is not None:
         lang = F.lit(language)
     else:
-        lang = F.regexp_extract(F.input_file_name(), r"([^/]+?)_[^/]*$", 1)
-    return ok.withColumn("language", lang)
+        lang = F.regexp_extract(F.col("_path"), path_pattern, 1)
+    return ok.withColumn("language", lang).drop("_path")
 
 
 def positional_union(frames: list[DataFrame], columns=CORPUS_COLUMNS) -> DataFrame:
