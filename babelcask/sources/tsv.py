@@ -28,7 +28,7 @@ _READ_OPTIONS = {
     "escape": '"',
     "multiLine": "true",
     "encoding": "UTF-8",
-    "mode": "PERMISSIVE",
+    "mode": "PERMISSIVE",   # short rows get nulls, long rows fill ``_extra``
     # keep fields exactly as written: no trimming, no null or NaN guessing
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
@@ -38,31 +38,29 @@ _READ_OPTIONS = {
 }
 
 
-def _string_schema(columns, with_corrupt: bool = True) -> T.StructType:
-    fields = [T.StructField(c, T.StringType(), True) for c in columns]
-    if with_corrupt:
-        fields.append(T.StructField("_corrupt", T.StringType(), True))
-    return T.StructType(fields)
+def _string_schema(columns) -> T.StructType:
+    # one more column than expected: it is set only when a row has too many fields
+    return T.StructType([T.StructField(c, T.StringType(), True) for c in (*columns, "_extra")])
 
 
 def read_tsv(spark: SparkSession, path: str, columns=CORPUS_COLUMNS) -> DataFrame:
     """One tab-separated file (or a glob / directory of them), header row dropped.
 
     Columns are taken by position under the fixed names ``columns``; every
-    field is a string, never inferred.  Rows whose width is not
-    ``len(columns)`` come back with a non-null ``_corrupt`` column (see
-    :func:`split_rejects`) instead of shifting columns.
+    field is a string, never inferred.  A row with too few fields gets nulls
+    in the missing columns (as the reference's reader does; the null rule then
+    drops it).  A row with too many fields sets ``_extra`` and is rejected by
+    :func:`split_rejects` instead of being shifted into the wrong columns.
     """
-    return (spark.read.options(**_READ_OPTIONS)
-            .option("columnNameOfCorruptRecord", "_corrupt")
-            .schema(_string_schema(columns))
-            .csv(path))
+    return spark.read.options(**_READ_OPTIONS).schema(_string_schema(columns)).csv(path)
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of the right width, rejected raw records)."""
-    ok = df.filter(F.col("_corrupt").isNull()).drop("_corrupt")
-    bad = df.filter(F.col("_corrupt").isNotNull()).select(F.col("_corrupt").alias("record"))
+    """(rows of at most the expected width, rejected wider rows with a ``record`` column)."""
+    fields = [c for c in df.columns if c != "_extra"]
+    ok = df.filter(F.col("_extra").isNull()).drop("_extra")
+    bad = df.filter(F.col("_extra").isNotNull()).select(
+        F.concat_ws("\t", *fields, "_extra").alias("record"), *fields)
     return ok, bad
 
 
@@ -74,13 +72,11 @@ def read_language_files(spark: SparkSession, pattern: str, columns=("text", "lab
     the name before the first ``_`` of the file (``am_train.tsv`` -> ``am``) or,
     for a folder of part files, of the folder (``am_train/part-0...`` -> ``am``).
     """
-    df = read_tsv(spark, pattern, columns).select("*", F.col("_metadata.file_path").alias("_path"))
+    df = read_tsv(spark, pattern, columns)
     ok, _ = split_rejects(df)
     if language is not None:
-        lang = F.lit(language)
-    else:
-        lang = F.regexp_extract(F.col("_path"), path_pattern, 1)
-    return ok.withColumn("language", lang).drop("_path")
+        return ok.withColumn("language", F.lit(language))
+    return ok.withColumn("language", F.regexp_extract(F.col("_metadata.file_path"), path_pattern, 1))
 
 
 def positional_union(frames: list[DataFrame], columns=CORPUS_COLUMNS) -> DataFrame:
@@ -103,7 +99,9 @@ def write_tsv(df: DataFrame, path: str, partition_by: str | None = None, mode: s
     w = (df.write.mode(mode)
          .option("sep", "\t").option("header", "true")
          .option("quote", '"').option("escape", '"')
-         .option("quoteAll", "false").option("emptyValue", "")
+         .option("quoteAll", "false")
+         # keep leading and trailing blanks (the writer trims them by default)
+         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
          .option("encoding", "UTF-8"))
     if partition_by:
         w = w.partitionBy(partition_by)
