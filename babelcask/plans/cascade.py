@@ -112,18 +112,80 @@ def fit_baseline(cp: Corpus, train_filter=None) -> tuple[bayes.NaiveBayesModel,
     return m, sd
 
 
+# Largest number of (language, sentiment class) pairs scored in the fused pass.
+MAX_FUSED_PAIRS = 256
+
+
+def fused_table(model: CascadeModel) -> DataFrame:
+    """One row per gram: stage-one scores and, per language, the stage-two scores.
+
+    The stage-two table is keyed by (language, gram); pivoting the language
+    into columns puts both stages on the same key, so one join of the counts
+    feeds both stages.  Extra keys (the fold) are kept.
+    """
+    lang, sent = model.language, model.sentiment
+    extra = [k for k in lang.keys if k != "gram"]
+    langs = model.lang_dict.classes
+    pivot = sent.table.groupBy(*extra, "gram").agg(*[
+        F.first(F.when(F.col("language") == F.lit(l), F.col("scores")), ignorenulls=True).alias(f"_s{i}")
+        for i, l in enumerate(langs)])
+    return (lang.table.withColumnRenamed("scores", "_ls")
+            .join(pivot, [*extra, "gram"], "full_outer"))
+
+
+def _fused_ok(model: CascadeModel) -> bool:
+    pairs = model.lang_dict.size * model.sent_dict.size
+    rows = sum(model.language.vocab.values())
+    size = rows * 8 * (model.lang_dict.size + pairs + 4)
+    return pairs <= MAX_FUSED_PAIRS and size <= bayes.MAX_BROADCAST_BYTES
+
+
 def score_cascade(model: CascadeModel, feats: DataFrame, carry=(), gold_language: bool = False) -> DataFrame:
     """(doc_id, carry..., lang_scores, predicted_language, sent_scores, predicted_label).
 
     ``gold_language=True`` crosses stage two with the true ``language`` column
     (the trainer's own evaluation) instead of the predicted one.
     """
-    ids = ["doc_id", *carry]
-    ls = bayes.score(model.language, feats, id_cols=["doc_id"], out="lang_scores")
+    if gold_language or not _fused_ok(model):
+        return _score_two_pass(model, feats, carry, gold_language)
+    return _score_fused(model, feats, carry)
+
+
+def _score_fused(model: CascadeModel, feats: DataFrame, carry=()) -> DataFrame:
+    """Both stages in one join and one aggregation per document (one read of the counts)."""
+    lang, sent = model.language, model.sentiment
+    kl, ks = model.lang_dict.size, model.sent_dict.size
+    extra = [k for k in lang.keys if k != "gram"]
+    table = F.broadcast(fused_table(model).select(
+        *[F.col(k).alias(f"_m_{k}") for k in (*extra, "gram")], "_ls", *[f"_s{i}" for i in range(kl)]))
+    cond = [F.col(k) == F.col(f"_m_{k}") for k in (*extra, "gram")]
+    ids = ["doc_id", *extra, *carry]
+    n = F.col("n")
+    sums = feats.join(table, cond, "left").groupBy(*ids).agg(
+        *[F.sum(n * F.col("_ls")[k]).alias(f"_l{k}") for k in range(kl)],
+        *[F.sum(n * F.col(f"_s{i}")[k]).alias(f"_t{i}_{k}") for i in range(kl) for k in range(ks)])
+    zero = F.lit(0).cast("bigint")
+    fold = extra[0] if extra else None
+    lang_scores = F.zip_with(lang.prior_column(fold), F.array(*[F.coalesce(F.col(f"_l{k}"), zero) for k in range(kl)]),
+                             lambda a, b: a + b)
+    per_lang = F.array(*[F.array(*[F.coalesce(F.col(f"_t{i}_{k}"), zero) for k in range(ks)]) for i in range(kl)])
+    out = sums.select(*ids, lang_scores.alias("lang_scores"), per_lang.alias("_per_lang"))
+    pred = bayes.predict_ids("lang_scores")
+    out = out.select(*ids, "lang_scores", model.lang_dict.decode(pred).alias("predicted_language"),
+                     F.zip_with(sent.prior_column(fold), F.element_at("_per_lang", pred + 1),
+                                lambda a, b: a + b).alias("sent_scores"))
+    return out.withColumn("predicted_label", model.sent_dict.decode(bayes.predict_ids("sent_scores")))
+
+
+def _score_two_pass(model: CascadeModel, feats: DataFrame, carry=(), gold_language: bool = False) -> DataFrame:
+    """Stage one, then stage two joined back to the counts by document."""
+    extra = [k for k in model.language.keys if k != "gram"]
+    ids = ["doc_id", *extra, *carry]
+    ls = bayes.score(model.language, feats, id_cols=["doc_id", *extra], out="lang_scores")
     ls = ls.withColumn("predicted_language", model.lang_dict.decode(bayes.predict_ids("lang_scores")))
     cross_col = "language" if gold_language else "predicted_language"
     # both sides clustered by doc_id: no shuffle of the count table
-    stage2 = feats.join(ls, "doc_id")
+    stage2 = feats.join(ls.drop(*extra), "doc_id")
     ss = bayes.score(model.sentiment, stage2, key_map={"language": cross_col},
                      id_cols=ids, out="sent_scores", passthrough=["lang_scores", "predicted_language"])
     return ss.withColumn("predicted_label", model.sent_dict.decode(bayes.predict_ids("sent_scores")))

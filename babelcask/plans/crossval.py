@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from babelcask.operators import bayes, metrics
-from babelcask.plans.cascade import Corpus
+from babelcask.plans.cascade import CascadeModel, Corpus, score_cascade
 
 
 def cv_baseline(cp: Corpus) -> DataFrame:
@@ -35,15 +35,9 @@ def cv_cascade(cp: Corpus) -> DataFrame:
     lm = bayes.fit_folds(cp.features, cp.docs, "language", ld.classes, n, keys=("gram",), alpha=cp.config.alpha)
     sm = bayes.fit_folds(cp.features, cp.docs, "label", sd.classes, n, keys=("language", "gram"),
                          alpha=cp.config.alpha)
-    ls = bayes.score(lm, cp.features, id_cols=["doc_id", "fold"], out="lang_scores")
-    ls = ls.select("doc_id", "lang_scores", ld.decode(bayes.predict_ids("lang_scores")).alias("predicted_language"))
-    stage2 = cp.features.join(ls, "doc_id")
-    ss = bayes.score(sm, stage2, key_map={"language": "predicted_language"},
-                     id_cols=["doc_id", "fold", "label", "language"], out="sent_scores",
-                     passthrough=["lang_scores", "predicted_language"])
-    return ss.select("doc_id", "fold", "language", "predicted_language", "label",
-                     sd.decode(bayes.predict_ids("sent_scores")).alias("predicted_label"),
-                     "lang_scores", "sent_scores")
+    s = score_cascade(CascadeModel(lm, sm, ld, sd), cp.features, carry=("label", "language"))
+    return s.select("doc_id", "fold", "language", "predicted_language", "label", "predicted_label",
+                    "lang_scores", "sent_scores")
 
 
 def fold_metrics(preds: DataFrame, y: str = "label", yhat: str = "predicted_label") -> DataFrame:
