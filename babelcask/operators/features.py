@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from babelcask.functions.text import WORD_SPLIT, grams_of, padded, words
+from babelcask.session import work_partitions
 
 GRAM = 3
 
@@ -37,7 +38,7 @@ def doc_grams_array(text, n: int = GRAM):
 
 
 def gram_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple = (),
-                n: int = GRAM, partition: bool = True) -> DataFrame:
+                n: int = GRAM, partition: bool = True, n_parts: int | None = None) -> DataFrame:
     """(id, carry..., gram, n): count of each gram in each document.
 
     A document without any word keeps one row with a null gram and ``n = 0``,
@@ -52,8 +53,7 @@ def gram_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     carry = list(carry)
     src = df.select(id_col, *carry, text_col)
     if partition:
-        n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        src = src.repartition(n_parts, id_col)
+        src = src.repartition(n_parts or work_partitions(df), id_col)
     w = src.select(id_col, *carry, F.explode_outer(F.split(F.lower(F.col(text_col)), WORD_SPLIT)).alias("_w"))
     # empty pieces from leading or trailing blanks are not words (they give a
     # null gram, counted 0), and a document keeps one row even with no word

@@ -30,7 +30,7 @@ from babelcask.operators import bayes
 from babelcask.operators.encode import ClassDictionary
 from babelcask.operators.features import gram_counts
 from babelcask.operators.split import N_FOLDS, SEED, TEST_SIZE, assign_split_and_fold
-from babelcask.session import bucketed_table
+from babelcask.session import bucketed_table, work_partitions
 from babelcask.sources.tables import corpus, unlabelled_documents
 
 
@@ -70,13 +70,16 @@ class Corpus:
 
     def _build(self) -> None:
         c = corpus(self.spark, self.sf_dir)
-        feats = bucketed_table(gram_counts(c, carry=("label", "language")), "doc_id", "feats", partitioned=True)
+        n = work_partitions(c)
+        feats = bucketed_table(gram_counts(c, carry=("label", "language"), n_parts=n), "doc_id", "feats",
+                               partitioned=True, buckets=n)
         # clustered by doc_id already: this distinct needs no shuffle
         narrow = feats.select("doc_id", "label", "language").distinct()
         cfg = self.config
         assigned = assign_split_and_fold(narrow, cfg.stratify_on, test_size=cfg.test_size,
                                          n_folds=cfg.n_folds, seed=cfg.seed)
-        docs = bucketed_table(assigned.select("doc_id", "label", "language", "split", "fold"), "doc_id", "docs")
+        docs = bucketed_table(assigned.select("doc_id", "label", "language", "split", "fold"), "doc_id", "docs",
+                              buckets=n)
         self._docs = docs
         self._feats = feats.join(docs.select("doc_id", "split", "fold"), "doc_id")
 

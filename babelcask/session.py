@@ -58,16 +58,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def bucketed_table(df: DataFrame, key: str, prefix: str = "t", partitioned: bool = False) -> DataFrame:
+def work_partitions(df: DataFrame) -> int:
+    """Partitions for hash-partitioning ``df``'s rows by document.
+
+    As many as the input has scan splits (``spark.sql.files.maxPartitionBytes``
+    each), at least the cluster's default parallelism, at most
+    ``spark.sql.shuffle.partitions``: a 100 TB input gets the configured count,
+    a small one does not get hundreds of near-empty tasks.
+    """
+    spark = df.sparkSession
+    scan = df.rdd.getNumPartitions()
+    return max(1, min(shuffle_partitions(spark), max(spark.sparkContext.defaultParallelism, scan)))
+
+
+def bucketed_table(df: DataFrame, key: str, prefix: str = "t", partitioned: bool = False,
+                   buckets: int | None = None) -> DataFrame:
     """Write ``df`` as a table bucketed by ``key`` in the checkpoint folder; read it back.
 
     Unlike a checkpoint, the table remembers that it is hash-partitioned by
-    ``key`` into ``spark.sql.shuffle.partitions`` buckets, so joins and
-    aggregations on ``key`` read it without a shuffle.  The write is a new
+    ``key`` into ``buckets`` buckets (default ``spark.sql.shuffle.partitions``),
+    so joins and aggregations on ``key`` read it without a shuffle.  The write is a new
     folder per call; nothing is overwritten.
     """
     spark = df.sparkSession
-    n = shuffle_partitions(spark)
+    n = buckets or shuffle_partitions(spark)
     name = f"{prefix}_{uuid.uuid4().hex[:16]}"
     path = checkpoint_dir(spark).rstrip("/") + "/tables/" + name
     # one file per bucket: each task holds exactly one bucket; skip the
