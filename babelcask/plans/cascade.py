@@ -30,7 +30,7 @@ from babelcask.operators import bayes
 from babelcask.operators.encode import ClassDictionary
 from babelcask.operators.features import gram_counts
 from babelcask.operators.split import N_FOLDS, SEED, TEST_SIZE, assign_split_and_fold
-from babelcask.session import bucketed_table, work_partitions
+from babelcask.session import bucketed_table, cut_lineage, work_partitions
 from babelcask.sources.tables import corpus, unlabelled_documents
 
 
@@ -81,7 +81,9 @@ class Corpus:
         docs = bucketed_table(assigned.select("doc_id", "label", "language", "split", "fold"), "doc_id", "docs",
                               buckets=n)
         self._docs = docs
-        self._feats = feats.join(docs.select("doc_id", "split", "fold"), "doc_id")
+        # both tables are bucketed alike: hash the narrow per-document side per
+        # bucket and stream the count table through it - no shuffle, no sort
+        self._feats = feats.join(docs.select("doc_id", "split", "fold").hint("shuffle_hash"), "doc_id")
 
     def dictionary(self, column: str) -> ClassDictionary:
         if column not in self._dicts:
@@ -95,6 +97,7 @@ class CascadeModel:
     sentiment: bayes.NaiveBayesModel
     lang_dict: ClassDictionary
     sent_dict: ClassDictionary
+    _fused: DataFrame | None = field(default=None, repr=False)
 
 
 def fit_cascade(cp: Corpus, train_filter=None) -> CascadeModel:
@@ -126,14 +129,17 @@ def fused_table(model: CascadeModel) -> DataFrame:
     into columns puts both stages on the same key, so one join of the counts
     feeds both stages.  Extra keys (the fold) are kept.
     """
-    lang, sent = model.language, model.sentiment
-    extra = [k for k in lang.keys if k != "gram"]
-    langs = model.lang_dict.classes
-    pivot = sent.table.groupBy(*extra, "gram").agg(*[
-        F.first(F.when(F.col("language") == F.lit(l), F.col("scores")), ignorenulls=True).alias(f"_s{i}")
-        for i, l in enumerate(langs)])
-    return (lang.table.withColumnRenamed("scores", "_ls")
-            .join(pivot, [*extra, "gram"], "full_outer"))
+    if model._fused is None:
+        lang, sent = model.language, model.sentiment
+        extra = [k for k in lang.keys if k != "gram"]
+        langs = model.lang_dict.classes
+        pivot = sent.table.groupBy(*extra, "gram").agg(*[
+            F.first(F.when(F.col("language") == F.lit(l), F.col("scores")), ignorenulls=True).alias(f"_s{i}")
+            for i, l in enumerate(langs)])
+        fused = lang.table.withColumnRenamed("scores", "_ls").join(pivot, [*extra, "gram"], "full_outer")
+        # fitted once, scored many times: materialise (its size is checked before broadcasting)
+        model._fused = cut_lineage(fused, "fused")
+    return model._fused
 
 
 def _fused_ok(model: CascadeModel) -> bool:

@@ -58,17 +58,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of the largest relation ``df`` reads, from the optimiser's statistics (no job)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    largest = 0
+    while leaves.hasNext():
+        largest = max(largest, int(str(leaves.next().stats().sizeInBytes())))
+    return largest
+
+
 def work_partitions(df: DataFrame) -> int:
     """Partitions for hash-partitioning ``df``'s rows by document.
 
-    As many as the input has scan splits (``spark.sql.files.maxPartitionBytes``
-    each), at least the cluster's default parallelism, at most
+    One per ``spark.sql.files.maxPartitionBytes`` of the largest input, at
+    least the cluster's default parallelism, at most
     ``spark.sql.shuffle.partitions``: a 100 TB input gets the configured count,
     a small one does not get hundreds of near-empty tasks.
     """
     spark = df.sparkSession
-    scan = df.rdd.getNumPartitions()
-    return max(1, min(shuffle_partitions(spark), max(spark.sparkContext.defaultParallelism, scan)))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    want = -(-input_bytes(df) // max(split, 1))
+    return max(1, min(shuffle_partitions(spark), max(spark.sparkContext.defaultParallelism, want)))
 
 
 def bucketed_table(df: DataFrame, key: str, prefix: str = "t", partitioned: bool = False,
