@@ -25,6 +25,7 @@ from babelcask.plans import cascade, crossval
 from babelcask.plans.cascade import CascadeConfig, Corpus
 from babelcask.session import cut_lineage
 from babelcask.sources import models, tables, tsv
+from babelcask.streaming.predict_stream import start_prediction_stream
 
 MAX_TOKENS = 512
 CANDIDATE_ALPHAS = (1, 2, 5)
@@ -411,6 +412,17 @@ def q_predict_conversations(spark, sf_dir):
     return p.select("key.conv_id", "key.turn", "predicted_language", "predicted_sentiment")
 
 
+def q_predict_stream(spark, sf_dir):
+    """The unlabelled documents as a file stream, scored batch by batch with the fitted cascade."""
+    base = models.new_folder(spark, "stream")
+    docs = tables.unlabelled_documents(spark, sf_dir)
+    docs.write.parquet(f"{base}/in")
+    q = start_prediction_stream(spark, cascade_model(spark, sf_dir), f"{base}/in", f"{base}/out",
+                                f"{base}/checkpoint", schema=docs.schema)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 # ---------------------------------------------------------------- iterative trainer, user model
 
 def q_lr_train_predict(spark, sf_dir):
@@ -444,6 +456,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "results_metrics": q_results_metrics,
     "model_reload_predict": q_model_reload_predict,
     "predict_conversations": q_predict_conversations,
+    "predict_stream": q_predict_stream,
     "lr_train_predict": q_lr_train_predict,
     "user_model_scores": q_user_model_scores,
     "corpus_clean": q_corpus_clean,

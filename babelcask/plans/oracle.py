@@ -479,6 +479,7 @@ fl AS (
 SELECT 'accuracy' AS metric, accuracy AS value FROM w UNION ALL SELECT 'precision', precision FROM w
 UNION ALL SELECT 'recall', recall FROM w UNION ALL SELECT 'f1', f1 FROM w""")
     q["model_reload_predict"] = q["predict"]
+    q["predict_stream"] = q["predict"]
     q["predict_conversations"] = _q(casc + ",\n" + """
 unl AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS doc_id, conv_id, turn, text FROM conversations)
 """.strip() + ",\n" + gram_ctes("uf", "unl") + ",\n" + score_ctes("ul", "lm", "uf", "unl", "langs_k", ["gram"])
