@@ -111,27 +111,62 @@ class NaiveBayesCounts:
         return m, list(alphas)
 
 
+def _finish_counts(counts: DataFrame, classes: tuple, keys: tuple, docs: DataFrame,
+                   class_col: str) -> NaiveBayesCounts:
+    """Materialise a (keys..., c0..) table; add its totals and the class priors."""
+    spark = counts.sparkSession
+    counts = cut_lineage(counts, "nbcounts")
+    tot = counts.agg(F.count(F.lit(1)).alias("v"),
+                     *[F.sum(f"c{i}").alias(f"n{i}") for i in range(len(classes))]).first()
+    v = int(tot["v"])
+    n_class = tuple(int(tot[f"n{i}"] or 0) for i in range(len(classes)))
+    doc_rows = {r[0]: int(r[1]) for r in docs.groupBy(class_col).agg(F.count(F.lit(1))).collect()}
+    n_docs = sum(doc_rows.values())
+    priors = tuple(_ln_micro_many(spark, [(doc_rows.get(c, 0), n_docs) for c in classes]))
+    return NaiveBayesCounts(classes, keys, counts, v, n_class, priors)
+
+
 def count(features: DataFrame, docs: DataFrame, class_col: str, classes, keys=("gram",)) -> NaiveBayesCounts:
     """Counts per key and class on training rows, materialised once.
 
     ``features``: (doc_id, keys..., class, n); ``docs``: one row per training
-    document with its class (for the priors).
+    document with its class (for the priors).  This is the one pass over the
+    large count table; models with coarser keys derive from its result.
     """
     classes = tuple(classes)
     keys = tuple(keys)
-    spark = features.sparkSession
     feats = features.where(F.col("gram").isNotNull())
     counts = feats.groupBy(*keys).agg(*[_class_sum(class_col, "n")(c).alias(f"c{i}")
                                         for i, c in enumerate(classes)])
-    counts = cut_lineage(counts, "nbcounts")
-    tot = counts.agg(F.count(F.lit(1)).alias("v"),
-                     *[F.sum(f"c{i}").alias(f"n{i}") for i in range(len(classes))]).first()
-    v = int(tot["v"])
-    n_class = tuple(int(tot[f"n{i}"] or 0) for i in range(len(classes)))
-    doc_rows = {r[0]: int(r[1]) for r in docs.groupBy(class_col).agg(F.count(F.lit(1))).collect()}
-    n_docs = sum(doc_rows.values())
-    priors = tuple(_ln_micro_many(spark, [(doc_rows.get(c, 0), n_docs) for c in classes]))
-    return NaiveBayesCounts(classes, keys, counts, v, n_class, priors)
+    return _finish_counts(counts, classes, keys, docs, class_col)
+
+
+def _row_total(k: int, fold: int | None = None) -> Column:
+    name = (lambda i: f"c{i}") if fold is None else (lambda i: f"c{fold}_{i}")
+    return sum((F.coalesce(F.col(name(i)), F.lit(0)) for i in range(k)), F.lit(0))
+
+
+def count_by_key(src: NaiveBayesCounts, key: str, key_classes, docs: DataFrame,
+                 class_col: str | None = None) -> NaiveBayesCounts:
+    """Counts whose classes are the values of one of ``src``'s keys.
+
+    (gram -> language) counts are the row sums of ((language, gram) -> label)
+    counts: one aggregation over the fitted table (vocabulary-sized) instead
+    of another pass over every (document, gram) row.
+    """
+    key_classes = tuple(key_classes)
+    keys = tuple(k for k in src.keys if k != key)
+    total = _row_total(len(src.classes))
+    counts = src.counts.groupBy(*keys).agg(*[
+        F.sum(F.when(F.col(key) == F.lit(v), total)).alias(f"c{j}") for j, v in enumerate(key_classes)])
+    return _finish_counts(counts, key_classes, keys, docs, class_col or key)
+
+
+def count_marginal(src: NaiveBayesCounts, drop_key: str, docs: DataFrame, class_col: str) -> NaiveBayesCounts:
+    """Same classes, one key summed out: (gram -> label) from ((language, gram) -> label)."""
+    keys = tuple(k for k in src.keys if k != drop_key)
+    counts = src.counts.groupBy(*keys).agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(src.classes))])
+    return _finish_counts(counts, src.classes, keys, docs, class_col)
 
 
 def fit(features: DataFrame, docs: DataFrame, class_col: str, classes, keys=("gram",),
@@ -140,21 +175,44 @@ def fit(features: DataFrame, docs: DataFrame, class_col: str, classes, keys=("gr
     return count(features, docs, class_col, classes, keys).model(alpha)
 
 
-def fit_folds(features: DataFrame, docs: DataFrame, class_col: str, classes, n_folds: int,
-              fold_col: str = "fold", keys=("gram",), alpha: int | float = 1) -> NaiveBayesModel:
-    """All fold models in one pass: model of fold f is fitted on every other fold.
+@dataclass
+class FoldCounts:
+    """Counts per key, fold and class (``c{fold}_{class}``), materialised."""
+    classes: tuple[str, ...]
+    keys: tuple[str, ...]
+    counts: DataFrame
+    n_folds: int
+    fold_col: str = "fold"
 
-    The returned table has ``fold_col`` among its keys; a key whose training
-    count in fold f is zero is not in that fold's vocabulary.
-    """
+
+def fold_counts(features: DataFrame, class_col: str, classes, n_folds: int, fold_col: str = "fold",
+                keys=("gram",)) -> FoldCounts:
+    """One pass over all rows: counts of every fold side by side."""
     classes = tuple(classes)
     keys = tuple(keys)
-    spark = features.sparkSession
-    K = len(classes)
     feats = features.where(F.col("gram").isNotNull())
     aggs = [_class_sum(class_col, "n", fold_col, f)(c).alias(f"c{f}_{i}")
             for f in range(n_folds) for i, c in enumerate(classes)]
-    counts = cut_lineage(feats.groupBy(*keys).agg(*aggs), "nbfolds")
+    return FoldCounts(classes, keys, cut_lineage(feats.groupBy(*keys).agg(*aggs), "nbfolds"), n_folds, fold_col)
+
+
+def fold_counts_by_key(src: FoldCounts, key: str, key_classes) -> FoldCounts:
+    """Fold counts whose classes are the values of one of ``src``'s keys (row sums per fold)."""
+    key_classes = tuple(key_classes)
+    keys = tuple(k for k in src.keys if k != key)
+    k = len(src.classes)
+    aggs = [F.sum(F.when(F.col(key) == F.lit(v), _row_total(k, f))).alias(f"c{f}_{j}")
+            for f in range(src.n_folds) for j, v in enumerate(key_classes)]
+    return FoldCounts(key_classes, keys, cut_lineage(src.counts.groupBy(*keys).agg(*aggs), "nbfolds"),
+                      src.n_folds, src.fold_col)
+
+
+def fold_model(fc: FoldCounts, docs: DataFrame, class_col: str, alpha: int | float = 1) -> NaiveBayesModel:
+    """Model of fold f = all counts minus fold f; a key whose training count in
+    fold f is zero is not in that fold's vocabulary."""
+    classes, keys, n_folds, fold_col = fc.classes, fc.keys, fc.n_folds, fc.fold_col
+    spark = fc.counts.sparkSession
+    K = len(classes)
 
     def coalesced(f, i):
         return F.coalesce(F.col(f"c{f}_{i}"), F.lit(0))
@@ -163,7 +221,7 @@ def fit_folds(features: DataFrame, docs: DataFrame, class_col: str, classes, n_f
     for f in range(n_folds):
         train = [sum((coalesced(g, i) for g in range(n_folds) if g != f), F.lit(0)) for i in range(K)]
         per_fold.append(F.struct(F.lit(f).alias(fold_col), F.array(*train).alias("cnt")))
-    long = (counts.select(*keys, F.explode(F.array(*per_fold)).alias("_p"))
+    long = (fc.counts.select(*keys, F.explode(F.array(*per_fold)).alias("_p"))
             .select(*keys, F.col(f"_p.{fold_col}").alias(fold_col), F.col("_p.cnt").alias("cnt"))
             .where(F.aggregate("cnt", F.lit(0).cast("long"), lambda a, x: a + x) > 0))
     tot_rows = long.groupBy(fold_col).agg(
@@ -191,6 +249,12 @@ def fit_folds(features: DataFrame, docs: DataFrame, class_col: str, classes, n_f
     return NaiveBayesModel(classes, (*keys, fold_col), table, vocab, priors, fold_col)
 
 
+def fit_folds(features: DataFrame, docs: DataFrame, class_col: str, classes, n_folds: int,
+              fold_col: str = "fold", keys=("gram",), alpha: int | float = 1) -> NaiveBayesModel:
+    """All fold models in one pass: model of fold f is fitted on every other fold."""
+    return fold_model(fold_counts(features, class_col, classes, n_folds, fold_col, keys), docs, class_col, alpha)
+
+
 def score(model: NaiveBayesModel, features: DataFrame, key_map: dict[str, str] | None = None,
           id_cols=("doc_id",), out: str = "scores", fold=None, passthrough=()) -> DataFrame:
     """(id_cols..., out array<bigint>): prior plus gram evidence for every document.

@@ -98,6 +98,7 @@ class CascadeModel:
     lang_dict: ClassDictionary
     sent_dict: ClassDictionary
     _fused: DataFrame | None = field(default=None, repr=False)
+    sent_counts: bayes.NaiveBayesCounts | None = field(default=None, repr=False)
 
 
 def fit_cascade(cp: Corpus, train_filter=None) -> CascadeModel:
@@ -105,17 +106,25 @@ def fit_cascade(cp: Corpus, train_filter=None) -> CascadeModel:
     f = cp.features.where(train_filter)
     d = cp.docs.where(train_filter)
     ld, sd = cp.dictionary("language"), cp.dictionary("label")
-    lang = bayes.fit(f, d, "language", ld.classes, keys=("gram",), alpha=cp.config.alpha)
-    sent = bayes.fit(f, d, "label", sd.classes, keys=("language", "gram"), alpha=cp.config.alpha)
-    return CascadeModel(lang, sent, ld, sd)
+    # one pass over the count table for ((language, gram) -> label); the
+    # language model's (gram -> language) counts are its row sums
+    sent_counts = bayes.count(f, d, "label", sd.classes, keys=("language", "gram"))
+    lang_counts = bayes.count_by_key(sent_counts, "language", ld.classes, d)
+    return CascadeModel(lang_counts.model(cp.config.alpha), sent_counts.model(cp.config.alpha), ld, sd,
+                        sent_counts=sent_counts)
 
 
-def fit_baseline(cp: Corpus, train_filter=None) -> tuple[bayes.NaiveBayesModel, ClassDictionary]:
+def fit_baseline(cp: Corpus, train_filter=None,
+                 cascade_model: CascadeModel | None = None) -> tuple[bayes.NaiveBayesModel, ClassDictionary]:
+    """Sentiment from raw text; from a fitted cascade's counts (language summed out) when given."""
     train_filter = train_filter if train_filter is not None else (F.col("split") == "train")
     sd = cp.dictionary("label")
-    m = bayes.fit(cp.features.where(train_filter), cp.docs.where(train_filter), "label", sd.classes,
-                  keys=("gram",), alpha=cp.config.alpha)
-    return m, sd
+    docs = cp.docs.where(train_filter)
+    if cascade_model is not None and cascade_model.sent_counts is not None:
+        counts = bayes.count_marginal(cascade_model.sent_counts, "language", docs, "label")
+    else:
+        counts = bayes.count(cp.features.where(train_filter), docs, "label", sd.classes, keys=("gram",))
+    return counts.model(cp.config.alpha), sd
 
 
 # Largest number of (language, sentiment class) pairs scored in the fused pass.

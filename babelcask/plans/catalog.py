@@ -59,7 +59,8 @@ def cascade_eval_df(spark, sf_dir) -> DataFrame:
 
 
 def baseline_model(spark, sf_dir):
-    return _memo(spark, sf_dir, "baseline_model", lambda: cascade.fit_baseline(corpus_of(spark, sf_dir)))
+    return _memo(spark, sf_dir, "baseline_model", lambda: cascade.fit_baseline(
+        corpus_of(spark, sf_dir), cascade_model=cascade_model(spark, sf_dir)))
 
 
 def baseline_eval_df(spark, sf_dir) -> DataFrame:

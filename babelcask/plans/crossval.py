@@ -32,9 +32,11 @@ def cv_cascade(cp: Corpus) -> DataFrame:
     """Out-of-fold cascade: language, then sentiment crossed with the predicted language."""
     ld, sd = cp.dictionary("language"), cp.dictionary("label")
     n = cp.config.n_folds
-    lm = bayes.fit_folds(cp.features, cp.docs, "language", ld.classes, n, keys=("gram",), alpha=cp.config.alpha)
-    sm = bayes.fit_folds(cp.features, cp.docs, "label", sd.classes, n, keys=("language", "gram"),
-                         alpha=cp.config.alpha)
+    # one pass over the count table; the language fold counts are row sums of the sentiment ones
+    sc = bayes.fold_counts(cp.features, "label", sd.classes, n, keys=("language", "gram"))
+    lc = bayes.fold_counts_by_key(sc, "language", ld.classes)
+    lm = bayes.fold_model(lc, cp.docs, "language", cp.config.alpha)
+    sm = bayes.fold_model(sc, cp.docs, "label", cp.config.alpha)
     s = score_cascade(CascadeModel(lm, sm, ld, sd), cp.features, carry=("label", "language"))
     return s.select("doc_id", "fold", "language", "predicted_language", "label", "predicted_label",
                     "lang_scores", "sent_scores")
