@@ -7,9 +7,10 @@ order.  A point is kept when the step to it differs from the step after it
 origin is added with a null threshold.  The area is the trapezoid sum, equal
 to the Mann-Whitney count: ``sum(neg * (tp_cum - pos / 2)) / (P * N)``.
 
-The running sums use the bucketed helper, so a class holding most rows is
-spread over many tasks; the neighbour of each point comes from an equi-join on
-(class, index + 1), not from a window over the whole class.
+The running sums run over range partitions of (class, score), so a class
+holding most rows is spread over many tasks of about equal size whatever the
+distribution of its scores; the neighbour of each point comes from an
+equi-join on (class, index + 1), not from a window over the whole class.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from babelcask.functions.scores import margin
-from babelcask.operators.ranking import bucketed_running_sums, score_bucket
+from babelcask.operators.ranking import range_running_sums
 
 DIGITS = 6
 
@@ -38,9 +39,9 @@ def one_vs_rest(df: DataFrame, scores: str, y: str, k: int, use_margin: bool = T
 def merged_points(ovr: DataFrame) -> DataFrame:
     """(class, score, p, ng, tp, fp, idx): one row per distinct score, cumulative counts."""
     merged = ovr.groupBy("class", "score").agg(F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("ng"))
-    return bucketed_running_sums(
-        merged, ["class"], [F.col("score").desc()], score_bucket("score", descending=True),
-        {"tp": F.col("p"), "fp": F.col("ng"), "idx": F.lit(1).cast("long")})
+    return range_running_sums(
+        merged, ["class"], [F.col("score").desc()],
+        {"tp": F.col("p"), "fp": F.col("ng"), "idx": F.lit(1).cast("long")}, prefix="roc")
 
 
 def class_totals(ovr: DataFrame) -> DataFrame:

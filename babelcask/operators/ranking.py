@@ -5,6 +5,11 @@ with a handful of classes, one of them may hold a third of all rows.  Here
 each group is cut into ordered buckets by a monotone bucket expression.  The
 window runs per (group, bucket); a small table of per-bucket totals, prefix
 summed, supplies the offset of each bucket.  Result equals the plain window.
+
+Two kinds of bucket: a hash prefix (uniform by construction, for orders on an
+md5 digest), and range partitions (``range_running_sums``) for orders on
+values of unknown distribution, such as scores, where any fixed value scale
+could put most rows in a few buckets.
 """
 
 from __future__ import annotations
@@ -12,10 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from babelcask.session import cut_lineage, shuffle_partitions
+
 # Buckets of the 16-bit prefix of an md5 hex digest: 65,536 per group.
 MD5_BUCKETS = 1 << 16
-# Score buckets per unit of signed log1p(|score|) (see ``score_bucket``).
-SCORE_BUCKETS_PER_UNIT = 64
 
 
 def md5_bucket(hex_digest) -> Column:
@@ -24,19 +29,6 @@ def md5_bucket(hex_digest) -> Column:
     return F.conv(F.substring(h, 1, 4), 16, 10).cast("int")
 
 
-def score_bucket(score, descending: bool = True) -> Column:
-    """Monotone bucket of a numeric score, spread over its whole range.
-
-    ``sign(x) * ln(1 + |x|)`` compresses both tails so that scores of very
-    different magnitudes (micro-nat sums, logits) still fall in many buckets.
-    """
-    s = (F.col(score) if isinstance(score, str) else score).cast("double")
-    t = F.signum(s) * F.log1p(F.abs(s))
-    if descending:
-        t = -t
-    return F.floor(t * F.lit(float(SCORE_BUCKETS_PER_UNIT))).cast("long")
-
-
 def bucketed_running_sums(df: DataFrame, group_cols: list[str], order_cols: list[Column],
                           bucket: Column, sums: dict[str, Column],
                           broadcast_offsets: bool = True) -> DataFrame:
@@ -44,7 +36,8 @@ def bucketed_running_sums(df: DataFrame, group_cols: list[str], order_cols: list
 
     ``order_cols`` must give a total order inside each group and ``bucket``
     must never decrease along it.  ``broadcast_offsets`` may be set only when
-    groups x buckets is known to be small (it is: classes x 65,536 at most).
+    groups x buckets is known to be small (it is: classes x 65,536 at most for
+    md5 buckets, partitions + groups for range buckets).
     """
     b = "_bkt"
     d = df.withColumn(b, bucket)
@@ -71,3 +64,23 @@ def bucketed_rank(df: DataFrame, group_cols: list[str], order_cols: list[Column]
                   out: str = "rank") -> DataFrame:
     """Exact ``row_number()`` within each group, computed per bucket."""
     return bucketed_running_sums(df, group_cols, order_cols, bucket, {out: F.lit(1).cast("long")})
+
+
+def range_running_sums(df: DataFrame, group_cols: list[str], order_cols: list[Column],
+                       sums: dict[str, Column], n_parts: int | None = None,
+                       prefix: str = "ranged") -> DataFrame:
+    """``bucketed_running_sums`` with range partitions as the buckets.
+
+    The rows are range-partitioned on (group, order): the boundaries come from
+    a sample of the keys, so each partition holds about the same number of
+    rows whatever the distribution of the values, and partition numbers rise
+    with the order, so the partition number is a monotone bucket.  The
+    assignment is written once to the checkpoint folder, so the local sums and
+    the bucket offsets read the same buckets even if a stage is recomputed.
+    The offsets table has at most partitions + groups rows.
+    """
+    n = n_parts or shuffle_partitions(df.sparkSession)
+    d = df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order_cols)
+    d = cut_lineage(d.withColumn("_range_bkt", F.spark_partition_id()), prefix)
+    out = bucketed_running_sums(d, group_cols, order_cols, F.col("_range_bkt"), sums)
+    return out.drop("_range_bkt")

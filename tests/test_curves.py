@@ -60,3 +60,23 @@ def test_two_classes_one_vs_rest(spark):
     assert ovr.count() == 6
     r = {x["class"]: x["auc"] for x in curves.roc_auc(ovr).collect()}
     assert r[0] == 1.0 and r[1] == 1.0
+
+
+def test_range_running_sums_equal_window_on_clustered_scores(spark):
+    """Scores packed in a narrow range (where a fixed value scale gives one bucket) stay exact and spread."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from babelcask.operators.ranking import range_running_sums
+    rng = np.random.default_rng(11)
+    rows = [(int(c), float(0.5 + rng.random() * 1e-6), int(rng.integers(0, 3))) for c in rng.integers(0, 2, 3000)]
+    df = spark.createDataFrame(rows, "class int, score double, p long").groupBy("class", "score").agg(
+        F.sum("p").alias("p"))
+    got = range_running_sums(df, ["class"], [F.col("score").desc()], {"tp": F.col("p")}, n_parts=16)
+    w = Window.partitionBy("class").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumn("tp", F.sum("p").over(w))
+    assert {tuple(r) for r in got.select("class", "score", "tp").collect()} == \
+        {tuple(r) for r in want.select("class", "score", "tp").collect()}
+    # every range partition holds a share of the rows: no bucket takes the whole class
+    sizes = df.repartitionByRange(16, "class", F.col("score").desc()).groupBy(F.spark_partition_id()).count()
+    assert sizes.agg(F.max("count")).first()[0] < df.count() / 4
