@@ -25,7 +25,7 @@ from babelcask.plans import cascade, crossval
 from babelcask.plans.cascade import CascadeConfig, Corpus
 from babelcask.session import cut_lineage
 from babelcask.sources import models, tables, tsv
-from babelcask.streaming.predict_stream import start_prediction_stream
+from babelcask.streaming.predict_stream import read_predictions, start_prediction_stream
 
 MAX_TOKENS = 512
 CANDIDATE_ALPHAS = (1, 2, 5)
@@ -421,7 +421,7 @@ def q_predict_stream(spark, sf_dir):
     q = start_prediction_stream(spark, cascade_model(spark, sf_dir), f"{base}/in", f"{base}/out",
                                 f"{base}/checkpoint", schema=docs.schema)
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return read_predictions(spark, f"{base}/out").select("doc_id", "predicted_language", "predicted_sentiment")
 
 
 # ---------------------------------------------------------------- iterative trainer, user model

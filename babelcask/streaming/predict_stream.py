@@ -4,9 +4,11 @@ Scoring is stateless per document, but it groups the (document, gram) rows
 of each document back together; on a stream that grouping would need state.
 Each micro-batch is a bounded DataFrame, so the batch plan runs inside
 ``foreachBatch`` with the fitted model as a static side, and the results are
-appended to a parquet sink.  The stream's checkpoint records which input
-files are done, so a restarted query neither loses nor repeats a batch
-(parquet appends of a batch id are idempotent only with the checkpoint).
+written to a parquet sink.  The stream's checkpoint logs the input files of
+each batch id before the batch runs, so a batch replayed after a failure has
+the same input; each batch overwrites its own folder ``batch_id=<id>``, so a
+replay replaces a partial or finished earlier attempt instead of adding its
+rows a second time.  The sink is read as one table (``read_predictions``).
 """
 
 from __future__ import annotations
@@ -29,8 +31,13 @@ def start_prediction_stream(spark: SparkSession, model: CascadeModel, source_dir
     stream = reader.parquet(source_dir)
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        predict(model, batch).write.mode("append").parquet(sink_dir)
+        predict(model, batch).write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
+
+
+def read_predictions(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """Every batch of the sink: (doc_id, predicted_language, predicted_sentiment, batch_id)."""
+    return spark.read.parquet(sink_dir)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from babelcask.plans import catalog, cascade
 from babelcask.sources import models
-from babelcask.streaming.predict_stream import DOC_SCHEMA, start_prediction_stream
+from babelcask.streaming.predict_stream import DOC_SCHEMA, read_predictions, start_prediction_stream
 from conftest import SMALL
 
 
@@ -44,6 +44,14 @@ def test_stream_equals_batch(spark, scratch):
     q = start_prediction_stream(spark, m, f"{scratch}/in", f"{scratch}/out", f"{scratch}/ckpt",
                                 max_files_per_trigger=1)
     q.awaitTermination(300)
-    got = sorted(tuple(r) for r in spark.read.parquet(f"{scratch}/out").collect())
+    out = read_predictions(spark, f"{scratch}/out")
+    cols = ["doc_id", "predicted_language", "predicted_sentiment"]
+    got = sorted(tuple(r) for r in out.select(cols).collect())
     want = sorted(tuple(r) for r in cascade.predict(m, docs).collect())
     assert got == want
+    assert out.select("batch_id").distinct().count() == 3   # one folder per micro-batch
+    # a restart from the same checkpoint finds every batch done: nothing is added
+    q = start_prediction_stream(spark, m, f"{scratch}/in", f"{scratch}/out", f"{scratch}/ckpt",
+                                max_files_per_trigger=1)
+    q.awaitTermination(300)
+    assert sorted(tuple(r) for r in read_predictions(spark, f"{scratch}/out").select(cols).collect()) == want
