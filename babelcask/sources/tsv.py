@@ -43,16 +43,28 @@ def _string_schema(columns) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in (*columns, "_extra")])
 
 
-def read_tsv(spark: SparkSession, path: str, columns=CORPUS_COLUMNS) -> DataFrame:
+# Largest part file the sink writes: a file with quoted line breaks is read by
+# one task (it cannot be split), so no file may grow with the data.
+MAX_RECORDS_PER_FILE = 1_000_000
+
+
+def read_tsv(spark: SparkSession, path: str, columns=CORPUS_COLUMNS, multi_line: bool = True) -> DataFrame:
     """One tab-separated file (or a glob / directory of them), header row dropped.
 
+    ``multi_line`` keeps quoted line breaks inside a field; such a file is read
+    by one task, so large inputs should come as many files (the sink writes
+    files of at most ``MAX_RECORDS_PER_FILE`` rows).  Files known to hold no
+    line break inside a field can pass ``multi_line=False``: they are split
+    into blocks and read by many tasks.
+
     Columns are taken by position under the fixed names ``columns``; every
     field is a string, never inferred.  A row with too few fields gets nulls
     in the missing columns (as the reference's reader does; the null rule then
     drops it).  A row with too many fields sets ``_extra`` and is rejected by
     :func:`split_rejects` instead of being shifted into the wrong columns.
     """
-    return spark.read.options(**_READ_OPTIONS).schema(_string_schema(columns)).csv(path)
+    opts = dict(_READ_OPTIONS, multiLine="true" if multi_line else "false")
+    return spark.read.options(**opts).schema(_string_schema(columns)).csv(path)
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,14 +107,19 @@ def normalise_nulls(df: DataFrame, columns=CORPUS_COLUMNS) -> DataFrame:
 
 
 def write_tsv(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> None:
-    """Tab-separated part files with a header row and minimal quoting."""
+    """Tab-separated part files with a header row and minimal quoting.
+
+    Each task writes its own files (per ``partition_by`` value): no shuffle, so
+    a language holding a third of all rows is still written by every task.
+    """
     w = (df.write.mode(mode)
          .option("sep", "\t").option("header", "true")
          .option("quote", '"').option("escape", '"')
          .option("quoteAll", "false")
          # keep leading and trailing blanks (the writer trims them by default)
          .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
-         .option("encoding", "UTF-8"))
+         .option("encoding", "UTF-8")
+         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE))
     if partition_by:
         w = w.partitionBy(partition_by)
     w.csv(path)

@@ -70,3 +70,12 @@ def test_write_read_roundtrip(spark, scratch):
     tsv.write_tsv(df, out, partition_by="language")
     back, _ = tsv.split_rejects(tsv.read_tsv(spark, out, columns=("doc_id", "text")))
     assert sorted(tuple(r) for r in back.select("doc_id", "text", "language").collect()) == sorted(rows)
+
+
+def test_single_line_read_equals_multi_line_without_breaks(spark, scratch):
+    df = spark.createDataFrame([(str(i), f'text {i} with "q"', "positive") for i in range(50)],
+                               "doc_id string, text string, label string")
+    tsv.write_tsv(df, f"{scratch}/flat")
+    a = tsv.read_tsv(spark, f"{scratch}/flat", columns=("doc_id", "text", "label"))
+    b = tsv.read_tsv(spark, f"{scratch}/flat", columns=("doc_id", "text", "label"), multi_line=False)
+    assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
