@@ -22,13 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from babelcask.functions.scores import argmax, micro_log
-from babelcask.session import cut_lineage
+from babelcask.session import cut_lineage, shuffle_partitions
 
 # Largest fitted table that is broadcast to every task: the exact row count
 # is known after fitting, so the broadcast is behind a size check.
 MAX_BROADCAST_BYTES = 128 << 20
-# Salt used for the shuffle join when the table is larger than that.
-JOIN_SALT = 16
 
 
 @dataclass
@@ -255,13 +253,54 @@ def fit_folds(features: DataFrame, docs: DataFrame, class_col: str, classes, n_f
     return fold_model(fold_counts(features, class_col, classes, n_folds, fold_col, keys), docs, class_col, alpha)
 
 
+def hot_keys(features: DataFrame, key_cols: list, n_parts: int) -> DataFrame:
+    """Join keys holding more than 1/``n_parts`` of the rows, as a table (``_hk0``...).
+
+    One aggregation, pre-aggregated map-side, materialised (vocabulary-sized);
+    at most ``n_parts`` keys can pass the threshold, so the result has a
+    proven bound and may be broadcast.
+    """
+    agg = cut_lineage(features.groupBy(*[c.alias(f"_hk{i}") for i, c in enumerate(key_cols)])
+                      .agg(F.count(F.lit(1)).alias("_rows")), "hotkeys")
+    total = agg.agg(F.sum("_rows")).first()[0] or 0
+    return agg.where(F.col("_rows") * F.lit(n_parts) > F.lit(total)).drop("_rows")
+
+
+def _salt_hot_keys(feats: DataFrame, m: DataFrame, cond_pairs, id_col: str):
+    """Spread each hot key over all shuffle partitions; other keys keep salt 0.
+
+    Only the few hot rows of the fitted table are repeated (once per salt);
+    a feature row of a hot key takes the salt from its document's hash.
+    """
+    n = shuffle_partitions(feats.sparkSession)
+    hot = F.broadcast(hot_keys(feats, [fc for fc, _ in cond_pairs], n).withColumn("_hot", F.lit(True)))
+    hk = [f"_hk{i}" for i in range(len(cond_pairs))]
+    f_on = [fc == F.col(h) for (fc, _), h in zip(cond_pairs, hk)]
+    feats = (feats.join(hot, f_on, "left")
+             .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)))
+                         .otherwise(F.lit(0)).cast("int"))
+             .drop(*hk, "_hot"))
+    m_on = [F.col(mc) == F.col(h) for (_, mc), h in zip(cond_pairs, hk)]
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))).cast("array<int>")
+    m = (m.join(hot, m_on, "left")
+         .withColumn("_m_salt", F.explode(salts))
+         .drop(*hk, "_hot"))
+    return feats, m
+
+
 def score(model: NaiveBayesModel, features: DataFrame, key_map: dict[str, str] | None = None,
-          id_cols=("doc_id",), out: str = "scores", fold=None, passthrough=()) -> DataFrame:
+          id_cols=("doc_id",), out: str = "scores", fold=None, passthrough=(),
+          broadcast_limit: int | None = None) -> DataFrame:
     """(id_cols..., out array<bigint>): prior plus gram evidence for every document.
 
     ``key_map`` maps a model key to the feature column that plays it (for
     example the predicted language for ``language``).  Every document of
     ``features`` keeps a row, even if none of its grams is known.
+
+    The fitted table is broadcast when its size (known after fitting) is at
+    most ``broadcast_limit`` (default ``MAX_BROADCAST_BYTES``); above it the
+    join shuffles, with hot keys salted (``_salt_hot_keys``) and AQE's
+    skew-join on top.
     """
     key_map = dict(key_map or {})
     id_cols = list(id_cols)
@@ -274,14 +313,13 @@ def score(model: NaiveBayesModel, features: DataFrame, key_map: dict[str, str] |
         feats = feats.withColumn(g, F.explode(F.array(*[F.lit(v) for v in values])))
         m = m.withColumnRenamed(g, f"_m_{g}")
         cond_pairs.append((F.col(g), f"_m_{g}"))
-    if model.size_bytes() <= MAX_BROADCAST_BYTES:
+    cond = [fc == F.col(mc) for fc, mc in cond_pairs]
+    limit = MAX_BROADCAST_BYTES if broadcast_limit is None else broadcast_limit
+    if model.size_bytes() <= limit:
         m = F.broadcast(m)
-        cond = [fc == F.col(mc) for fc, mc in cond_pairs]
     else:
-        # hot grams: spread each key over JOIN_SALT tasks
-        feats = feats.withColumn("_salt", F.pmod(F.xxhash64(*id_cols[:1]), F.lit(JOIN_SALT)))
-        m = m.withColumn("_m_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALT - 1))))
-        cond = [fc == F.col(mc) for fc, mc in cond_pairs] + [F.col("_salt") == F.col("_m_salt")]
+        feats, m = _salt_hot_keys(feats, m, cond_pairs, id_cols[0])
+        cond.append(F.col("_salt") == F.col("_m_salt"))
     joined = feats.join(m, cond, "left")
     # passthrough columns depend on the document only: as extra grouping keys
     # they change no group and keep the aggregation hash-based

@@ -69,3 +69,16 @@ def test_scores_independent_of_partitioning(spark):
     a = {tuple(r[:1]) + (tuple(r["scores"]),) for r in bayes.score(m, f).collect()}
     b = {tuple(r[:1]) + (tuple(r["scores"]),) for r in bayes.score(m, f.repartition(5)).collect()}
     assert a == b
+
+
+def test_shuffled_salted_join_equals_broadcast(spark):
+    """Above the broadcast limit the join shuffles with hot keys salted; scores do not change."""
+    # ("en", "<th") and ("en", "th>") each hold about a third of the (document, gram) rows
+    rows = TEXTS + [(100 + i, "th", "en", "pos" if i % 2 else "neg") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, language string, label string")
+    feats = gram_counts(df, carry=("label", "language"))
+    m = bayes.fit(feats, df.select("doc_id", "label"), "label", ["neg", "pos"], keys=("language", "gram"))
+    assert bayes.hot_keys(feats, [F.col("language"), F.col("gram")], 4).count() == 2
+    a = bayes.score(m, feats, id_cols=["doc_id"])
+    b = bayes.score(m, feats, id_cols=["doc_id"], broadcast_limit=0)
+    assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
