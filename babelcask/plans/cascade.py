@@ -6,8 +6,9 @@ Plan, once per corpus:
 1. ``documents JOIN labels`` -> null tokens -> drop incomplete rows; text is
    hash-partitioned by ``doc_id`` once and turned into (doc, gram, n) with the
    document's class columns carried along; the count table is checkpointed.
-2. A narrow per-document table comes from the count table without a shuffle
-   (it is clustered by ``doc_id``); the split column is computed there.
+2. A narrow per-document table (the corpus without its text) is written
+   once; the split and fold columns are computed there and the result is
+   bucketed by ``doc_id`` like the count table.
 3. Stage one is fitted on (gram -> language), stage two on
    ((gold language, gram) -> label): the language crosses each gram, so the
    second model is conditioned on it and not merely given a prefix token.
@@ -73,8 +74,10 @@ class Corpus:
         n = work_partitions(c)
         feats = bucketed_table(gram_counts(c, carry=("label", "language"), n_parts=n), "doc_id", "feats",
                                partitioned=True, buckets=n)
-        # clustered by doc_id already: this distinct needs no shuffle
-        narrow = feats.select("doc_id", "label", "language").distinct()
+        # one row per document from the corpus scan (the text column is not
+        # read), written once: the split's class plan, ranking and join all
+        # read this small table, not the count table
+        narrow = cut_lineage(c.select("doc_id", "label", "language"), "narrow")
         cfg = self.config
         assigned = assign_split_and_fold(narrow, cfg.stratify_on, test_size=cfg.test_size,
                                          n_folds=cfg.n_folds, seed=cfg.seed)
