@@ -205,6 +205,19 @@ def fold_counts_by_key(src: FoldCounts, key: str, key_classes) -> FoldCounts:
                       src.n_folds, src.fold_col)
 
 
+def fold_counts_marginal(src: FoldCounts, drop_key: str) -> FoldCounts:
+    """Same classes and folds, one key summed out: (gram -> label) from ((language, gram) -> label).
+
+    Aggregates the vocabulary-sized fold table instead of passing over the
+    count table again; a key is in a fold's vocabulary exactly when it was
+    before summing, so the fold models are the same as from a direct count.
+    """
+    keys = tuple(k for k in src.keys if k != drop_key)
+    cols = [f"c{f}_{i}" for f in range(src.n_folds) for i in range(len(src.classes))]
+    counts = src.counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cols])
+    return FoldCounts(src.classes, keys, cut_lineage(counts, "nbfolds"), src.n_folds, src.fold_col)
+
+
 def fold_model(fc: FoldCounts, docs: DataFrame, class_col: str, alpha: int | float = 1) -> NaiveBayesModel:
     """Model of fold f = all counts minus fold f; a key whose training count in
     fold f is zero is not in that fold's vocabulary."""
@@ -221,7 +234,7 @@ def fold_model(fc: FoldCounts, docs: DataFrame, class_col: str, alpha: int | flo
         per_fold.append(F.struct(F.lit(f).alias(fold_col), F.array(*train).alias("cnt")))
     long = (fc.counts.select(*keys, F.explode(F.array(*per_fold)).alias("_p"))
             .select(*keys, F.col(f"_p.{fold_col}").alias(fold_col), F.col("_p.cnt").alias("cnt"))
-            .where(F.aggregate("cnt", F.lit(0).cast("long"), lambda a, x: a + x) > 0))
+            .where(F.exists("cnt", lambda x: x > 0)))   # counts are never negative
     tot_rows = long.groupBy(fold_col).agg(
         F.count(F.lit(1)).alias("v"), *[F.sum(F.col("cnt")[i]).alias(f"n{i}") for i in range(K)]).collect()
     vocab = {int(r[fold_col]): int(r["v"]) for r in tot_rows}

@@ -58,9 +58,19 @@ def cascade_eval_df(spark, sf_dir) -> DataFrame:
         cascade.cascade_eval(corpus_of(spark, sf_dir), cascade_model(spark, sf_dir)), "cascade_eval"))
 
 
+def baseline_counts(spark, sf_dir) -> bayes.NaiveBayesCounts:
+    """(gram -> label) training counts: the cascade's sentiment counts with the language summed out."""
+    def build():
+        cp = corpus_of(spark, sf_dir)
+        train = cp.docs.where(F.col("split") == "train")
+        return bayes.count_marginal(cascade_model(spark, sf_dir).sent_counts, "language", train, "label")
+    return _memo(spark, sf_dir, "baseline_counts", build)
+
+
 def baseline_model(spark, sf_dir):
-    return _memo(spark, sf_dir, "baseline_model", lambda: cascade.fit_baseline(
-        corpus_of(spark, sf_dir), cascade_model=cascade_model(spark, sf_dir)))
+    cp = corpus_of(spark, sf_dir)
+    return _memo(spark, sf_dir, "baseline_model", lambda: (
+        baseline_counts(spark, sf_dir).model(cp.config.alpha), cp.dictionary("label")))
 
 
 def baseline_eval_df(spark, sf_dir) -> DataFrame:
@@ -211,9 +221,7 @@ def q_best_candidate(spark, sf_dir):
     """Smoothing candidates scored in one pass; best by weighted F1, ties to the first."""
     cp = corpus_of(spark, sf_dir)
     sd = cp.dictionary("label")
-    train = F.col("split") == "train"
-    counts = bayes.count(cp.features.where(train), cp.docs.where(train), "label", sd.classes)
-    model, alphas = counts.candidates(CANDIDATE_ALPHAS)
+    model, alphas = baseline_counts(spark, sf_dir).candidates(CANDIDATE_ALPHAS)
     test = cp.features.where(F.col("split") == "test")
     s = bayes.score(model, test, id_cols=["doc_id", "label"], out="sent_scores")
     preds = s.select("candidate", "label", sd.decode(bayes.predict_ids("sent_scores")).alias("predicted_label"))
@@ -266,14 +274,20 @@ def q_cascade_summary(spark, sf_dir):
 
 # ---------------------------------------------------------------- cross-validation
 
+def sentiment_fold_counts(spark, sf_dir) -> bayes.FoldCounts:
+    """Fold counts shared by both cross-validations (one pass over the count table)."""
+    return _memo(spark, sf_dir, "sentiment_fold_counts",
+                 lambda: crossval.sentiment_fold_counts(corpus_of(spark, sf_dir)))
+
+
 def cv_baseline_df(spark, sf_dir):
-    return _memo(spark, sf_dir, "cv_baseline",
-                 lambda: cut_lineage(crossval.cv_baseline(corpus_of(spark, sf_dir)), "cv_baseline"))
+    return _memo(spark, sf_dir, "cv_baseline", lambda: cut_lineage(
+        crossval.cv_baseline(corpus_of(spark, sf_dir), sentiment_fold_counts(spark, sf_dir)), "cv_baseline"))
 
 
 def cv_cascade_df(spark, sf_dir):
-    return _memo(spark, sf_dir, "cv_cascade",
-                 lambda: cut_lineage(crossval.cv_cascade(corpus_of(spark, sf_dir)), "cv_cascade"))
+    return _memo(spark, sf_dir, "cv_cascade", lambda: cut_lineage(
+        crossval.cv_cascade(corpus_of(spark, sf_dir), sentiment_fold_counts(spark, sf_dir)), "cv_cascade"))
 
 
 def q_cv_baseline(spark, sf_dir):

@@ -16,11 +16,21 @@ from babelcask.operators import bayes, metrics
 from babelcask.plans.cascade import CascadeModel, Corpus, score_cascade
 
 
-def cv_baseline(cp: Corpus) -> DataFrame:
-    """(doc_id, fold, label, predicted_label, label_id, predicted_label_id, sent_scores)."""
+def sentiment_fold_counts(cp: Corpus) -> bayes.FoldCounts:
+    """((language, gram) -> label) counts of every fold: the one pass over the count table."""
+    return bayes.fold_counts(cp.features, "label", cp.dictionary("label").classes, cp.config.n_folds,
+                             keys=("language", "gram"))
+
+
+def cv_baseline(cp: Corpus, sc: bayes.FoldCounts | None = None) -> DataFrame:
+    """(doc_id, fold, label, predicted_label, label_id, predicted_label_id, sent_scores).
+
+    The fold counts are the cascade's sentiment fold counts with the language
+    summed out (given or counted here).
+    """
     sd = cp.dictionary("label")
-    m = bayes.fit_folds(cp.features, cp.docs, "label", sd.classes, cp.config.n_folds,
-                        keys=("gram",), alpha=cp.config.alpha)
+    fc = bayes.fold_counts_marginal(sc or sentiment_fold_counts(cp), "language")
+    m = bayes.fold_model(fc, cp.docs, "label", cp.config.alpha)
     s = bayes.score(m, cp.features, id_cols=["doc_id", "fold", "label"], out="sent_scores")
     return s.select("doc_id", "fold", "label",
                     sd.decode(bayes.predict_ids("sent_scores")).alias("predicted_label"),
@@ -28,12 +38,11 @@ def cv_baseline(cp: Corpus) -> DataFrame:
                     bayes.predict_ids("sent_scores").alias("predicted_label_id"), "sent_scores")
 
 
-def cv_cascade(cp: Corpus) -> DataFrame:
+def cv_cascade(cp: Corpus, sc: bayes.FoldCounts | None = None) -> DataFrame:
     """Out-of-fold cascade: language, then sentiment crossed with the predicted language."""
     ld, sd = cp.dictionary("language"), cp.dictionary("label")
-    n = cp.config.n_folds
     # one pass over the count table; the language fold counts are row sums of the sentiment ones
-    sc = bayes.fold_counts(cp.features, "label", sd.classes, n, keys=("language", "gram"))
+    sc = sc or sentiment_fold_counts(cp)
     lc = bayes.fold_counts_by_key(sc, "language", ld.classes)
     lm = bayes.fold_model(lc, cp.docs, "language", cp.config.alpha)
     sm = bayes.fold_model(sc, cp.docs, "label", cp.config.alpha)

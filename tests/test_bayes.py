@@ -82,3 +82,14 @@ def test_shuffled_salted_join_equals_broadcast(spark):
     a = bayes.score(m, feats, id_cols=["doc_id"])
     b = bayes.score(m, feats, id_cols=["doc_id"], broadcast_limit=0)
     assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+
+
+def test_fold_counts_marginal_equal_direct_fold_fit(spark):
+    f, docs = _feats(spark)
+    classes = ["neg", "pos"]
+    direct = bayes.fit_folds(f, docs, "label", classes, 5)
+    sc = bayes.fold_counts(f, "label", classes, 5, keys=("language", "gram"))
+    summed = bayes.fold_model(bayes.fold_counts_marginal(sc, "language"), docs, "label")
+    assert direct.vocab == summed.vocab and direct.priors == summed.priors
+    rows = lambda m: sorted((r["gram"], r["fold"], tuple(r["scores"])) for r in m.table.collect())
+    assert rows(direct) == rows(summed)
