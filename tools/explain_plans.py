@@ -45,7 +45,10 @@ def main():
          cascade.score_cascade(model, test, carry=("label", "language"))),
         ("Count table joined to the per-document table: both bucketed by doc_id",
          cp.features.groupBy("split").agg(F.sum("n"))),
-        ("ROC points: bucketed running sums, neighbour by equi-join",
+        ("Scoring above the broadcast limit: shuffle join on (gram, salt), only hot grams salted",
+         bayes.score(catalog.baseline_model(spark, sf_dir)[0], test, id_cols=["doc_id", "label"],
+                     broadcast_limit=0)),
+        ("ROC points: running sums over range partitions of (class, score), neighbour by equi-join",
          curves.roc_points(curves.one_vs_rest(catalog.cascade_eval_df(spark, sf_dir), "sent_scores", "label_id",
                                               model.sent_dict.size))),
     ]
