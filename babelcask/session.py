@@ -68,17 +68,22 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def work_partitions(df: DataFrame) -> int:
-    """Partitions for hash-partitioning ``df``'s rows by document.
-
-    One per ``spark.sql.files.maxPartitionBytes`` of the largest input, at
-    least the cluster's default parallelism, at most
-    ``spark.sql.shuffle.partitions``: a 100 TB input gets the configured count,
-    a small one does not get hundreds of near-empty tasks.
+    """Partitions (and buckets) for hash-partitioning ``df``'s rows by document.
+
+    One per ``spark.sql.files.maxPartitionBytes`` of the largest input (the
+    granularity of Spark's own scan splits), at least the cluster's default
+    parallelism, at most ``spark.sql.sources.bucketing.maxBuckets`` (the
+    result is also the bucket count of the tables written by document).  The
+    text-to-gram step is the heaviest per-document work, so its task size
+    follows the data: 100 TB of input gets ~1 GB tasks, not
+    ``spark.sql.shuffle.partitions``-sized ones, and a small input does not
+    get hundreds of near-empty tasks.
     """
     spark = df.sparkSession
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     want = -(-input_bytes(df) // max(split, 1))
-    return max(1, min(shuffle_partitions(spark), max(spark.sparkContext.defaultParallelism, want)))
+    cap = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    return max(1, min(cap, max(spark.sparkContext.defaultParallelism, want)))
 
 
 def bucketed_table(df: DataFrame, key: str, prefix: str = "t", partitioned: bool = False,
