@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from babelcask.functions.scores import argmax, micro_log
+from babelcask.functions.scores import MICRO, argmax, micro_log
 from babelcask.session import cut_lineage, shuffle_partitions
 
 # Largest fitted table that is broadcast to every task: the exact row count
@@ -71,11 +71,17 @@ def _class_sum(class_col: str, value: str, fold_col: str | None = None, fold: in
 
 
 def _ln_micro_many(spark: SparkSession, pairs: list[tuple[float, float]]) -> list[int]:
-    """Spark-evaluated micro-nat logs of constant ratios (same log as the table)."""
+    """Spark-evaluated micro-nat logs of constant ratios (same log as the table).
+
+    The same expression as ``micro_log``, written as SQL text: one call into
+    the JVM for all values instead of several per value.
+    """
     if not pairs:
         return []
-    row = spark.range(1).select(*[micro_log(F.lit(a), F.lit(b)).alias(f"v{i}")
-                                  for i, (a, b) in enumerate(pairs)]).first()
+    def d(x):
+        return f"CAST('{float(x)!r}' AS DOUBLE)"
+    exprs = [f"CAST(ROUND(LN({d(a)} / {d(b)}) * {d(MICRO)}) AS BIGINT) AS v{i}" for i, (a, b) in enumerate(pairs)]
+    row = spark.range(1).selectExpr(*exprs).first()
     return [int(v) if v is not None else None for v in row]
 
 

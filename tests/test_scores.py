@@ -19,3 +19,13 @@ def test_margin(spark):
 def test_micro_log(spark):
     r = spark.range(1).select(scores.micro_log(F.lit(1), F.lit(4))).first()[0]
     assert r == round(math.log(0.25) * 1e6)
+
+
+def test_constant_logs_equal_column_logs(spark):
+    from pyspark.sql import functions as F
+
+    from babelcask.functions.scores import micro_log
+    from babelcask.operators.bayes import _ln_micro_many
+    pairs = [(1, 7), (67, 87), (0, 5), (2.5, 3), (11, 9), (3027, 3980)]
+    want = spark.range(1).select(*[micro_log(F.lit(a), F.lit(b)) for a, b in pairs]).first()
+    assert _ln_micro_many(spark, pairs) == [None if v is None else int(v) for v in want]
