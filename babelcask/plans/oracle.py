@@ -346,6 +346,21 @@ ovr AS (
 )"""
 
 
+# nearest class centroid (squared distance over every component), first class on ties
+NEAREST_CENTROID = """
+WITH ex AS (
+  SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x
+  FROM embeddings
+),
+cent AS (SELECT label AS c, i, avg(x) AS m FROM ex GROUP BY label, i),
+dist AS (
+  SELECT ex.vec_id, ex.label, cent.c, sum((ex.x - cent.m) * (ex.x - cent.m)) AS d
+  FROM ex JOIN cent ON ex.i = cent.i
+  GROUP BY ex.vec_id, ex.label, cent.c
+)
+SELECT vec_id, label, arg_min(c, (d, c)) AS predicted_label FROM dist GROUP BY vec_id, label"""
+
+
 def _q(*parts: str) -> str:
     return "\n".join(parts)
 
@@ -470,6 +485,7 @@ fl AS (
     q["roc_auc"] = _q(ovr + ",\n" + CURVE, ROC_AUC)
     q["roc_points_embeddings"] = _q(_with(EMBED_OVR, CURVE) + ",\n" + ROC_POINTS)
     q["roc_auc_embeddings"] = _q(_with(EMBED_OVR, CURVE), ROC_AUC)
+    q["user_model_scores"] = NEAREST_CENTROID
     q["tsv_roundtrip"] = "SELECT doc_id, text, lang AS language FROM documents"
     q["union_languages"] = q["corpus_clean"]
     q["many_file_scan"] = q["corpus_clean"]
