@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 
 from babelcask.session import cut_lineage, shuffle_partitions
 
-# Buckets of the 16-bit prefix of an md5 hex digest: 65,536 per group.
-MD5_BUCKETS = 1 << 16
+def md5_bucket(hex_digest, bits=16) -> Column:
+    """Bucket from the first ``bits`` bits (0 to 32) of an md5 hex digest; monotone in the digest's order.
 
-
-def md5_bucket(hex_digest) -> Column:
-    """Bucket from the first four hex digits; monotone in the digest's order."""
+    ``bits`` may be a column: a per-group resolution, constant inside each group.
+    """
     h = F.col(hex_digest) if isinstance(hex_digest, str) else hex_digest
-    return F.conv(F.substring(h, 1, 4), 16, 10).cast("int")
+    top = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")          # first 32 bits
+    b = F.lit(bits) if isinstance(bits, int) else bits
+    # dividing by a power of two is exact in a double; the cast floors the positive quotient
+    return (top / F.pow(F.lit(2.0), F.lit(32) - b)).cast("bigint")
 
 
 def bucketed_running_sums(df: DataFrame, group_cols: list[str], order_cols: list[Column],
@@ -36,8 +38,8 @@ def bucketed_running_sums(df: DataFrame, group_cols: list[str], order_cols: list
 
     ``order_cols`` must give a total order inside each group and ``bucket``
     must never decrease along it.  ``broadcast_offsets`` may be set only when
-    groups x buckets is known to be small (it is: classes x 65,536 at most for
-    md5 buckets, partitions + groups for range buckets).
+    the number of (group, bucket) pairs is known to be small: the split counts
+    it before ranking; range buckets have at most partitions + groups.
     """
     b = "_bkt"
     d = df.withColumn(b, bucket)
@@ -61,9 +63,10 @@ def bucketed_running_sums(df: DataFrame, group_cols: list[str], order_cols: list
 
 
 def bucketed_rank(df: DataFrame, group_cols: list[str], order_cols: list[Column], bucket: Column,
-                  out: str = "rank") -> DataFrame:
+                  out: str = "rank", broadcast_offsets: bool = True) -> DataFrame:
     """Exact ``row_number()`` within each group, computed per bucket."""
-    return bucketed_running_sums(df, group_cols, order_cols, bucket, {out: F.lit(1).cast("long")})
+    return bucketed_running_sums(df, group_cols, order_cols, bucket, {out: F.lit(1).cast("long")},
+                                 broadcast_offsets=broadcast_offsets)
 
 
 def range_running_sums(df: DataFrame, group_cols: list[str], order_cols: list[Column],

@@ -12,6 +12,12 @@ largest remainders (ties by class name).  Integer arithmetic throughout.
 Fold ``f`` of a row is ``(offset(class) + rank_in_class - 1) % k``, where
 ``offset`` counts rows of classes sorting earlier: rows are dealt round-robin
 over the class-sorted list, so per-class fold sizes differ by at most one.
+
+Ranks are computed per (class, md5 bucket); each class gets as many bucket
+bits as its size needs for about ``bucket_rows`` rows per bucket, so a class
+holding a third of all rows is spread over many tasks, and the offsets table
+has at most 2 N / bucket_rows + classes rows.  The class plan and the offsets
+are broadcast only after counting them.
 """
 
 from __future__ import annotations
@@ -20,20 +26,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from babelcask.operators.ranking import bucketed_rank, md5_bucket
+from babelcask.session import cut_lineage
 
 SEED = "42"
 TEST_SIZE = 0.2
 N_FOLDS = 5
+# Rows per (class, bucket) window task the bucket resolution aims at.
+BUCKET_ROWS = 1 << 20
+# Largest class plan or offsets table (rows) that is broadcast.
+MAX_BROADCAST_ROWS = 1 << 21
 
 
 def order_key(id_col: str = "doc_id", seed: str = SEED) -> Column:
     return F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(id_col).cast("string")))
 
 
-def ranked_in_class(df: DataFrame, class_col: str, id_col: str = "doc_id", seed: str = SEED) -> DataFrame:
-    """Adds ``_h`` (order key) and ``rank_in_class`` (1-based, exact)."""
+def ranked_in_class(df: DataFrame, class_col: str, id_col: str = "doc_id", seed: str = SEED,
+                    bits=16, broadcast_offsets: bool = True) -> DataFrame:
+    """Adds ``_h`` (order key) and ``rank_in_class`` (1-based, exact).
+
+    ``bits``: md5 bucket bits, a number or a column constant inside each class.
+    """
     d = df.withColumn("_h", order_key(id_col, seed))
-    return bucketed_rank(d, [class_col], [F.col("_h"), F.col(id_col)], md5_bucket("_h"), out="rank_in_class")
+    return bucketed_rank(d, [class_col], [F.col("_h"), F.col(id_col)], md5_bucket("_h", bits),
+                         out="rank_in_class", broadcast_offsets=broadcast_offsets)
+
+
+def bucket_bits(n, bucket_rows: int = BUCKET_ROWS) -> Column:
+    """Bits of md5 prefix for a class of ``n`` rows: ceil(log2(n / bucket_rows)), within 0..32."""
+    want = F.ceil(F.log2(F.col(n).cast("double") / F.lit(float(bucket_rows))))
+    return F.least(F.lit(32), F.greatest(F.lit(0), want)).cast("int")
 
 
 def class_plan(df: DataFrame, class_col: str, test_size: float = TEST_SIZE) -> DataFrame:
@@ -66,18 +88,24 @@ def class_quotas(df: DataFrame, class_col: str, test_size: float = TEST_SIZE) ->
 
 def assign_split_and_fold(df: DataFrame, class_col: str = "label", id_col: str = "doc_id",
                           test_size: float = TEST_SIZE, n_folds: int = N_FOLDS, seed: str = SEED,
-                          split_out: str = "split", fold_out: str = "fold") -> DataFrame:
+                          split_out: str = "split", fold_out: str = "fold",
+                          bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Both the split and the fold from one ranking pass."""
-    # one row per class: the broadcast is bounded by the number of classes
-    plan = F.broadcast(class_plan(df, class_col, test_size).drop("n"))
-    ranked = ranked_in_class(df, class_col, id_col, seed)
-    out = ranked.join(plan, class_col)
+    # one row per class, written once; its row count and the number of
+    # (class, bucket) offsets it implies are counted before any broadcast
+    plan = cut_lineage(class_plan(df, class_col, test_size)
+                       .withColumn("_bits", bucket_bits("n", bucket_rows)).drop("n"), "classplan")
+    sizes = plan.agg(F.count(F.lit(1)).alias("k"), F.sum(F.pow(F.lit(2.0), F.col("_bits"))).alias("pairs")).first()
+    plan = F.broadcast(plan) if sizes["k"] <= MAX_BROADCAST_ROWS else plan
+    ranked = ranked_in_class(df.join(plan, class_col), class_col, id_col, seed, bits=F.col("_bits"),
+                             broadcast_offsets=(sizes["pairs"] or 0) <= MAX_BROADCAST_ROWS)
+    out = ranked
     if split_out:
         out = out.withColumn(split_out, F.when(F.col("rank_in_class") <= F.col("n_train_quota"), F.lit("train"))
                              .otherwise(F.lit("test")))
     if fold_out:
         out = out.withColumn(fold_out, ((F.col("_offset") + F.col("rank_in_class") - 1) % n_folds).cast("int"))
-    return out.drop("_h", "rank_in_class", "n_train_quota", "_offset")
+    return out.drop("_h", "rank_in_class", "n_train_quota", "_offset", "_bits")
 
 
 def stratified_split(df: DataFrame, class_col: str = "label", id_col: str = "doc_id",

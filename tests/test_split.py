@@ -51,3 +51,20 @@ def test_bucketed_rank_equals_window(spark):
     want = d.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("_h", "doc_id")))
     assert {tuple(r) for r in got.select("doc_id", "rank").collect()} == \
         {tuple(r) for r in want.select("doc_id", "rank").collect()}
+
+
+def test_fine_buckets_give_the_same_assignment(spark):
+    """A class split over many md5 buckets (here 4 rows per bucket) ranks exactly as one window."""
+    d = _data(spark, {"a": 300, "b": 40, "c": 7})
+    coarse = {tuple(r) for r in assign_split_and_fold(d, "label").collect()}
+    fine = {tuple(r) for r in assign_split_and_fold(d, "label", bucket_rows=4).collect()}
+    assert coarse == fine
+
+
+def test_md5_bucket_bits_monotone(spark):
+    d = _data(spark, {"a": 200}).withColumn("_h", order_key("doc_id"))
+    rows = d.select("_h", md5_bucket("_h", 3).alias("b3"), md5_bucket("_h", 0).alias("b0"),
+                    md5_bucket("_h").alias("b16")).orderBy("_h").collect()
+    assert [r["b3"] for r in rows] == sorted(r["b3"] for r in rows) and max(r["b3"] for r in rows) <= 7
+    assert {r["b0"] for r in rows} == {0}
+    assert [r["b16"] for r in rows] == sorted(r["b16"] for r in rows)
