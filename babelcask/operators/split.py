@@ -22,6 +22,8 @@ are broadcast only after counting them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +110,22 @@ def assign_split_and_fold(df: DataFrame, class_col: str = "label", id_col: str =
     return out.drop("_h", "rank_in_class", "n_train_quota", "_offset", "_bits")
 
 
+def seeded_order(df: DataFrame, id_col: str = "doc_id", seed: str = SEED, out: str = "position",
+                 bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(id, position): 1-based position of every row in the seeded md5 order (a repeatable shuffle).
+
+    One global rank, cut into md5 buckets of about ``bucket_rows`` rows (the
+    bits follow the row count, counted first); the offsets table has at most
+    2 N / bucket_rows + 1 rows.
+    """
+    n = df.count()
+    bits = max(0, min(32, math.ceil(math.log2(max(n, 1) / bucket_rows)))) if n > bucket_rows else 0
+    d = df.select(id_col).withColumn("_h", order_key(id_col, seed))
+    r = bucketed_rank(d, [], [F.col("_h"), F.col(id_col)], md5_bucket("_h", bits), out=out,
+                      broadcast_offsets=(1 << bits) <= MAX_BROADCAST_ROWS)
+    return r.select(id_col, out)
+
+
 def stratified_split(df: DataFrame, class_col: str = "label", id_col: str = "doc_id",
                      test_size: float = TEST_SIZE, seed: str = SEED, out: str = "split") -> DataFrame:
     """Adds ``out`` = 'train' or 'test' to every row."""

@@ -19,8 +19,7 @@ from babelcask.functions.text import SEPARATOR, prefixed
 from babelcask.operators import bayes, curves, metrics, trainer
 from babelcask.operators.encode import ClassDictionary, dictionary_frame
 from babelcask.operators.features import token_stats
-from babelcask.operators.ranking import bucketed_rank, md5_bucket
-from babelcask.operators.split import assign_split_and_fold, order_key, split_sizes
+from babelcask.operators.split import assign_split_and_fold, seeded_order, split_sizes
 from babelcask.plans import cascade, crossval
 from babelcask.plans.cascade import CascadeConfig, Corpus
 from babelcask.session import cut_lineage
@@ -132,9 +131,7 @@ def q_tokens_truncated(spark, sf_dir):
 
 
 def q_shuffle_seeded(spark, sf_dir):
-    c = tables.corpus(spark, sf_dir).select("doc_id").withColumn("_h", order_key("doc_id"))
-    r = bucketed_rank(c, [], [F.col("_h"), F.col("doc_id")], md5_bucket("_h"), out="position")
-    return r.select("doc_id", "position")
+    return seeded_order(tables.corpus(spark, sf_dir).select("doc_id"), "doc_id", out="position")
 
 
 # ---------------------------------------------------------------- split, folds

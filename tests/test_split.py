@@ -68,3 +68,12 @@ def test_md5_bucket_bits_monotone(spark):
     assert [r["b3"] for r in rows] == sorted(r["b3"] for r in rows) and max(r["b3"] for r in rows) <= 7
     assert {r["b0"] for r in rows} == {0}
     assert [r["b16"] for r in rows] == sorted(r["b16"] for r in rows)
+
+
+def test_seeded_order_is_a_permutation_matching_the_window(spark):
+    from babelcask.operators.split import seeded_order
+    d = _data(spark, {"a": 120, "b": 30})
+    got = {tuple(r) for r in seeded_order(d, "doc_id", bucket_rows=8).collect()}
+    want = d.withColumn("_h", order_key("doc_id")).select(
+        "doc_id", F.row_number().over(Window.orderBy("_h", "doc_id")).alias("position"))
+    assert got == {tuple(r) for r in want.collect()}
