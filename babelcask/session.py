@@ -81,8 +81,12 @@ def work_partitions(df: DataFrame) -> int:
     """
     spark = df.sparkSession
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    want = -(-input_bytes(df) // max(split, 1))
+    size = input_bytes(df)
     cap = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    if size >= int(spark._jsparkSession.sessionState().conf().defaultSizeInBytes()):
+        # no statistics (an in-memory or RDD-backed input): the configured count
+        return max(1, min(cap, max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))))
+    want = -(-size // max(split, 1))
     return max(1, min(cap, max(spark.sparkContext.defaultParallelism, want)))
 
 
