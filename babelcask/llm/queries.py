@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from babelcask.llm import (chat, compact_windows, decontaminate, near_dup, perplexity, pii_vote, toxicity,
-                           url_filter)
+from babelcask.llm import (chat, compact_windows, decontaminate, near_dup, perplexity, pii_vote, piece_lattice,
+                           toxicity, trie_lm, url_filter)
 from babelcask.llm.work import table
 
 
@@ -35,10 +35,18 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.read_back(chat.format_chats(turns)))
 
 
+def op6_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_class_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_pii_vote, op2_minhash_bbit, op3_perplexity_rules, op4_spaced_seeds, op5_chat_format, op7_class_kn,
-        op9_compact_windows, op10_url_filter)}
+        op1_pii_vote, op2_minhash_bbit, op3_perplexity_rules, op4_spaced_seeds, op5_chat_format, op6_trie_lm,
+        op7_class_kn, op8_piece_lattice, op9_compact_windows, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op5_chat_format": chat.CHAT_SQL, "op10_url_filter": url_filter.URL_SQL}

@@ -10,8 +10,9 @@ literal token is a candidate for every URL.
 Verdict: the longest fitting host rule decides; without one a URL is blocked
 if any block pattern fits, else allowed.
 
-Everything is DataFrame expressions; the index has one row per rule and the
-optimiser broadcasts it only if its size is under the session's threshold.
+Everything is DataFrame expressions.  The index has one row per rule; up to
+``BROADCAST_RULES`` rules it is broadcast, beyond that it is joined by shuffle,
+where the skew join splits a token that very many URLs hold.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path;
 repeated rows and null ids give one row each; no rows give no rows; other
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+BROADCAST_RULES = 20_000
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -80,13 +84,18 @@ def rule_index(spark: SparkSession, rules, urls: DataFrame) -> DataFrame:
         [(i, r.name, r.pattern, list(r.tokens) or [""], r.verdict, r.host_rule) for i, r in enumerate(rules)],
         "rule_id int, rule string, pattern string, literals array<string>, rule_verdict string, host_rule boolean")
     literals = frame.select("rule_id", F.explode("literals").alias("token"))
-    wanted = literals.select("token").distinct()
+    wanted = spark.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
     seen = (urls.select(F.explode("tokens").alias("token"))
-            .join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n")))
+            .join(_small(wanted, rules), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n")))
     chosen = (literals.join(seen, "token", "left")
               .groupBy("rule_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("best"))
               .select("rule_id", F.col("best.token").alias("token")))
-    return chosen.join(frame.drop("literals"), "rule_id")
+    return _small(chosen.join(frame.drop("literals"), "rule_id"), rules)
+
+
+def _small(df: DataFrame, rules) -> DataFrame:
+    """A table with at most a few rows per rule: broadcast if there are few rules."""
+    return F.broadcast(df) if len(rules) <= BROADCAST_RULES else df
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from babelcask.llm import decontaminate, near_dup, perplexity, pii_vote
+from babelcask.llm import decontaminate, near_dup, perplexity, pii_vote, piece_lattice
 from babelcask.llm.work import Staging, table
 
 
@@ -45,11 +45,17 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .select(docs.columns))
 
 
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, with what decoding them gives: (doc_id, n_pieces, ids_hash, text_sha256, round_trip)."""
+    return piece_lattice.round_trip(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("minhash_dedup", minhash_dedup),
     ("decontamination", drop_contaminated),
     ("pii", redact_pii),
+    ("pieces", piece_ids),
 ]
 
 #: The stages' models have no SQL form; tests hold the pipeline against plain Python versions.
