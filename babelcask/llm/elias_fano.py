@@ -1,8 +1,8 @@
 """Elias-Fano sequences and a two-level n-gram trie over them, in one memory-mapped file.
 
 A monotone sequence keeps the low bits of its values side by side and the high
-parts in unary.  ``select`` finds the k-th set (or clear) bit from a sampled
-directory; ``successor`` finds the first value >= x by the bucket of its high
+parts in unary.  ``select`` finds the k-th set (or clear) bit by a binary search
+over the counts of set bits before every 64; ``successor`` finds the first value >= x by the bucket of its high
 part and a binary search on low bits.  All queries take arrays.
 """
 
@@ -13,7 +13,6 @@ import tempfile
 import numpy as np
 
 U64 = np.uint64
-_SAMPLE = 16
 _POP = np.array([bin(i).count("1") for i in range(256)], np.int64)
 # place of the k-th set bit in a byte (bits counted from the low end)
 _PLACE = np.zeros((256, 8), np.int64)
@@ -42,26 +41,26 @@ class EliasFano:
             part = values[lo: lo + (1 << 16)]
             low.append(np.packbits(((part[:, None] >> np.arange(low_bits, dtype=np.uint64)) & U64(1)).astype(np.uint8).ravel(),
                                    bitorder="little"))
-        arrays = {"low": np.append(np.concatenate(low), np.zeros(9, np.uint8)),
-                  "high": np.append(np.packbits(bits, bitorder="little"), np.zeros(1, np.uint8)),
-                  "ones": np.flatnonzero(bits)[::_SAMPLE].astype(np.uint32),
-                  "zeros": np.flatnonzero(bits == 0)[::_SAMPLE].astype(np.uint32)}
+        packed = np.packbits(bits, bitorder="little")
+        packed = np.append(packed, np.zeros(-len(packed) % 8, np.uint8))
+        before = np.concatenate([[0], np.cumsum(_POP[packed].reshape(-1, 8).sum(1))])
+        arrays = {"low": np.append(np.concatenate(low), np.zeros(9, np.uint8)), "high": packed,
+                  "ones": before[:-1].astype(np.uint32)}
         return cls(n, low_bits, arrays)
 
     def select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Place of the k-th (from 0) set or clear bit."""
-        high = self.arrays["high"]
-        start = self.arrays["ones" if one else "zeros"][k // _SAMPLE].astype(np.int64)
-        left = k % _SAMPLE                       # set bits to pass after the sampled one
+        high, before = self.arrays["high"], np.asarray(self.arrays["ones"], np.int64)
+        if not one:
+            before = 64 * np.arange(len(before)) - before
+        word = np.searchsorted(before, k, "right") - 1
+        left = k - before[word]
         out = np.empty(len(k), np.int64)
-        todo, byte, skip = np.arange(len(k)), start >> 3, start & 7
-        while len(todo):
-            b = high[byte].astype(np.int64)
+        todo, byte = np.arange(len(k)), word * 8
+        while len(todo):                         # at most the eight bytes of a word
+            b = high[byte]
             if not one:
-                b ^= 255
-            if skip is not None:
-                b = b >> skip << skip
-                skip = None
+                b = ~b
             here = _POP[b]
             hit = left < here
             out[todo[hit]] = byte[hit] * 8 + _PLACE[b[hit], left[hit]]
