@@ -5,18 +5,22 @@ A document's set: the 64-bit hashes of its distinct 4-word shingles (words
 shingle; a text without words has the empty set and is linked with nothing.
 Two documents are linked if ``100 * |A & B| >= 80 * |A | B|`` on the full sets.
 
-Method: 160 minima per set; 32 bands of 5 minima give band keys, the low 4
-bits of every minimum are packed into ten longs.  At similarity 0.8 a pair
-shares no band key with probability 3e-6.  Candidates of a band key are
-first estimated from the packed bits: ``m`` equal fields of 160 estimate
-``(m/160 - 1/16) / (1 - 1/16)``; below 0.62 (5.4 standard errors under 0.8) a pair
-goes no further.  The rest is confirmed on the full sets.
-
-Large groups: equal sets become one representative first.  In round one a
-band key's members are compared with the key's least member only, which joins
-a group of n near copies by n - 1 comparisons.  In round two the members of a
-key that round one left in *different* components are compared across
-components, so no link that could join two components is skipped.
+Method: 512 minima per set; 64 bands of 8 minima give band keys, the low 2
+bits of every minimum are packed into 16 longs.  At similarity 0.8 a pair
+shares no band key with probability 8e-6, at 0.4 one key in 1500 agrees.
+Candidates of a band key are first estimated from the packed bits: ``m`` equal
+fields of 512 estimate ``(m/512 - 1/4) / (1 - 1/4)``; below 0.69 (5 standard
+errors under 0.8) a pair goes no further.  The rest is confirmed on the full sets.
+
+Large groups: equal sets become one representative first.  In the first round
+a band key's members are compared with the key's least member only, which
+joins a group of n near copies by n - 1 comparisons.  Further rounds compare
+the members that are in other components than a random member of their key
+with that member, as long as rounds find links and the pairs left over (same
+key, different components) outnumber the members ``LEFT_OVER`` times.  What is
+left over then is compared in full, so no link that could join two
+components is skipped: only groups of texts that share band keys and are not
+linked with one another cost more than a few comparisons a member.
 
 Defined cases: a null text has no words; rows with equal ``doc_id`` and equal
 sets are one class like any other copies, and rows with equal ``doc_id`` are
@@ -38,12 +42,13 @@ from pyspark.sql import functions as F
 from babelcask.llm import tokens as T
 from babelcask.llm.bitfilter import make_filter, passing
 from babelcask.llm.components import components
-from babelcask.llm.work import Staging
+from babelcask.llm.work import Staging, is_empty
 
 WIDTH = 4
-BANDS, ROWS, BITS = 32, 5, 4
+BANDS, ROWS, BITS = 64, 8, 2
 MINIMA = BANDS * ROWS
-ESTIMATE_FLOOR = 0.62
+ESTIMATE_FLOOR = 0.69
+LEFT_OVER = 1.0
 SIMILAR, OF = 80, 100
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -69,7 +74,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (sets x 32) and packed low bits (sets x 10) of non-empty sets."""
+    """Band keys (sets x 64) and packed low bits (sets x 16) of non-empty sets."""
     minima = np.empty((len(sets), MINIMA), np.uint64)
     i = 0
     while i < len(sets):
@@ -103,7 +108,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, 2000)
             sets = list(shingle_sets(part.column("text")))
             full = [s for s in sets if len(s)]
-            keys, packed = _signatures(full) if full else (np.zeros((0, BANDS), np.int64), np.zeros((0, 10), np.int64))
+            keys, packed = _signatures(full) if full else (np.zeros((0, BANDS), np.int64), np.zeros((0, MINIMA * BITS // 64), np.int64))
             sizes = np.array([len(s) for s in sets], np.int64)
             at = np.concatenate([[0], np.cumsum(sizes > 0)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
@@ -157,11 +162,11 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def estimate(x, y):
     """Collision-corrected similarity of two packed signatures."""
-    ones = int("1" * (64 // BITS), 16)
+    ones = int("1" * (64 // BITS), 2**BITS)
     def differ(p, q):
         d = p.bitwiseXOR(q)
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        for k in range(BITS - 1):
+            d = d.bitwiseOR(F.shiftrightunsigned(p.bitwiseXOR(q), k + 1))
         return F.bit_count(d.bitwiseAND(F.lit(ones)))
     apart = F.aggregate(F.zip_with(x, y, differ), F.lit(0), lambda s, n: s + n)
     chance = 2.0 ** -BITS
@@ -206,25 +211,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = stage.write(texts.mapInArrow(_sets(bits), "id long, shingles binary").join(wanted, "id", "left_semi"), "sets")
     first = grouped.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links1 = stage.write(_links(_likely(first, packed), sets), "links1")
-    comp1 = components(links1, stage, "first")
-    # round two: members of one key that are in different components so far, component by component
-    named = (grouped.join(comp1.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left")
-             .select("key", "rep", F.coalesce("c", "rep").alias("comp")))
-    open_keys = (named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-                 .filter("x <> y").select("key"))
-    rest = stage.write(named.join(open_keys, "key", "left_semi"), "rest")
-    groups = rest.select("key", "comp").distinct()
-    crossed = (groups.withColumnRenamed("comp", "ca").join(groups.withColumnRenamed("comp", "cb"), "key")
+    links, found, turn = links1, True, 0
+    while True:
+        turn += 1
+        comp = components(links, stage, f"round{turn}")
+        named = (grouped.join(comp.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left")
+                 .select("key", "rep", F.coalesce("c", "rep").alias("comp")))
+        open_keys = (named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+                     .filter("x <> y").select("key"))
+        rest = stage.write(named.join(open_keys, "key", "left_semi"), f"rest{turn}")
+        groups = stage.write(rest.groupBy("key", "comp").agg(F.count("*").cast("double").alias("n")), f"groups{turn}")
+        members, left_over = (groups.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+                              .agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first())
+        if not found or (left_over or 0) <= LEFT_OVER * (members or 0):
+            break
+        # a random member of every open key against the members in other components
+        pick = rest.groupBy("key").agg(F.min(F.struct(
+            F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("hub"), F.col("comp").alias("at"))).alias("p"))
+        pairs = (rest.join(pick, "key").filter("comp <> p.at")
+                 .select(F.least("rep", "p.hub").alias("a"), F.greatest("rep", "p.hub").alias("b")).distinct())
+        more = stage.write(_links(_likely(pairs, packed), sets), f"more{turn}")
+        found = not is_empty(more)
+        links = links.union(more)
+    pairs_of = groups.select("key", "comp")
+    crossed = (pairs_of.withColumnRenamed("comp", "ca").join(pairs_of.withColumnRenamed("comp", "cb"), "key")
                .filter("ca < cb"))
     second = (crossed.join(rest.select("key", F.col("comp").alias("ca"), F.col("rep").alias("a")), ["key", "ca"])
               .join(rest.select("key", F.col("comp").alias("cb"), F.col("rep").alias("b")), ["key", "cb"])
               .select("a", "b").distinct())
-    links2 = stage.write(_links(_likely(second, packed), sets), "links2")
+    links = links.union(stage.write(_links(_likely(second, packed), sets), "links2"))
     # a doc_id with several texts is one document: it ties the classes of its texts
     several = member.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y")
     tied = (member.join(several.select("doc_id"), "doc_id", "left_semi")
             .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    comp = components(links1.union(links2).union(tied), stage, "all")
+    comp = components(links.union(tied), stage, "all")
     named = (member.join(comp.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left")
              .select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id")))
     out = named.union(signed.filter("doc_id IS NULL").select(
