@@ -19,10 +19,12 @@ line break alone.
 
 Scale: tasks cut texts into blocks, name each distinct unit of a block once,
 and keep the texts as compressed unit numbers in a table bucketed by block, so
-the texts are not moved again.  A unit found everywhere is one row per block.
-The lattice runs once per distinct unit, in the partitioning of the one
-exchange that makes units distinct; its answers go back to the blocks.  The
-piece table (at most ``MAX_PIECES`` rows, checked) is broadcast.
+the texts are not moved again.  Blocks send their units to parts by hash, one
+compressed message per block and part, so a unit found everywhere is one entry
+per block.  A part's distinct units are written in a table bucketed by part;
+the lattice runs once per distinct unit and groups its edges inside a part, without
+a shuffle.  The parts answer the blocks in the order asked.  The piece table
+(at most ``MAX_PIECES`` rows, checked) is broadcast.
 
 Defined cases: a null text encodes as an empty list (``text_sha256`` of the
 empty text), as does an empty one; null ids and repeated rows give their rows;
@@ -43,13 +45,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from babelcask.llm import tokens as T
-from babelcask.llm.work import Staging
+from babelcask.llm.numpack import halves, joined, pack, unpack
+from babelcask.llm.work import Staging, bucketed
 from babelcask.session import shuffle_partitions
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK, NO_PIECE = "\u2581", "\uffff"
 MAX_PIECES = 1_000_000
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 12_000_000
+#: Distinct units per part, about: one task holds the edges of one part.
+PART_UNITS = 25_000
 PART_BYTES = 2_000_000
 #: Positions per inner fold; the outer fold keeps one array per segment.
 SEGMENT = 256
@@ -112,7 +117,7 @@ def _unit_hashes(w: T.Words) -> np.ndarray:
     return T.mix(np.add.reduceat(T._BYTE_VALUE[w.data] * T.powers(int(place.max()) + 1)[place], w.starts))
 
 
-def _blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray, list[str]]]:
+def _blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray, list[str]]]:
     """(first, last, distinct units by falling count, unit numbers, units per text, sha256 of each text)."""
     data, texts = T.raw_bytes(_padded(batch.column("text")))
     body = data.tobytes()
@@ -133,54 +138,136 @@ def _blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str], np.
         order = np.argsort(-times, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        units = [body[a:b].decode() for a, b in offsets[first[order]]]
+        units = [body[a:b] for a, b in offsets[first[order]].tolist()]
         digests = [hashlib.sha256(body[a + (b > a): b]).hexdigest()
                    for a, b in zip(texts[i:j], texts[i + 1: j + 1], strict=True)]
         yield i, j, units, rank[number], np.concatenate(counts), digests
         i = j
 
 
-BLOCK = ("block long, doc_ids array<long>, digests array<string>, per_text binary, n_units int, numbers binary, "
-         "units array<string>")
+BLOCK = "block long, doc_ids array<long>, digests array<string>, per_text binary, numbers binary, n_names int, names binary"
+
+
+def _pack_names(units: list[bytes]) -> bytes:
+    return joined(pack(np.array([len(u) for u in units], np.int64)), pa.compress(b"".join(units), codec="zstd", asbytes=True))
+
+
+def _unpack_names(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets)."""
+    head, body = halves(blob)
+    at = np.concatenate([[0], np.cumsum(unpack(head)[0].astype(np.int64))])
+    return np.frombuffer(pa.decompress(body, int(at[-1]), codec="zstd", asbytes=True), np.uint8), at
+
+
+def _name_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = []
+    for lo in range(0, len(at) - 1, 200_000):
+        part = at[lo: lo + 200_001]
+        body = data[part[0]: part[-1]]
+        out.append(_unit_hashes(T.Words(body, part, part[:-1] - part[0], part[1:] - part[0], part)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, units, numbers, per_text, digests in _blocks_of(batch):
-            planes = numbers.view(np.uint8).reshape(-1, 4).T.tobytes()
             yield pa.RecordBatch.from_arrays([
                 pa.array([uuid.uuid4().int >> 65], pa.int64()),
                 pa.array([batch.column("doc_id").slice(first, last - first).to_pylist()], pa.list_(pa.int64())),
                 pa.array([digests], pa.list_(pa.string())),
-                pa.array([per_text.astype(np.int32).tobytes()], pa.binary()),
-                pa.array([len(numbers)], pa.int32()),
-                pa.array([pa.compress(planes, codec="zstd", asbytes=True)], pa.binary()),
-                pa.array([units], pa.list_(pa.string()))],
-                names=["block", "doc_ids", "digests", "per_text", "n_units", "numbers", "units"])
+                pa.array([pack(per_text)], pa.binary()), pa.array([pack(numbers)], pa.binary()),
+                pa.array([len(units)], pa.int32()), pa.array([_pack_names(units)], pa.binary())],
+                names=["block", "doc_ids", "digests", "per_text", "numbers", "n_names", "names"])
+
+
+ASKED = "part int, of_block long, asked binary"
+
+
+def _ask(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("names").to_pylist(), strict=True):
+                data, at = _unpack_names(blob)
+                part = (_name_hashes(data, at) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                edge = np.searchsorted(part[order], np.arange(parts + 1))
+                body, rows = data.tobytes(), []
+                for p in np.flatnonzero(np.diff(edge)).tolist():
+                    mine = order[edge[p]: edge[p + 1]]
+                    rows.append((p, block, _pack_names([body[at[i]: at[i + 1]] for i in mine])))
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)],
+                        names=["part", "of_block", "asked"])
+    return run
+
+
+def _distinct_names(messages: list[bytes]) -> tuple[list[str], list[np.ndarray]]:
+    """Distinct units of one part in the order of their hashes, and each message's units as numbers of them."""
+    unpacked = [_unpack_names(m) for m in messages]
+    hashes = [_name_hashes(data, at) for data, at in unpacked]
+    _, first, number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    ends = np.cumsum([len(h) for h in hashes])
+    units = []
+    for i in first.tolist():
+        k = int(np.searchsorted(ends, i, "right"))
+        data, at = unpacked[k]
+        j = i - (int(ends[k - 1]) if k else 0)
+        units.append(data[at[j]: at[j + 1]].tobytes().decode())
+    return units, np.split(number, ends[:-1])
+
+
+def _units_of(group: pa.Table) -> pa.Table:
+    units, _ = _distinct_names(group.column("asked").to_pylist())
+    return pa.Table.from_arrays(
+        [pa.array([group.column("part")[0].as_py()] * len(units), pa.int32()), pa.array(np.arange(len(units), dtype=np.int32)),
+         pa.array(units, pa.string())], names=["of_part", "number", "unit"])
+
+
+ANSWERED = "of_block long, part int, answer binary"
+
+
+def _answer(byte_ids: list[int]):
+    def run(asked: pa.Table, paths: pa.Table) -> pa.Table:
+        """Every block's units of one part as (number of pieces, pieces), in the order asked."""
+        if not asked.num_rows:
+            return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.binary())],
+                                        names=["of_block", "part", "answer"])
+        _, numbers = _distinct_names(asked.column("asked").to_pylist())
+        order = np.argsort(paths.column("number").to_numpy())
+        lists = paths.column("path").combine_chunks()
+        flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+        flat, sizes = _byte_fallback(flat, sizes, byte_ids)
+        start, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        answers = [joined(pack(sizes[n]), pack(_gather(flat, start[n], sizes[n]))) for n in numbers]
+        return pa.Table.from_arrays(
+            [asked.column("of_block"), asked.column("part"), pa.array(answers, pa.binary())], names=["of_block", "part", "answer"])
+    return run
 
 
 # ---- lattice (Spark) ------------------------------------------------------------------------------------
 
-def segment(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``units(unit)``, distinct -> (unit, path): the piece ids, -1 - code point for a character without a piece.
+def segment(units: DataFrame, pieces: Pieces, key: list[str]) -> DataFrame:
+    """``units(*key, unit)``, one row per key -> (*key, path): piece ids, -1 - code point for a character without a piece.
 
-    No exchange: everything is grouped by ``unit``, by which the rows are placed already.
+    Rows that are placed by a part of the key are grouped without an exchange.
     """
     table = F.broadcast(units.sparkSession.createDataFrame(pieces.rows, "piece string, id int, score double"))
     # a text's own U+2581 is not a blank: it becomes a character that no piece holds
     spelled = (units.withColumn("said", F.translate("unit", BLANK + " ", NO_PIECE + BLANK))
                .withColumn("n", F.char_length("said")))
-    starts = spelled.select("unit", "said", "n", F.explode(F.sequence(F.lit(1), "n")).alias("s"))
-    spans = starts.select("unit", "said", "s", F.explode(F.sequence(
+    starts = spelled.select(*key, "unit", "said", "n", F.explode(F.sequence(F.lit(1), "n")).alias("s"))
+    spans = starts.select(*key, "unit", "said", "s", F.explode(F.sequence(
         F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("s") + 1))).alias("l"))
-    spans = spans.select("unit", "s", "l", F.substring("said", F.col("s"), F.col("l")).alias("piece"))
+    spans = spans.select(*key, F.substring("unit", F.col("s"), F.lit(1)).alias("first"), "s", "l",
+                         F.substring("said", F.col("s"), F.col("l")).alias("piece"))
     edges = (spans.join(table, "piece", "left").filter("id IS NOT NULL OR l = 1")
-             .select("unit", F.struct(
+             .select(*key, F.struct(
                  (F.col("s") + F.col("l")).alias("e"), F.col("l"),
-                 F.coalesce("id", -1 - F.ascii(F.substring("unit", F.col("s"), F.lit(1)))).alias("id"),
+                 F.coalesce("id", -1 - F.ascii("first")).alias("id"),
                  F.coalesce("score", F.lit(pieces.fallback)).alias("score")).alias("edge")))
-    lattice = edges.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    return lattice.select("unit", _viterbi(pieces.longest).alias("path"))
+    lattice = edges.groupBy(*key).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    return lattice.select(*key, _viterbi(pieces.longest).alias("path"))
 
 
 def _viterbi(longest: int):
@@ -260,22 +347,25 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[lead + np.arange(total)]
 
 
-def _assemble(byte_ids: list[int]):
-    def run(blocks: pa.Table, paths: pa.Table) -> pa.Table:
+def _assemble(parts: int):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         if not blocks.num_rows:
             return _ENCODED.empty_table()
         block = blocks.slice(0, 1).to_pylist()[0]
-        order = np.argsort(paths.column("number").to_numpy())
-        lists = paths.column("path").combine_chunks()
-        flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
-        flat, sizes = _byte_fallback(flat, sizes, byte_ids)
-        start = (np.cumsum(sizes) - sizes)[order]
-        sizes = sizes[order]
-        planes = np.frombuffer(pa.decompress(block["numbers"], 4 * block["n_units"], codec="zstd", asbytes=True), np.uint8)
-        numbers = planes.reshape(4, -1).T.copy().view(np.uint32).ravel()
-        ids = _gather(flat, start[numbers], sizes[numbers])
+        part = (_name_hashes(*_unpack_names(block["names"])) % np.uint64(parts)).astype(np.int64)
+        sizes, start = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        flat, at = [np.zeros(0, np.uint64)], 0
+        for p, blob in zip(answers.column("part").to_pylist(), answers.column("answer").to_pylist(), strict=True):
+            head, body = halves(blob)
+            size, ids = unpack(head)[0].astype(np.int64), unpack(body)[0]
+            mine = np.flatnonzero(part == p)
+            sizes[mine], start[mine] = size, at + np.cumsum(size) - size
+            flat.append(ids)
+            at += len(ids)
+        numbers = unpack(block["numbers"])[0].astype(np.int64)
+        ids = _gather(np.concatenate(flat), start[numbers], sizes[numbers])
         per_unit = np.concatenate([[0], np.cumsum(sizes[numbers])])
-        per_text = np.concatenate([[0], np.cumsum(np.frombuffer(block["per_text"], np.int32))])
+        per_text = np.concatenate([[0], np.cumsum(unpack(block["per_text"])[0].astype(np.int64))])
         return pa.Table.from_arrays([
             pa.array(block["doc_ids"], pa.int64()),
             pa.ListArray.from_arrays(pa.array(per_unit[per_text].astype(np.int32)), pa.array(ids.astype(np.int32))),
@@ -287,26 +377,19 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> (doc_id, ids, text_sha256), one row per row of ``docs``."""
     spark = docs.sparkSession
     pieces = pieces or Pieces()
+    stage = Staging(spark, "pieces")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = bucketed(texts.mapInArrow(_make_blocks, BLOCK), "block", Staging(spark, "pieces").root,
-                      max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark)))
-    named = (blocks.select("block", F.posexplode("units").alias("number", "unit"))
-             .withColumnRenamed("block", "of_block")
-             .repartition(shuffle_partitions(spark), "unit"))
-    answers = named.join(segment(named.select("unit").distinct(), pieces), "unit").select("of_block", "number", "path")
-    rows = blocks.select("block", "doc_ids", "digests", "per_text", "n_units", "numbers")
-    return (rows.groupBy("block").cogroup(answers.groupBy("of_block"))
-            .applyInArrow(_assemble(pieces.byte_ids), ENCODED))
-
-
-def bucketed(df: DataFrame, key: str, root: str, buckets: int) -> DataFrame:
-    """``df`` written as a table bucketed by ``key``, without a shuffle: each task adds its rows to its buckets' files."""
-    name = f"blocks_{uuid.uuid4().hex[:16]}"
-    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{root}/{name}").saveAsTable(name)
-    out = df.sparkSession.table(name)
-    out.schema  # resolved: the plan keeps files and buckets, the catalogue entry is not needed any more
-    df.sparkSession.sql(f"DROP TABLE {name}")
-    return out
+    least = max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
+    blocks = bucketed(texts.mapInArrow(_make_blocks, BLOCK), "block", stage.root, least)
+    # every block's distinct units counted once bound the distinct units from above
+    parts = max(least, -(-int(blocks.agg(F.sum("n_names")).first()[0] or 0) // (4 * PART_UNITS)))
+    asked = blocks.select("block", "names").mapInArrow(_ask(parts), ASKED)
+    units = bucketed(asked.groupBy("part").applyInArrow(_units_of, "of_part int, number int, unit string"),
+                     "of_part", stage.root, parts)
+    paths = bucketed(segment(units, pieces, ["of_part", "number"]), "of_part", stage.root, parts)
+    answers = stage.write(asked.groupBy("part").cogroup(paths.groupBy("of_part"))
+                          .applyInArrow(_answer(pieces.byte_ids), ANSWERED), "answers")
+    return (blocks.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(_assemble(parts), ENCODED))
 
 
 def _decode(spelling):
