@@ -52,7 +52,7 @@ from babelcask.session import shuffle_partitions
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK, NO_PIECE = "\u2581", "\uffff"
 MAX_PIECES = 1_000_000
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 6_000_000
 #: Distinct units per part, about: one task holds the edges of one part.
 PART_UNITS = 25_000
 PART_BYTES = 2_000_000
@@ -119,15 +119,16 @@ def _unit_hashes(w: T.Words) -> np.ndarray:
 
 def _blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray, list[str]]]:
     """(first, last, distinct units by falling count, unit numbers, units per text, sha256 of each text)."""
-    data, texts = T.raw_bytes(_padded(batch.column("text")))
-    body = data.tobytes()
-    i, n = 0, len(texts) - 1
+    _, all_texts = T.raw_bytes(batch.column("text"))
+    i, n = 0, len(all_texts) - 1
     while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(texts, texts[i] + BLOCK_BYTES, "right")) - 1))
+        j = min(n, max(i + 1, int(np.searchsorted(all_texts, all_texts[i] + BLOCK_BYTES, "right")) - 1))
+        data, texts = T.raw_bytes(_padded(batch.column("text").slice(i, j - i)))
+        body = data.tobytes()
         hashes, counts, offsets = [], [], []
-        k = i
-        while k < j:      # a part at a time: byte-wise work needs some 30 bytes a byte
-            m = min(j, max(k + 1, int(np.searchsorted(texts, texts[k] + PART_BYTES, "right")) - 1))
+        k = 0
+        while k < j - i:      # a part at a time: byte-wise work needs some 30 bytes a byte
+            m = min(j - i, max(k + 1, int(np.searchsorted(texts, texts[k] + PART_BYTES, "right")) - 1))
             w = split_units(data[texts[k]: texts[m]], texts[k: m + 1] - texts[k])
             hashes.append(_unit_hashes(w))
             counts.append(np.diff(w.rows))
@@ -140,7 +141,7 @@ def _blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes], n
         rank[order] = np.arange(len(order), dtype=np.uint32)
         units = [body[a:b] for a, b in offsets[first[order]].tolist()]
         digests = [hashlib.sha256(body[a + (b > a): b]).hexdigest()
-                   for a, b in zip(texts[i:j], texts[i + 1: j + 1], strict=True)]
+                   for a, b in zip(texts[:-1], texts[1:], strict=True)]
         yield i, j, units, rank[number], np.concatenate(counts), digests
         i = j
 
@@ -257,8 +258,12 @@ def segment(units: DataFrame, pieces: Pieces, key: list[str]) -> DataFrame:
     spelled = (units.withColumn("said", F.translate("unit", BLANK + " ", NO_PIECE + BLANK))
                .withColumn("n", F.char_length("said")))
     starts = spelled.select(*key, "unit", "said", "n", F.explode(F.sequence(F.lit(1), "n")).alias("s"))
+    # the longest piece that begins with the next two characters bounds the substrings from here
+    reach = F.broadcast(table.groupBy(F.substring("piece", 1, 2).alias("two")).agg(F.max(F.char_length("piece")).alias("most")))
+    starts = (starts.withColumn("two", F.substring("said", F.col("s"), F.lit(2))).join(reach, "two", "left")
+              .withColumn("most", F.coalesce("most", F.lit(1))))
     spans = starts.select(*key, "unit", "said", "s", F.explode(F.sequence(
-        F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("s") + 1))).alias("l"))
+        F.lit(1), F.least("most", F.col("n") - F.col("s") + 1))).alias("l"))
     spans = spans.select(*key, F.substring("unit", F.col("s"), F.lit(1)).alias("first"), "s", "l",
                          F.substring("said", F.col("s"), F.col("l")).alias("piece"))
     edges = (spans.join(table, "piece", "left").filter("id IS NOT NULL OR l = 1")
