@@ -13,8 +13,11 @@ fields of 512 estimate ``(m/512 - 1/4) / (1 - 1/4)``; below 0.69 (5 standard
 errors under 0.8) a pair goes no further.  The rest is confirmed on the full sets.
 
 Large groups: equal sets become one representative first.  In the first round
-a band key's members are compared with the key's least member only, which
-joins a group of n near copies by n - 1 comparisons.  Further rounds compare
+a band key's members are compared with one member only, which
+joins a group of n near copies by n - 1 comparisons: the member with the
+smallest share of shingles that no other candidate has.  Before, a
+member goes out of a key if its other shingles are too few for a link with
+any member (an exact bound).  Further rounds compare
 the members that are in other components than a random member of their key
 with that member, as long as rounds find links and the pairs left over (same
 key, different components) outnumber the members ``LEFT_OVER`` times.  What is
@@ -135,6 +138,14 @@ def _sets(wanted):
     return run
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles").slice(lo, 500)]
+            ids = np.repeat(batch.column("id").slice(lo, 500).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(ids)], names=["shingle", "rep"])
+
+
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = T.mix(batch.column(0).to_numpy().astype(np.int64).view(np.uint64))
@@ -201,15 +212,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = stage.write(signed.join(classes, "digest").filter("doc_id = rep")
                        .select("rep", "digest", "bands", "packed").dropDuplicates(["digest"]), "reps")
     keys = reps.select("rep", F.explode("bands").alias("key"))
-    hubs = (keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n"))
-            .filter("n > 1").drop("n"))
-    grouped = stage.write(keys.join(hubs, "key").select("key", "hub", "rep"), "grouped")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    together = stage.write(keys.join(shared, "key"), "together")
     packed = reps.select("rep", "packed")
     # the sets of documents in some group; the filter keeps the other texts from being moved
-    wanted = grouped.select(F.col("rep").alias("id")).distinct()
+    wanted = together.select(F.col("rep").alias("id")).distinct()
     bits = docs.sparkSession.sparkContext.broadcast(make_filter(wanted.mapInArrow(_mixed, "key long")))
     sets = stage.write(texts.mapInArrow(_sets(bits), "id long, shingles binary").join(wanted, "id", "left_semi"), "sets")
-    first = grouped.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    # shingles of one document only can be in no intersection: |A & B| <= least number of the others
+    lone = (sets.mapInArrow(_shingle_rows, "shingle long, rep long").groupBy("shingle")
+            .agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).filter("rep = last")
+            .groupBy("rep").agg(F.count("*").alias("lone")))
+    info = stage.write(
+        sets.groupBy(F.col("id").alias("rep")).agg(F.max(F.octet_length("shingles") / 8).cast("long").alias("n"))
+        .join(lone, "rep", "left").select("rep", "n", F.coalesce("lone", F.lit(0)).alias("lone")), "info")
+    sized = stage.write(together.join(info, "rep"), "sized")
+    least = sized.groupBy("key").agg(F.min("n").alias("least"))
+    # a link needs |A & B| >= 80/180 (|A| + |B|)
+    able = sized.join(least, "key").filter(
+        F.expr(f"{OF + SIMILAR} * (n - lone) >= {SIMILAR} * (n + least)")).select("key", "rep", "n", "lone")
+    hubs = (able.groupBy("key").agg(F.min(F.struct((F.col("lone") / F.col("n")).alias("odd"), "rep")).alias("hub"),
+                                    F.count("*").alias("members")).filter("members > 1")
+            .select("key", F.col("hub.rep").alias("hub")))
+    grouped = stage.write(able.join(hubs, "key").select("key", "hub", "rep"), "grouped")
+    first = (grouped.filter("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+             .distinct())
     links1 = stage.write(_links(_likely(first, packed), sets), "links1")
     links, found, turn = links1, True, 0
     while True:
