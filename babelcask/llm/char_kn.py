@@ -64,6 +64,15 @@ def distinct_words(w: T.Words, hashes: np.ndarray, classes: np.ndarray | None =
     return first, n, group
 
 
+def distinct_grams(window: np.ndarray, length: np.ndarray, classes: np.ndarray | None = None):
+    """(first place of each distinct gram, number of each prediction's gram); grams of different classes differ."""
+    key = pack(window, length)
+    if classes is not None:
+        key = key | ((classes + 1).astype(np.uint64) << U64(44))
+    _, first, group = np.unique(key, return_index=True, return_inverse=True)
+    return first, group
+
+
 def count_grams(w: T.Words, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class, packed gram, n) of a chunk; ``classes`` per word, negative: not counted."""
     hashes = w.hashes()

@@ -94,7 +94,9 @@ def _scorer(langs: dict[str, int], model):
                 codes = K.class_codes(part.column("lang"), langs)[w.owner()]
                 at, _, group = K.distinct_words(w, w.hashes(), codes)
                 window, length, per = K.word_grams(w.data, w.starts[at], w.ends[at])
-                logp = arrays.log_prob(window, length, np.repeat(codes[at], per))
+                cls = np.repeat(codes[at], per)
+                one, gram = K.distinct_grams(window, length, cls)
+                logp = arrays.log_prob(window[one], length[one], cls[one])[gram]
                 of_word = np.add.reduceat(logp, np.cumsum(per) - per)[group]
                 total = np.concatenate([[0.0], np.cumsum(of_word)])
                 log_prob = total[w.rows[1:]] - total[w.rows[:-1]]

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from babelcask.llm import char_kn as K
 from babelcask.llm import tokens as T
+from babelcask.llm.bitfilter import make_filter, passing
 from babelcask.llm.work import Staging
 
 WINDOW = 16
@@ -53,6 +54,14 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(g.astype(np.int64)), pa.array(n)], names=["cls", "g", "c"])
 
 
+def _labelled(wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = passing(wanted.value, batch.column("key").to_numpy().view(np.uint64))
+            yield batch.select(["doc_id", "text"]).take(pa.array(at))
+    return run
+
+
 def evidence(arrays: K.HashArrays, window: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Log-likelihood ratio, toxic over ordinary, of each predicted byte."""
     pooled = arrays.log_prob(window, length, K.SHARED)
@@ -93,7 +102,8 @@ def _featurer(model):
             if len(w.starts):
                 at, _, group = K.distinct_words(w, w.hashes())
                 window, length, per = K.word_grams(w.data, w.starts[at], w.ends[at])
-                ratio = evidence(arrays, window, length)
+                one, gram = K.distinct_grams(window, length)
+                ratio = evidence(arrays, window[one], length[one])[gram]
                 mean, peak = features(w, np.add.reduceat(ratio, np.cumsum(per) - per)[group])
             else:
                 mean = peak = np.zeros(last - first)
@@ -185,7 +195,11 @@ def score(docs: DataFrame, labels: DataFrame, local_rows: int = K.MAX_LOCAL_ROWS
              .dropna().filter(bucket(F.col("doc_id"), 4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .filter(F.col("toxic").isin(0, 1)))
     rest = bucket(F.col("doc_id"), 4)
-    counted = (texts.filter(rest.isin(0, 1)).join(known, "doc_id").select("text", "toxic")
+    # labelled texts move by shuffle at every size; those without a label stay (the filter has no false negatives)
+    wanted = spark.sparkContext.broadcast(make_filter(known.select(F.xxhash64("doc_id").alias("key"))))
+    chosen = (texts.filter(rest.isin(0, 1)).withColumn("key", F.xxhash64("doc_id"))
+              .mapInArrow(_labelled(wanted), "doc_id long, text string"))
+    counted = (chosen.join(known.hint("shuffle_hash"), "doc_id").select("text", "toxic")
                .mapInArrow(_counter, "cls long, g long, c long").groupBy("cls", "g").agg(F.sum("c").alias("c")))
     full = stage.write(counted, "grams")
     model = K.fit_shared(full, stage, "kn")
