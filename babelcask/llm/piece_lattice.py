@@ -52,10 +52,10 @@ from babelcask.session import shuffle_partitions
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK, NO_PIECE = "\u2581", "\uffff"
 MAX_PIECES = 1_000_000
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 #: Distinct units per part, about: one task holds the edges of one part.
 PART_UNITS = 25_000
-PART_BYTES = 2_000_000
+PART_BYTES = 1_000_000
 #: Positions per inner fold; the outer fold keeps one array per segment.
 SEGMENT = 256
 
