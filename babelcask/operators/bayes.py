@@ -28,6 +28,10 @@ from babelcask.session import cut_lineage, shuffle_partitions
 # is known after fitting, so the broadcast is behind a size check.
 MAX_BROADCAST_BYTES = 128 << 20
 
+# Log prior (micro-nats) of a class without a training row: below what any
+# text can make up for, so the class is predicted only if no other exists.
+NO_ROWS_PRIOR = -10**15
+
 
 @dataclass
 class NaiveBayesModel:
@@ -78,11 +82,14 @@ def _ln_micro_many(spark: SparkSession, pairs: list[tuple[float, float]]) -> lis
     """
     if not pairs:
         return []
+    if any(a <= 0 or b <= 0 for a, b in pairs):
+        known = iter(_ln_micro_many(spark, [(a, b) for a, b in pairs if a > 0 and b > 0]))
+        return [next(known) if a > 0 and b > 0 else NO_ROWS_PRIOR for a, b in pairs]
     def d(x):
         return f"CAST('{float(x)!r}' AS DOUBLE)"
     exprs = [f"CAST(ROUND(LN({d(a)} / {d(b)}) * {d(MICRO)}) AS BIGINT) AS v{i}" for i, (a, b) in enumerate(pairs)]
     row = spark.range(1).selectExpr(*exprs).first()
-    return [int(v) if v is not None else None for v in row]
+    return [int(v) for v in row]
 
 
 @dataclass
@@ -294,7 +301,8 @@ def _salt_hot_keys(feats: DataFrame, m: DataFrame, cond_pairs, id_col: str):
     n = shuffle_partitions(feats.sparkSession)
     hot = F.broadcast(hot_keys(feats, [fc for fc, _ in cond_pairs], n).withColumn("_hot", F.lit(True)))
     hk = [f"_hk{i}" for i in range(len(cond_pairs))]
-    f_on = [fc == F.col(h) for (fc, _), h in zip(cond_pairs, hk)]
+    # null-safe: a document with a blank end has a null gram, which may be the hottest key of all
+    f_on = [fc.eqNullSafe(F.col(h)) for (fc, _), h in zip(cond_pairs, hk)]
     feats = (feats.join(hot, f_on, "left")
              .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)))
                          .otherwise(F.lit(0)).cast("int"))

@@ -76,4 +76,4 @@ def roc_auc(ovr: DataFrame) -> DataFrame:
     return area.join(tot, "class").select(
         "class",
         F.when((F.col("P") > 0) & (F.col("N") > 0),
-               F.round(F.col("_a") / (F.col("P") * F.col("N")).cast("double"), DIGITS)).alias("auc"))
+               F.round(F.col("_a") / (F.col("P").cast("double") * F.col("N").cast("double")), DIGITS)).alias("auc"))

@@ -71,9 +71,10 @@ def class_plan(df: DataFrame, class_col: str, test_size: float = TEST_SIZE) -> D
     c = (counts
          .withColumn("n_all", F.sum("n").over(everything))
          .withColumn("n_train", F.col("n_all") - F.ceil(F.lit(float(test_size)) * F.col("n_all")).cast("long"))
-         .withColumn("_share", F.col("n") * F.col("n_train"))
-         .withColumn("_floor", F.expr("_share div n_all"))
-         .withColumn("_rem", F.expr("_share % n_all"))
+         # a product of two row counts passes 64 bits from about 3e9 rows on
+         .withColumn("_share", F.col("n").cast("decimal(19,0)") * F.col("n_train").cast("decimal(18,0)"))
+         .withColumn("_floor", F.expr("CAST(_share div n_all AS BIGINT)"))
+         .withColumn("_rem", F.expr("CAST(_share % n_all AS BIGINT)"))
          .withColumn("_offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long")))
     c = c.withColumn("_need", F.col("n_train") - F.sum("_floor").over(everything))
     c = c.withColumn("_order", F.row_number().over(Window.orderBy(F.desc("_rem"), F.col(class_col))))

@@ -34,11 +34,13 @@ def with_gram_terms(df: DataFrame, text_col: str = "text", out: str = "terms") -
     return df.withColumn(out, doc_grams_array(F.col(text_col)))
 
 
-def lr_pipeline(label_col: str = "label", max_iter: int = 10, reg: float = 0.0) -> Pipeline:
+def lr_pipeline(label_col: str = "label", max_iter: int = 10, reg: float = 0.0,
+                hash_features: int = HASH_FEATURES) -> Pipeline:
+    """``hash_features``: size of the feature space; grams that share a slot share a weight."""
     return Pipeline(stages=[
         StringIndexer(inputCol=label_col, outputCol="label_idx", stringOrderType="alphabetAsc",
                       handleInvalid="error"),
-        HashingTF(inputCol="terms", outputCol="features", numFeatures=HASH_FEATURES),
+        HashingTF(inputCol="terms", outputCol="features", numFeatures=hash_features),
         LogisticRegression(featuresCol="features", labelCol="label_idx", family="multinomial",
                            maxIter=max_iter, regParam=reg),
     ])

@@ -236,16 +236,18 @@ def baseline_eval(cp: Corpus) -> DataFrame:
 
 
 def predict(model: CascadeModel, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Cascade on new texts: (id, predicted_language, predicted_sentiment).
+    """Cascade on new texts: (id, text, predicted_language, predicted_sentiment).
 
-    Every input row is kept, duplicates included; a null or empty text gets
-    the class priors only.
+    One output row per input row, with equal or null ids too: rows get a
+    number of their own, written once with the row.  A null text has null
+    predictions; an empty one gets the class priors only.
     """
-    src = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    feats = gram_counts(src)
-    s = score_cascade(model, feats)
-    return s.select(F.col("doc_id").alias(id_col), "predicted_language",
-                    F.col("predicted_label").alias("predicted_sentiment"))
+    rows = cut_lineage(texts.select(F.col(id_col), F.col(text_col).alias("text"))
+                       .withColumn("_row", F.monotonically_increasing_id()), "predict")
+    feats = gram_counts(rows.where(F.col("text").isNotNull()).select(F.col("_row").alias("doc_id"), "text"))
+    s = score_cascade(model, feats).select(
+        F.col("doc_id").alias("_row"), "predicted_language", F.col("predicted_label").alias("predicted_sentiment"))
+    return rows.join(s, "_row", "left").select(id_col, "text", "predicted_language", "predicted_sentiment")
 
 
 def predict_unlabelled(cp: Corpus, model: CascadeModel | None = None) -> DataFrame:

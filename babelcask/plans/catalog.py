@@ -211,7 +211,7 @@ def q_cascade_gold_vs_pred(spark, sf_dir):
 
 
 def q_predict(spark, sf_dir):
-    return cascade.predict_unlabelled(corpus_of(spark, sf_dir), cascade_model(spark, sf_dir))
+    return cascade.predict_unlabelled(corpus_of(spark, sf_dir), cascade_model(spark, sf_dir)).drop("text")
 
 
 def q_best_candidate(spark, sf_dir):
@@ -413,7 +413,7 @@ def q_model_reload_predict(spark, sf_dir):
     """Save the fitted cascade, load it back (guarded), predict the unlabelled documents."""
     path = models.save_cascade(cascade_model(spark, sf_dir), models.new_folder(spark, "models"))
     loaded = models.load_cascade(spark, path)
-    return cascade.predict(loaded, tables.unlabelled_documents(spark, sf_dir))
+    return cascade.predict(loaded, tables.unlabelled_documents(spark, sf_dir)).drop("text")
 
 
 def q_predict_conversations(spark, sf_dir):

@@ -50,7 +50,7 @@ def split_ctes(name: str = "assign", cls_col: str = "label", src: str = "corpus"
   FROM {name}_cls
 ),
 {name}_q0 AS (
-  SELECT c.cls, c.n, (c.n * t.n_train) // t.n_all AS fl, (c.n * t.n_train) % t.n_all AS rem, t.n_train,
+  SELECT c.cls, c.n, (CAST(c.n AS HUGEINT) * t.n_train) // t.n_all AS fl, (CAST(c.n AS HUGEINT) * t.n_train) % t.n_all AS rem, t.n_train,
          coalesce(sum(c.n) OVER (ORDER BY c.cls ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
   FROM {name}_cls c, {name}_tot t
 ),
@@ -333,7 +333,7 @@ FROM pts JOIN tot USING (class)"""
 ROC_AUC = """
 SELECT c.class,
        CASE WHEN t.P > 0 AND t.N > 0 THEN
-         round(sum(c.ng * (c.tp - c.p / CAST(2 AS DOUBLE))) / CAST(t.P * t.N AS DOUBLE), 6) END AS auc
+         round(sum(c.ng * (c.tp - c.p / CAST(2 AS DOUBLE))) / (CAST(t.P AS DOUBLE) * CAST(t.N AS DOUBLE)), 6) END AS auc
 FROM cum c JOIN tot t USING (class)
 GROUP BY c.class, t.P, t.N"""
 

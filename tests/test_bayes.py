@@ -93,3 +93,14 @@ def test_fold_counts_marginal_equal_direct_fold_fit(spark):
     assert direct.vocab == summed.vocab and direct.priors == summed.priors
     rows = lambda m: sorted((r["gram"], r["fold"], tuple(r["scores"])) for r in m.table.collect())
     assert rows(direct) == rows(summed)
+
+
+def test_class_without_training_rows_is_never_predicted(spark):
+    """A class of the dictionary whose rows all fall in the test part."""
+    from babelcask.operators import bayes
+    feats = spark.createDataFrame([(1, "abc", "x", 2), (2, "bcd", "y", 1)], "doc_id long, gram string, label string, n long")
+    docs = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, label string")
+    model = bayes.fit(feats, docs, "label", ("x", "y", "z"))
+    assert model.priors[None][2] == bayes.NO_ROWS_PRIOR
+    out = bayes.score(model, feats.select("doc_id", "gram", "n"), out="s").select("doc_id", bayes.predict_ids("s").alias("p"))
+    assert sorted((r["doc_id"], r["p"]) for r in out.collect()) == [(1, 0), (2, 1)]

@@ -18,11 +18,12 @@ def test_predict_empty_and_duplicates(spark):
     m = catalog.cascade_model(spark, SMALL)
     empty = spark.createDataFrame([], DOC_SCHEMA)
     assert cascade.predict(m, empty).count() == 0
-    dup = spark.createDataFrame([(1, "the same text"), (2, "the same text"), (3, None)], DOC_SCHEMA)
-    out = {r["doc_id"]: r for r in cascade.predict(m, dup).collect()}
-    assert len(out) == 3
-    assert out[1]["predicted_language"] == out[2]["predicted_language"]
-    assert out[3]["predicted_sentiment"] is not None
+    rows = [(1, "the same text"), (2, "the same text"), (2, "the same text"), (2, "un autre texte"), (3, None), (None, "x"), (None, "x")]
+    out = cascade.predict(m, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in out) == sorted((str(a), str(b)) for a, b in rows)
+    same = {(r["predicted_language"], r["predicted_sentiment"]) for r in out if r["text"] == "the same text"}
+    assert len(same) == 1 and None not in same.pop()
+    assert [tuple(r)[2:] for r in out if r["text"] is None] == [(None, None)]
 
 
 def test_save_load_and_guard(spark, scratch):
@@ -47,7 +48,7 @@ def test_stream_equals_batch(spark, scratch):
     out = read_predictions(spark, f"{scratch}/out")
     cols = ["doc_id", "predicted_language", "predicted_sentiment"]
     got = sorted(tuple(r) for r in out.select(cols).collect())
-    want = sorted(tuple(r) for r in cascade.predict(m, docs).collect())
+    want = sorted(tuple(r) for r in cascade.predict(m, docs).select(cols).collect())
     assert got == want
     assert out.select("batch_id").distinct().count() == 3   # one folder per micro-batch
     # a restart from the same checkpoint finds every batch done: nothing is added

@@ -77,3 +77,13 @@ def test_seeded_order_is_a_permutation_matching_the_window(spark):
     want = d.withColumn("_h", order_key("doc_id")).select(
         "doc_id", F.row_number().over(Window.orderBy("_h", "doc_id")).alias("position"))
     assert got == {tuple(r) for r in want.collect()}
+
+
+def test_class_plan_of_very_many_rows(spark):
+    """Products of row counts past 64 bits (counts put in as they would come out of the groupBy)."""
+    from pyspark.sql import functions as F
+    n, n_train = 10**11, 8 * 10**10
+    row = spark.range(1).select(F.lit(n).alias("n"), F.lit(n_train).alias("t"), F.lit(n + 7).alias("a")).select(
+        F.expr("CAST(CAST(n AS DECIMAL(19,0)) * CAST(t AS DECIMAL(18,0)) div a AS BIGINT)").alias("q"),
+        F.expr("CAST(CAST(n AS DECIMAL(19,0)) * CAST(t AS DECIMAL(18,0)) % a AS BIGINT)").alias("r")).first()
+    assert (row["q"], row["r"]) == divmod(n * n_train, n + 7)
