@@ -324,8 +324,9 @@ def _viterbi(longest: int):
 
 # ---- back to texts (numpy) --------------------------------------------------------------------------------
 
-ENCODED = "doc_id long, ids array<int>, text_sha256 string"
-_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text_sha256", pa.string())])
+ENCODED = "doc_id long, ids array<int>, text_sha256 string, decoded_sha256 string"
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text_sha256", pa.string()),
+                      ("decoded_sha256", pa.string())])
 
 
 def _byte_fallback(flat: np.ndarray, sizes: np.ndarray, byte_ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -352,7 +353,16 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[lead + np.arange(total)]
 
 
-def _assemble(parts: int):
+def _spelled(ids: np.ndarray, edge: np.ndarray, spelling: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """Texts of runs of piece ids (``edge``: their offsets), without the blank put before a text."""
+    data, at = spelling
+    width = (at[1:] - at[:-1])[ids]
+    body = _gather(data, at[ids], width).tobytes()
+    ends = np.concatenate([[0], np.cumsum(width)])[edge]
+    return [body[a + (b > a): b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _assemble(parts: int, spelling: tuple[np.ndarray, np.ndarray]):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         if not blocks.num_rows:
             return _ENCODED.empty_table()
@@ -371,15 +381,20 @@ def _assemble(parts: int):
         ids = _gather(np.concatenate(flat), start[numbers], sizes[numbers])
         per_unit = np.concatenate([[0], np.cumsum(sizes[numbers])])
         per_text = np.concatenate([[0], np.cumsum(unpack(block["per_text"])[0].astype(np.int64))])
+        ids = ids.astype(np.int32)
+        back = [hashlib.sha256(t).hexdigest() for t in _spelled(ids, per_unit[per_text], spelling)]
         return pa.Table.from_arrays([
             pa.array(block["doc_ids"], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(per_unit[per_text].astype(np.int32)), pa.array(ids.astype(np.int32))),
-            pa.array(block["digests"], pa.string())], schema=_ENCODED)
+            pa.ListArray.from_arrays(pa.array(per_unit[per_text].astype(np.int32)), pa.array(ids)),
+            pa.array(block["digests"], pa.string()), pa.array(back, pa.string())], schema=_ENCODED)
     return run
 
 
 def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` -> (doc_id, ids, text_sha256), one row per row of ``docs``."""
+    """``docs(doc_id, text)`` -> (doc_id, ids, text_sha256, decoded_sha256), one row per row of ``docs``.
+
+    The second digest is of what the ids decode to; it is taken where the ids are put together.
+    """
     spark = docs.sparkSession
     pieces = pieces or Pieces()
     stage = Staging(spark, "pieces")
@@ -394,23 +409,18 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     paths = bucketed(segment(units, pieces, ["of_part", "number"]), "of_part", stage.root, parts)
     answers = stage.write(asked.groupBy("part").cogroup(paths.groupBy("of_part"))
                           .applyInArrow(_answer(pieces.byte_ids), ANSWERED), "answers")
-    return (blocks.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(_assemble(parts), ENCODED))
+    return (blocks.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(_assemble(parts, pieces.spelling()), ENCODED))
 
 
 def _decode(spelling):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, at = spelling.value
         for batch in batches:
             column = batch.column("ids")
             step = max(1, int(2_000_000 * len(column) / max(1, len(column.flatten()))))
             for lo in range(0, len(column), step):
                 lists = column.slice(lo, step)
-                ids = lists.flatten().to_numpy()
-                width = (at[1:] - at[:-1])[ids]
-                body = _gather(data, at[ids], width).tobytes()
-                ends = np.concatenate([[0], np.cumsum(width)])
-                edge = ends[np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])]
-                text = [body[a + (b > a): b].decode("utf-8", "replace") for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                edge = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+                text = [t.decode("utf-8", "replace") for t in _spelled(lists.flatten().to_numpy(), edge, spelling.value)]
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).slice(lo, step) for c in batch.schema.names if c != "ids"],
                      pa.array(text, pa.string())], names=[*[c for c in batch.schema.names if c != "ids"], "text"])
@@ -427,9 +437,7 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
-    """(doc_id, n_pieces, ids_hash, text_sha256, round_trip): what decoding the ids gives, against the text."""
-    pieces = pieces or Pieces()
-    ids = encode(docs, pieces).select("doc_id", F.size("ids").cast("long").alias("n_pieces"),
-                                      F.xxhash64("ids").alias("ids_hash"), "text_sha256", "ids")
-    return decode(ids, pieces).select("doc_id", "n_pieces", "ids_hash", "text_sha256",
-                                      (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
+    """(doc_id, n_pieces, ids_hash, text_sha256, round_trip): whether the ids decode to the text."""
+    return encode(docs, pieces).select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "text_sha256",
+        (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip"))

@@ -330,6 +330,8 @@ def test_pieces_equal_the_library_and_round_trip(spark, docs, odd):
     for df in (docs, odd, strange):
         out = piece_lattice.round_trip(df)
         assert out.count() == df.count() and out.filter("NOT round_trip").count() == 0
+        back = piece_lattice.decode(piece_lattice.encode(df))
+        assert back.filter(F.sha2("text", 256) != F.col("text_sha256")).count() == 0 and back.count() == df.count()
     assert piece_lattice.round_trip(empty(docs)).count() == 0
 
 
