@@ -12,10 +12,10 @@ scores read as a unigram model; see the README for a model file whose own
 rule is byte-pair merging.
 
 Text is handled as the model file says: blanks become U+2581, one is put
-before a non-empty text.  No piece holds U+2581 after another character or a
-line break (checked when the table is read), so a text's best segmentation is
-that of its units: blanks with the characters up to the next blank, and every
-line break alone.
+before a non-empty text.  Where two neighbouring bytes are neighbours in no
+piece, no piece can span them, so a text's best segmentation is that of its
+units, cut at all such places (with the usual model files: words with the blank
+before them, runs of punctuation, single digits, single line breaks).
 
 Scale: tasks cut texts into blocks, name each distinct unit of a block once,
 and keep the texts as compressed unit numbers in a table bucketed by block, so
@@ -58,6 +58,8 @@ PART_UNITS = 25_000
 PART_BYTES = 1_000_000
 #: Positions per inner fold; the outer fold keeps one array per segment.
 SEGMENT = 256
+#: Substrings this long and longer are made where some piece begins with their first so many characters.
+PREFIX = 4
 
 
 # ---- piece table ------------------------------------------------------------------------------------
@@ -79,8 +81,16 @@ class Pieces:
             raise ValueError("the model has no byte pieces")
         self.longest = max(len(p) for p, _, _ in self.rows)
         self.fallback = min(s for _, _, s in self.rows) - 10.0
-        if any(BLANK in p.lstrip(BLANK) or "\n" in p or NO_PIECE in p for p, _, _ in self.rows):
-            raise ValueError("a piece spans two units")
+        if any(NO_PIECE in p for p, _, _ in self.rows):
+            raise ValueError("a piece holds the character that stands for none")
+
+    def neighbours(self) -> np.ndarray:
+        """256 x 256, by first and second byte: whether the two follow each other in some piece."""
+        out = np.zeros((256, 256), bool)
+        for p, _, _ in self.rows:
+            said = np.frombuffer(p.replace(BLANK, " ").encode(), np.uint8)
+            out[said[:-1], said[1:]] = True
+        return out
 
     def spelling(self) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all pieces, one after the other, and the offsets; blanks as spaces, byte pieces as their byte."""
@@ -98,50 +108,53 @@ def _padded(column: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(pc.binary_length(text), 0), text, pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in (" ", text, ""))))
 
 
-def split_units(data: np.ndarray, texts: np.ndarray) -> T.Words:
-    """Units of (padded) texts: blanks with what follows up to the next blank; a line break alone."""
+def unit_starts(data: np.ndarray, texts: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
+    """Byte offsets where the units of (padded) texts begin; a unit ends where the next one begins."""
     n = len(data)
-    blank, line = data == 0x20, data == 0x0A
     start = np.zeros(n + 1, bool)
+    start[1:n] = ~neighbours[data[:-1], data[1:]] & ((data[1:] & 0xC0) != 0x80)     # never inside a character
     start[texts] = True
-    start[1:n] |= (blank[1:] & ~blank[:-1]) | line[1:] | line[:-1]
-    starts = np.flatnonzero(start[:n])
-    return T.Words(data, texts, starts, np.append(starts[1:], n)[: len(starts)], np.searchsorted(starts, texts))
+    return np.flatnonzero(start[:n])
 
 
-def _unit_hashes(w: T.Words) -> np.ndarray:
-    """64-bit hashes; every byte counts, blanks too."""
-    if not len(w.starts):
+def _unit_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the units between the offsets ``at`` (first 0, last the end); every byte counts, blanks too."""
+    if len(at) < 2:
         return np.zeros(0, np.uint64)
-    place = np.arange(len(w.data)) - np.repeat(w.starts, w.ends - w.starts)
-    return T.mix(np.add.reduceat(T._BYTE_VALUE[w.data] * T.powers(int(place.max()) + 1)[place], w.starts))
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(at[:-1].astype(np.int32), np.diff(at))
+    value = T.powers(int(place.max()) + 1)[place]
+    value *= T._BYTE_VALUE[data]
+    return T.mix(np.add.reduceat(value, at[:-1]))
 
 
-def _blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray, list[str]]]:
+def _blocks_of(batch: pa.RecordBatch, neighbours: np.ndarray) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray, list[str]]]:
     """(first, last, distinct units by falling count, unit numbers, units per text, sha256 of each text)."""
-    _, all_texts = T.raw_bytes(batch.column("text"))
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)
+    all_texts = np.concatenate([[0], np.cumsum(sizes)])
     i, n = 0, len(all_texts) - 1
     while i < n:
         j = min(n, max(i + 1, int(np.searchsorted(all_texts, all_texts[i] + BLOCK_BYTES, "right")) - 1))
         data, texts = T.raw_bytes(_padded(batch.column("text").slice(i, j - i)))
-        body = data.tobytes()
-        hashes, counts, offsets = [], [], []
+        hashes, counts, starts = [], [], []
         k = 0
         while k < j - i:      # a part at a time: byte-wise work needs some 30 bytes a byte
             m = min(j - i, max(k + 1, int(np.searchsorted(texts, texts[k] + PART_BYTES, "right")) - 1))
-            w = split_units(data[texts[k]: texts[m]], texts[k: m + 1] - texts[k])
-            hashes.append(_unit_hashes(w))
-            counts.append(np.diff(w.rows))
-            offsets.append(np.column_stack([w.starts, w.ends]) + texts[k])
+            part, edge = data[texts[k]: texts[m]], texts[k: m + 1] - texts[k]
+            at = unit_starts(part, edge, neighbours)
+            hashes.append(_unit_hashes(part, np.append(at, len(part))))
+            counts.append(np.diff(np.searchsorted(at, edge)))
+            starts.append(at + texts[k])
             k = m
-        hashes, offsets = np.concatenate(hashes), np.concatenate(offsets)
+        hashes, starts = np.concatenate(hashes), np.append(np.concatenate(starts), len(data))
         _, first, number, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         order = np.argsort(-times, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        units = [body[a:b] for a, b in offsets[first[order]].tolist()]
+        first = first[order]
+        body = memoryview(data)
+        units = [bytes(body[a:b]) for a, b in zip(starts[first].tolist(), starts[first + 1].tolist(), strict=True)]
         digests = [hashlib.sha256(body[a + (b > a): b]).hexdigest()
-                   for a, b in zip(texts[:-1], texts[1:], strict=True)]
+                   for a, b in zip(texts[:-1].tolist(), texts[1:].tolist(), strict=True)]
         yield i, j, units, rank[number], np.concatenate(counts), digests
         i = j
 
@@ -164,21 +177,22 @@ def _name_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = []
     for lo in range(0, len(at) - 1, 200_000):
         part = at[lo: lo + 200_001]
-        body = data[part[0]: part[-1]]
-        out.append(_unit_hashes(T.Words(body, part, part[:-1] - part[0], part[1:] - part[0], part)))
+        out.append(_unit_hashes(data[part[0]: part[-1]], part - part[0]))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, last, units, numbers, per_text, digests in _blocks_of(batch):
-            yield pa.RecordBatch.from_arrays([
-                pa.array([uuid.uuid4().int >> 65], pa.int64()),
-                pa.array([batch.column("doc_id").slice(first, last - first).to_pylist()], pa.list_(pa.int64())),
-                pa.array([digests], pa.list_(pa.string())),
-                pa.array([pack(per_text)], pa.binary()), pa.array([pack(numbers)], pa.binary()),
-                pa.array([len(units)], pa.int32()), pa.array([_pack_names(units)], pa.binary())],
-                names=["block", "doc_ids", "digests", "per_text", "numbers", "n_names", "names"])
+def _make_blocks(neighbours: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, units, numbers, per_text, digests in _blocks_of(batch, neighbours):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([uuid.uuid4().int >> 65], pa.int64()),
+                    pa.array([batch.column("doc_id").slice(first, last - first).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([digests], pa.list_(pa.string())),
+                    pa.array([pack(per_text)], pa.binary()), pa.array([pack(numbers)], pa.binary()),
+                    pa.array([len(units)], pa.int32()), pa.array([_pack_names(units)], pa.binary())],
+                    names=["block", "doc_ids", "digests", "per_text", "numbers", "n_names", "names"])
+    return run
 
 
 ASKED = "part int, of_block long, asked binary"
@@ -258,10 +272,11 @@ def segment(units: DataFrame, pieces: Pieces, key: list[str]) -> DataFrame:
     spelled = (units.withColumn("said", F.translate("unit", BLANK + " ", NO_PIECE + BLANK))
                .withColumn("n", F.char_length("said")))
     starts = spelled.select(*key, "unit", "said", "n", F.explode(F.sequence(F.lit(1), "n")).alias("s"))
-    # the longest piece that begins with the next two characters bounds the substrings from here
-    reach = F.broadcast(table.groupBy(F.substring("piece", 1, 2).alias("two")).agg(F.max(F.char_length("piece")).alias("most")))
-    starts = (starts.withColumn("two", F.substring("said", F.col("s"), F.lit(2))).join(reach, "two", "left")
-              .withColumn("most", F.coalesce("most", F.lit(1))))
+    # the longest piece that begins with the next characters bounds the substrings from here
+    reach = F.broadcast(table.groupBy(F.substring("piece", 1, PREFIX).alias("lead")).agg(F.max(F.char_length("piece")).alias("most"))
+                        .filter(F.col("most") >= PREFIX))
+    starts = (starts.withColumn("lead", F.substring("said", F.col("s"), F.lit(PREFIX))).join(reach, "lead", "left")
+              .withColumn("most", F.coalesce("most", F.lit(PREFIX - 1))))
     spans = starts.select(*key, "unit", "said", "s", F.explode(F.sequence(
         F.lit(1), F.least("most", F.col("n") - F.col("s") + 1))).alias("l"))
     spans = spans.select(*key, F.substring("unit", F.col("s"), F.lit(1)).alias("first"), "s", "l",
@@ -276,36 +291,38 @@ def segment(units: DataFrame, pieces: Pieces, key: list[str]) -> DataFrame:
 
 
 def _viterbi(longest: int):
-    """Fold over the edges sorted by end; ``recent`` holds the best sums of the last ``longest`` positions."""
+    """Fold over the edges sorted by end; ``sums`` holds the best sums of the last positions, at least ``longest``."""
     back = "array<array<struct<l:int,id:int>>>"
+    segment = max(SEGMENT, longest)
     zero = F.struct(
-        F.array_append(F.array_repeat(F.lit(float("-inf")), longest - 1), F.lit(0.0)).alias("recent"),
+        F.array(F.lit(0.0)).alias("sums"),
         F.lit(2).alias("e"),                                          # the end that is being collected
         F.struct(F.lit(float("-inf")).alias("sum"), F.lit(0).alias("l"), F.lit(0).alias("id")).alias("best"),
         F.array().cast(back).alias("done"), F.array().cast("array<struct<l:int,id:int>>").alias("open"))
 
     def closed(s):
-        """The state after its current end: the best edge is settled and the next end begins."""
+        """(done, open) after the current end: its best edge is settled."""
         edge = F.struct(s["best"]["l"].alias("l"), s["best"]["id"].alias("id"))
-        full = F.size(s["open"]) == SEGMENT
-        return (F.array_append(F.slice(s["recent"], 2, longest - 1), s["best"]["sum"]),
-                F.when(full, F.array_append(s["done"], s["open"])).otherwise(s["done"]),
+        full = F.size(s["open"]) == segment
+        return (F.when(full, F.array_append(s["done"], s["open"])).otherwise(s["done"]),
                 F.when(full, F.array(edge)).otherwise(F.array_append(s["open"], edge)))
 
     def step(s, x):
         same = x["e"] == s["e"]
-        moved, done, opened = closed(s)
-        recent = F.when(same, s["recent"]).otherwise(moved)
-        total = F.element_at(recent, longest + 1 - x["l"]) + x["score"]
-        mine = F.struct(total.alias("sum"), x["l"].alias("l"), x["id"].alias("id"))
+        done, opened = closed(s)
+        # every position has an edge, so the next end is the next position: its sums begin with the best one
+        before = F.when(same, F.element_at(s["sums"], -x["l"])).when(x["l"] == 1, s["best"]["sum"]).otherwise(
+            F.element_at(s["sums"], 1 - x["l"]))
+        older = F.when(F.size(s["open"]) == segment, F.slice(s["sums"], -longest, longest)).otherwise(s["sums"])
+        mine = F.struct((before + x["score"]).alias("sum"), x["l"].alias("l"), x["id"].alias("id"))
         return F.struct(
-            recent.alias("recent"), x["e"].alias("e"),
+            F.when(same, s["sums"]).otherwise(F.array_append(older, s["best"]["sum"])).alias("sums"), x["e"].alias("e"),
             F.when(same, F.greatest(s["best"], mine)).otherwise(mine).alias("best"),
             F.when(same, s["done"]).otherwise(done).alias("done"),
             F.when(same, s["open"]).otherwise(opened).alias("open"))
 
     def path(s):
-        _, done, opened = closed(s)
+        done, opened = closed(s)
         return F.array_append(done, opened)
 
     def walk(segments):
@@ -400,7 +417,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     stage = Staging(spark, "pieces")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     least = max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
-    blocks = bucketed(texts.mapInArrow(_make_blocks, BLOCK), "block", stage.root, least)
+    blocks = bucketed(texts.mapInArrow(_make_blocks(pieces.neighbours()), BLOCK), "block", stage.root, least)
     # every block's distinct units counted once bound the distinct units from above
     parts = max(least, -(-int(blocks.agg(F.sum("n_names")).first()[0] or 0) // (4 * PART_UNITS)))
     asked = blocks.select("block", "names").mapInArrow(_ask(parts), ASKED)
