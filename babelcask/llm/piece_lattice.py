@@ -424,8 +424,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     units = bucketed(asked.groupBy("part").applyInArrow(_units_of, "of_part int, number int, unit string"),
                      "of_part", stage.root, parts)
     paths = bucketed(segment(units, pieces, ["of_part", "number"]), "of_part", stage.root, parts)
-    answers = stage.write(asked.groupBy("part").cogroup(paths.groupBy("of_part"))
-                          .applyInArrow(_answer(pieces.byte_ids), ANSWERED), "answers")
+    answers = asked.groupBy("part").cogroup(paths.groupBy("of_part")).applyInArrow(_answer(pieces.byte_ids), ANSWERED)
     return (blocks.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(_assemble(parts, pieces.spelling()), ENCODED))
 
 
