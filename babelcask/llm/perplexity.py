@@ -43,12 +43,19 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def _running(marks: np.ndarray) -> np.ndarray:
+    """How many marks lie before each byte; 32 bits, as no text column's bytes in a chunk reach 2**31."""
+    out = np.zeros(len(marks) + 1, np.int32)
+    np.cumsum(marks, out=out[1:])
+    return out
+
+
 def base_counts(w: T.Words, texts: list[str]) -> dict[str, np.ndarray]:
     """Base columns of a chunk of texts."""
     n_words = np.diff(w.rows)
-    letters = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])     # code points begun so far
+    letters = _running((w.data & 0xC0) != 0x80)     # code points begun so far
     in_words = np.concatenate([[0], np.cumsum(letters[w.ends] - letters[w.starts])])
-    symbols = np.concatenate([[0], np.cumsum(_SYMBOL[w.data])])
+    symbols = _running(_SYMBOL[w.data])
     grams = T.gram_hashes(w.hashes(), 3)
     owner = w.owner()
     repeated = np.zeros(len(w.starts), bool)
@@ -65,7 +72,7 @@ def base_counts(w: T.Words, texts: list[str]) -> dict[str, np.ndarray]:
     return {
         "n_words": n_words.astype(np.int64),
         "word_chars": in_words[w.rows[1:]] - in_words[w.rows[:-1]],
-        "n_symbols": symbols[w.texts[1:]] - symbols[w.texts[:-1]],
+        "n_symbols": (symbols[w.texts[1:]] - symbols[w.texts[:-1]]).astype(np.int64),
         "n_dup_lines": np.array([duplicate_lines(t or "") for t in texts], np.int64),
         "n_repeat_words": marks[w.rows[1:]] - marks[w.rows[:-1]],
     }

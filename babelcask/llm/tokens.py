@@ -17,6 +17,8 @@ import pyarrow as pa
 U64 = np.uint64
 #: Texts are handled this many bytes at a time (a longer text alone).
 CHUNK_BYTES = 2_000_000
+#: Hashes are taken this many bytes at a time.
+PIECE_BYTES = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -49,6 +51,21 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, skip_punctuation: bool) -> np.ndarray:
+    """Hashes of the words that begin at ``starts`` (the first at 0); what lies between words carries no weight."""
+    dead = _SPACE[data]
+    if skip_punctuation:
+        dead |= _PUNCT[data]
+    place = np.cumsum(~dead, dtype=np.int32)
+    place -= np.repeat(place[starts], np.diff(np.append(starts, len(data))))
+    place += 1
+    place[dead] = 0
+    value = powers(int(place.max()) + 1)[place]
+    value *= _BYTE_VALUE[data]
+    value[dead] = 0
+    return mix(np.add.reduceat(value, starts))
+
+
 @dataclass
 class Words:
     """Words of some texts: ``rows`` are word offsets per text (texts + 1)."""
@@ -61,20 +78,12 @@ class Words:
 
     def hashes(self, skip_punctuation: bool = False) -> np.ndarray:
         """64-bit hash per word; punctuation may carry no weight."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        value = _BYTE_VALUE[self.data]
-        dead = _SPACE[self.data]
-        if skip_punctuation:
-            dead |= _PUNCT[self.data]
-        value[dead] = 0
-        place = np.cumsum(~dead)
-        first = place[self.starts]
-        place[: self.starts[0]] = 0
-        place[self.starts[0]:] -= np.repeat(first, np.diff(np.append(self.starts, len(self.data))))
-        place[dead] = 0
-        value *= powers(int(place.max()) + 2)[place + 1]
-        return mix(np.add.reduceat(value, self.starts))
+        out, i, n = [np.zeros(0, np.uint64)], 0, len(self.starts)
+        while i < n:      # some words at a time: byte-wise work needs some 40 bytes a byte
+            j = max(i + 1, int(np.searchsorted(self.starts, self.starts[i] + PIECE_BYTES, "right")))
+            out.append(_word_hashes(self.data[self.starts[i]: self.ends[j - 1]], self.starts[i:j] - self.starts[i], skip_punctuation))
+            i = j
+        return np.concatenate(out)
 
     def owner(self) -> np.ndarray:
         """Index of the text of each word."""
