@@ -369,6 +369,57 @@ def test_repeated_passages(spark, docs, odd):
     assert compact_windows.repeated_passages(empty(docs)).count() == 0
 
 
+def plain_passage(x, y):
+    """Whether two texts of equally placed words hold a passage: at least 50 words whose shingle sets have a Jaccard of 0.8."""
+    x, y = ([tuple(t[i: i + 5]) for i in range(len(t) - 4)] for t in (x, y))
+    for i in range(len(x) - 45):
+        for j in range(i + 46, len(x) + 1):
+            a, b = set(x[i:j]), set(y[i:j])
+            if 5 * len(a & b) >= 4 * len(a | b):
+                return True
+    return False
+
+
+def test_near_copies_are_compared_beyond_their_first_document(spark):
+    rng = random.Random(9)
+    rows = []
+    for size in (50, 60, 80):
+        passage = [f"s{size}.{i}" for i in range(size)]
+        for d in range(40):
+            words = list(passage)
+            # the least id is far from all others: nothing is found through it
+            for i in range(0, size, 9) if d == 0 else rng.sample(range(size), rng.randint(0, 3)):
+                words[i] = f"x{rng.randrange(10**9)}"
+            rows.append((1000 * size + d, words))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = {r.doc_id for r in compact_windows.repeated_passages(df).collect()}
+    want = set()
+    for d, x in rows:
+        if any(e != d and e // 1000 == d // 1000 and plain_passage(x, y) for e, y in rows):
+            want.add(d)
+    assert got <= want and len(want - got) <= 0.03 * len(want)
+    exact = {}
+    for d, x in rows:
+        exact.setdefault(" ".join(x), []).append(d)
+    assert all(d in got for same in exact.values() if len(same) > 1 for d in same)
+
+
+def test_a_passage_that_stands_twice_in_a_document(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    shared = words(70)
+    rows = [(1, f"{words(30)} {shared} {words(25)} {shared} {words(10)}"), (2, f"{shared} {words(90)} {shared}"),
+            (3, f"{words(60)} {shared}"), (4, words(200))]
+    got = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start_word, r.end_word) for r in got} == {(1, 30, 100), (1, 125, 195), (2, 0, 70), (2, 160, 230), (3, 60, 130)}
+
+
+def test_two_texts_that_repeat_themselves(spark):
+    df = spark.createDataFrame([(1, LONG), (2, "x y z " + LONG[: 18 * 400])], "doc_id long, text string")
+    got = compact_windows.repeated_passages(df).collect()
+    assert {r.doc_id for r in got} == {1, 2} and (2, 3, 1203) in {(r.doc_id, r.start_word, r.end_word) for r in got}
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark, docs):
