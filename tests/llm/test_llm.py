@@ -420,6 +420,14 @@ def test_two_texts_that_repeat_themselves(spark):
     assert {r.doc_id for r in got} == {1, 2} and (2, 3, 1203) in {(r.doc_id, r.start_word, r.end_word) for r in got}
 
 
+def test_a_chunk_of_more_words_than_the_limit(monkeypatch):
+    texts = pa.array([" ".join(f"w{i * i % 1009}" for i in range(400)), "a b c", " ".join(f"z{i}" for i in range(90))])
+    _, _, w = next(T.chunks(texts, True))
+    wide = compact_windows.text_windows(w, np.arange(3))
+    monkeypatch.setattr(compact_windows, "_PLACES", 16)
+    assert (compact_windows.text_windows(w, np.arange(3)) == wide).all() and len(wide)
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark, docs):
