@@ -3,8 +3,11 @@
 A modified Kneser-Ney model per language (``char_kn``) is counted over every
 document of that language; a document's score is the mean negative log
 probability per word (``log_perplexity``) under its own language's model.  Upper and lower bands are the language's median -/+ ``BAND`` robust
-standard deviations (1.4826 times the median absolute deviation), over its
-documents of at least 50 words.  A document outside its band is rejected.
+standard deviations (1.4826 times the median absolute deviation, of at least ``LEAST_MAD``), over its
+documents of at least 50 words.  There, documents with one sketch (the least hash of their 3-word
+windows) count once, with their median: exact copies always, near copies nearly
+always have one, so a large group of them does not set its language's band.  A
+document outside its band is rejected.
 
 Base columns: words ``[^\\x20\\x09-\\x0D]+``; ``word_chars`` code points in
 words; ``n_symbols`` characters of ``[#*$%&|<>]``; ``n_dup_lines`` lines
@@ -12,8 +15,8 @@ words; ``n_symbols`` characters of ``[#*$%&|<>]``; ``n_dup_lines`` lines
 in a 3-word window found at least twice in the text.
 
 Defined cases: a null text has no words (base rules reject it); a null
-language is a language of its own; repeated rows give one row each and count
-each time; no rows give no rows; other columns are not looked at.
+language is a language of its own; repeated rows give one row each, and count
+each time in the model and once in the bands; no rows give no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from babelcask.llm.work import Staging
 
 MIN_WORDS = 50
 BAND = 6.5
+#: Natural log units a word; ordinary languages have 0.17 to 0.25.
+LEAST_MAD = 0.1
 NO_LANG = ""
 
 _SYMBOL = np.zeros(256, bool)
@@ -59,8 +64,12 @@ def base_counts(w: T.Words, texts: list[str]) -> dict[str, np.ndarray]:
     grams = T.gram_hashes(w.hashes(), 3)
     owner = w.owner()
     repeated = np.zeros(len(w.starts), bool)
+    sketch = np.zeros(len(n_words), np.uint64)
     if len(grams):
         inside = np.flatnonzero(owner[:-2] == owner[2:])
+        some = np.flatnonzero(n_words >= 3)
+        if len(some):
+            sketch[some] = np.minimum.reduceat(grams[inside], np.searchsorted(inside, w.rows[some]))
         key = T.mix(grams[inside] + owner[inside].astype(np.uint64) * T._STEP)
         order = np.argsort(key)
         same = key[order[1:]] == key[order[:-1]]
@@ -75,6 +84,7 @@ def base_counts(w: T.Words, texts: list[str]) -> dict[str, np.ndarray]:
         "n_symbols": (symbols[w.texts[1:]] - symbols[w.texts[:-1]]).astype(np.int64),
         "n_dup_lines": np.array([duplicate_lines(t or "") for t in texts], np.int64),
         "n_repeat_words": marks[w.rows[1:]] - marks[w.rows[:-1]],
+        "sketch": sketch.view(np.int64),
     }
 
 
@@ -88,7 +98,7 @@ def _counter(langs: dict[str, int]):
 
 
 SCORED = ("doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-          "n_repeat_words long, log_prob double")
+          "n_repeat_words long, sketch long, log_prob double")
 
 
 def _scorer(langs: dict[str, int], model):
@@ -150,7 +160,7 @@ def score(docs: DataFrame, local_rows: int = K.MAX_LOCAL_ROWS) -> DataFrame:
         scored = stage.write(
             base.drop("log_prob").withColumnRenamed("doc_id", "row")
             .join(numbered.select("row", "doc_id"), "row").join(summed, "row", "left")
-            .select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+            .select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sketch",
                     F.coalesce("log_prob", F.lit(0.0)).alias("log_prob")), "scored")
     return banded(scored)
 
@@ -158,11 +168,13 @@ def score(docs: DataFrame, local_rows: int = K.MAX_LOCAL_ROWS) -> DataFrame:
 def banded(scored: DataFrame) -> DataFrame:
     nll = F.when(F.col("n_words") > 0, -F.col("log_prob") / F.col("n_words"))
     rows = scored.withColumn("log_perplexity", nll)
-    long = rows.filter(F.col("n_words") >= MIN_WORDS).select("lang", "log_perplexity")
+    # copies count once: their number would set the band
+    long = (rows.filter(F.col("n_words") >= MIN_WORDS).groupBy("lang", "sketch")
+            .agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("log_perplexity")))
     middle = long.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("mid"))
     spread = (long.join(middle, "lang").groupBy("lang", "mid")
               .agg(F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("mid")), 0.5, 10000).alias("mad")))
-    width = BAND * 1.4826 * F.col("mad") + 1e-9
+    width = BAND * 1.4826 * F.greatest("mad", F.lit(LEAST_MAD))
     bands = spread.select("lang", (F.col("mid") - width).alias("lower_band"), (F.col("mid") + width).alias("upper_band"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     inside = F.col("log_perplexity").between(F.col("lower_band"), F.col("upper_band"))

@@ -172,6 +172,24 @@ def test_quality_rules(docs, odd):
     assert perplexity.score(empty(docs)).count() == 0
 
 
+def test_bands_of_a_language_of_copies(spark):
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    text = lambda: [rng.choice(vocab) for _ in range(80)]
+    rows = [(d, text(), lang) for lang, at in (("xx", 0), ("yy", 1000)) for d in range(at, at + 40)]
+    base = text()
+    rows += [(100 + i, base, "xx") for i in range(120)]
+    for i in range(120):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(80)] = rng.choice(vocab)
+        rows.append((1100 + i, words, "yy"))
+    rows.append((99, ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(6)) for _ in range(80)], "xx"))
+    df = spark.createDataFrame([(d, " ".join(t), lang) for d, t, lang in rows], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in perplexity.score(df).collect()}
+    assert all(got[d] for d in (*range(40), *range(1000, 1040))) and not got[99]
+
+
 def test_perplexity_by_joins_equals_arrays(docs):
     a = {r.doc_id: r for r in perplexity.score(docs).collect()}
     b = {r.doc_id: r for r in perplexity.score(docs, local_rows=0).collect()}
