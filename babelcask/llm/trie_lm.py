@@ -1,10 +1,13 @@
 """Language-model scores from Elias-Fano n-gram tries.
 
 Tokens: words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, then one end token per
-text; a text begins after a start context.  The model has two orders:
+text; a text begins after a start context.  The model has three orders:
 
-    p1(w)   = (c(w) - 0.5) / N,  0.5 V / N for all unknown words together
-    p(w|v)  = (c(vw) + MU p1(w)) / (c(v) + MU)
+    p1(w)     = (c(w) - 0.5) / N,  0.5 V / N for all unknown words together
+    p(w|v)    = (c(vw) + MU p1(w)) / (c(v) + MU)
+    p(w|u v)  = (c(uvw) + MU p(w|v)) / (c(uv) + MU),  p(w|v) for the first token of a text
+
+``score`` sums p(w|v), ``score3`` sums p(w|u v).
 
 Training texts are those whose crc32(doc_id as text) mod 10 is not 0; a null id
 is not learned from.  Log probabilities are quantised to 1/4096 of a decade
@@ -19,7 +22,10 @@ of all tokens is split over all parts by its successors.  A part
 merges the counts, builds the trie of its contexts (monotone pointers, successors raised
 to be monotone, quantised probabilities; ``elias_fano``) in a mapped file,
 answers every block's pairs by successor search inside the context's range,
-and the answers go back to the blocks in the order asked.  A pair found in every text
+and the answers go back to the blocks in the order asked, with the training
+count of each pair.  Then triples go the same way, to the part of their first two words:
+a context once with its count, its successors with their counts and p(w|v); the part
+ranks its contexts and builds a trie over the ranks.  A pair found in every text
 is one entry per block.
 
 Defined cases: a null text has the end token only; repeated rows are each
@@ -114,7 +120,7 @@ def _ask_words(parts: int):
 ANSWERED = "part int, of_block long, kind int, answer binary, n_tokens long, n_types long"
 _ANSWERED = pa.schema([("part", pa.int32()), ("of_block", pa.int64()), ("kind", pa.int32()), ("answer", pa.binary()),
                        ("n_tokens", pa.int64()), ("n_types", pa.int64())])
-WORDS, PAIRS = 0, 1
+WORDS, PAIRS, TRIPLES = 0, 1, 2
 
 
 def _answer_words(parts: int):
@@ -192,13 +198,42 @@ class Block:
         return {k: x[order] for k, x in out.items()} | {"part": part[order], "place": rank[place]}
 
 
-def _one_block(blocks: pa.Table, answers: pa.Table, parts: int, n_train: int) -> tuple[Block, dict[int, bytes]]:
+    def triples(self, p: dict[str, np.ndarray], counts: np.ndarray, parts: int, n_tokens: int) -> dict[str, np.ndarray]:
+        """Distinct triples (``first``, ``second``: places of their pairs in ``p``) by (part, context, successor), and
+        the place of each token's triple, -1 for the first token of a text."""
+        later = np.ones(len(self.token), bool)
+        later[self.begins] = False
+        at = np.flatnonzero(later)
+        a, b = p["place"][at - 1], p["place"][at]
+        key, first, place = np.unique(a * max(len(counts), 1) + b, return_index=True, return_inverse=True)
+        learned = np.bincount(place, weights=np.repeat(~self.held, self.sizes)[at], minlength=len(key)).astype(np.int64)
+        a, b = a[first], b[first]
+        # as for pairs: a context with over 1/parts of all tokens is dealt out by its successors
+        hot = counts[a] * parts > n_tokens
+        dealt = T.mix(T.mix(p["v"][a].astype(np.uint64) * T._STEP + p["w"][a].astype(np.uint64)) * T._STEP
+                      + np.where(hot, p["w"][b], 0).astype(np.uint64))
+        part = (dealt % U64(parts)).astype(np.int64)
+        order = np.lexsort((p["w"][b], p["w"][a], p["v"][a], part))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        of_token = np.full(len(self.token), -1, np.int64)
+        of_token[at] = rank[place]
+        return {"first": a[order], "second": b[order], "n": learned[order], "part": part[order], "place": of_token}
+
+
+def _answers(got: dict[int, bytes]) -> list[np.ndarray]:
+    """Columns of a block's answers, one part after the other."""
+    columns = [unpack(got[k]) for k in sorted(got)]
+    return [np.concatenate(c).astype(np.int64) for c in zip(*columns, strict=True)]
+
+
+def _one_block(blocks: pa.Table, answers: pa.Table, parts: int, n_train: int) -> tuple[Block, dict[int, dict[int, bytes]]]:
     row = blocks.slice(0, 1).to_pylist()[0]
-    got: dict[int, dict[int, bytes]] = {WORDS: {}, PAIRS: {}}
+    got: dict[int, dict[int, bytes]] = {WORDS: {}, PAIRS: {}, TRIPLES: {}}
     for kind, part, blob in zip(answers.column("kind").to_pylist(), answers.column("part").to_pylist(),
                                 answers.column("answer").to_pylist(), strict=True):
         got[kind][part] = blob
-    return Block(row, got[WORDS], parts, n_train), got[PAIRS]
+    return Block(row, got[WORDS], parts, n_train), got
 
 
 def _ask_pairs(parts: int, n_tokens: int, n_train: int):
@@ -219,6 +254,70 @@ def _ask_pairs(parts: int, n_tokens: int, n_train: int):
     return run
 
 
+def _ask_triples(parts: int, n_tokens: int, n_train: int):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = []
+        if blocks.num_rows:
+            block, got = _one_block(blocks, answers, parts, n_train)
+            p = block.pairs(parts, n_tokens)
+            codes, counts = _answers(got[PAIRS])
+            t = block.triples(p, counts, parts, n_tokens)
+            edge = np.searchsorted(t["part"], np.arange(parts + 1))
+            name = blocks.column("block")[0].as_py()
+            for part in np.flatnonzero(np.diff(edge)).tolist():
+                s = slice(edge[part], edge[part + 1])
+                a, b = t["first"][s], t["second"][s]
+                begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+                c = a[begin]
+                rows.append((part, name, pack(np.diff(p["v"][c], prepend=0), p["w"][c], counts[c], np.diff(np.append(begin, len(a)))),
+                             pack(p["w"][b], t["n"][s], codes[b])))
+        columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+        return pa.Table.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
+            names=["part", "of_block", "contexts", "asked"])
+    return run
+
+
+def _answer_triples(group: pa.Table) -> pa.Table:
+    """The trie of one part's pairs as contexts, and its answers to every block."""
+    part = group.column("part")[0].as_py()
+    blocks = group.column("of_block").to_pylist()
+    heads, asked = [], []
+    for context, blob in zip(group.column("contexts").to_pylist(), group.column("asked").to_pylist(), strict=True):
+        u, v, c, times = (x.astype(np.int64) for x in unpack(context))
+        heads.append((np.cumsum(u), v, c, times))
+        asked.append([x.astype(np.int64) for x in unpack(blob)])
+    u, v, c, times = (np.concatenate(x) for x in zip(*heads, strict=True))
+    w, n, code = (np.concatenate(x) for x in zip(*asked, strict=True))
+    # two numbers may need more than 64 bits: contexts are ranked within the part
+    order = np.lexsort((v, u))
+    su, sv = u[order], v[order]
+    rank = np.empty(len(u), np.int64)
+    rank[order] = np.cumsum(np.concatenate([[False], (su[1:] != su[:-1]) | (sv[1:] != sv[:-1])]))
+    x, c = np.repeat(rank, times), np.repeat(c, times)
+    seen = np.flatnonzero(n)
+    order = seen[np.lexsort((w[seen], x[seen]))]
+    sx, sw = x[order], w[order]
+    new = np.concatenate([[True], (sx[1:] != sx[:-1]) | (sw[1:] != sw[:-1])]) if len(order) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    count = np.add.reduceat(n[order], begin) if len(begin) else np.zeros(0, np.int64)
+    first = order[begin]
+    p = (count + MU * 10.0 ** (code[first] / -float(STEP))) / (c[first] + MU)
+    contexts = x[first]
+    head = first[np.concatenate([[True], contexts[1:] != contexts[:-1]])] if len(first) else first
+    trie = Trie(contexts, w[first], _code(MU / (c[head] + MU)), _code(p))
+    answers, at = [], 0
+    for qw, _, qcode in asked:
+        s = slice(at, at + len(qw))
+        at += len(qw)
+        found, _ = trie.find(x[s], qw)
+        answers.append(pack(np.where(found >= 0, found, np.minimum(_code(MU / (c[s] + MU)) + qcode, 65535))))
+    zero = [0] * len(blocks)
+    return pa.Table.from_arrays([
+        pa.array([part] * len(blocks), pa.int32()), pa.array(blocks, pa.int64()), pa.array([TRIPLES] * len(blocks), pa.int32()),
+        pa.array(answers, pa.binary()), pa.array(zero, pa.int64()), pa.array(zero, pa.int64())], schema=_ANSWERED)
+
+
 def unigram(count: np.ndarray, n_tokens: int, n_types: int) -> np.ndarray:
     """Probability of a token of that training count; 0: all unknown words together."""
     n, v = max(n_tokens, 1), max(n_types, 1)
@@ -251,12 +350,19 @@ def _answer_pairs(n_tokens: int, n_types: int):
         contexts = v[first]
         head = first[np.concatenate([[True], contexts[1:] != contexts[:-1]])] if len(first) else first
         trie = Trie(contexts, w[first], _code(MU / (cv[head] + MU)), _code(p))
-        answers = []
+        # training count of every asked pair
+        order = np.lexsort((w, v))
+        av, aw = v[order], w[order]
+        begin = np.flatnonzero(np.concatenate([[True], (av[1:] != av[:-1]) | (aw[1:] != aw[:-1])]))
+        times = np.empty(len(v), np.int64)
+        times[order] = np.repeat(np.add.reduceat(n[order], begin), np.diff(np.append(begin, len(v))))
+        answers, at = [], 0
         for qv, qw, _, qcv, qcw in asked:
             pair, context = trie.find(qv, qw)
             context = np.where(context >= 0, context, _code(MU / (qcv + MU)))
             back = np.minimum(context + _code(unigram(qcw, n_tokens, n_types)), 65535)
-            answers.append(pack(np.where(pair >= 0, pair, back)))
+            answers.append(pack(np.where(pair >= 0, pair, back), times[at: at + len(qv)]))
+            at += len(qv)
         zero = [0] * len(blocks)
         return pa.Table.from_arrays([
             pa.array([part] * len(blocks), pa.int32()), pa.array(blocks, pa.int64()), pa.array([PAIRS] * len(blocks), pa.int32()),
@@ -266,9 +372,10 @@ def _answer_pairs(n_tokens: int, n_types: int):
 
 # ---- scores --------------------------------------------------------------------------------------------------------
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score3 double"
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                     ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+                     ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
+                     ("score3", pa.float64())])
 
 
 def _scores(parts: int, n_tokens: int, n_types: int, n_train: int):
@@ -277,13 +384,19 @@ def _scores(parts: int, n_tokens: int, n_types: int, n_train: int):
             return _SCORED.empty_table()
         block, got = _one_block(blocks, answers, parts, n_train)
         p = block.pairs(parts, n_tokens)
-        codes = np.concatenate([unpack(got[k])[0] for k in sorted(got)]).astype(np.int64)
+        codes, counts = _answers(got[PAIRS])
+        place3 = block.triples(p, counts, parts, n_tokens)["place"]
+        code = codes[p["place"]]
+        code3 = code.copy()
+        if got[TRIPLES]:
+            code3[place3 >= 0] = _answers(got[TRIPLES])[0][place3[place3 >= 0]]
         base = np.log10((block.times + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
         return pa.Table.from_arrays([
             pa.array(block.doc_ids, pa.int64()), pa.array(block.held), pa.array(block.sizes),
             pa.array(np.add.reduceat((block.times > 0).astype(np.int64), block.begins)),
             pa.array(np.full(len(block.held), n_tokens, np.int64)), pa.array(np.add.reduceat(base, block.begins)),
-            pa.array(np.add.reduceat(codes[p["place"]], block.begins) / -float(STEP))], schema=_SCORED)
+            pa.array(np.add.reduceat(code, block.begins) / -float(STEP)),
+            pa.array(np.add.reduceat(code3, block.begins) / -float(STEP))], schema=_SCORED)
     return run
 
 
@@ -305,5 +418,9 @@ def score(docs: DataFrame) -> DataFrame:
     asked = (blocks.groupBy("block").cogroup(words.groupBy("of_block"))
              .applyInArrow(_ask_pairs(parts, n_tokens, n_train), ASKED))
     pairs = stage.write(asked.groupBy("part").applyInArrow(_answer_pairs(n_tokens, n_types), ANSWERED), "pairs")
-    return (blocks.groupBy("block").cogroup(words.union(pairs).groupBy("of_block"))
+    known = words.union(pairs)
+    asked3 = (blocks.groupBy("block").cogroup(known.groupBy("of_block"))
+              .applyInArrow(_ask_triples(parts, n_tokens, n_train), "part int, of_block long, contexts binary, asked binary"))
+    triples = stage.write(asked3.groupBy("part").applyInArrow(_answer_triples, ANSWERED), "triples")
+    return (blocks.groupBy("block").cogroup(known.union(triples).groupBy("of_block"))
             .applyInArrow(_scores(parts, n_tokens, n_types, n_train), SCORED))

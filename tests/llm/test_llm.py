@@ -335,6 +335,29 @@ def test_trie_scores(spark, docs, odd):
     assert trie_lm.score(empty(docs)).count() == 0
 
 
+def test_scores_of_the_third_order(docs, odd):
+    for df in (docs.limit(60), odd):
+        texts = [(r.doc_id, ["\0", *brute.words(r.text), "\n"]) for r in df.collect()]
+        train = [t for d, t in texts if not trie_lm.is_held_out(d)]
+        uni, pair, triple = (Counter(tuple(t[i: i + k]) for t in train for i in range(len(t) - k + 1)) for k in (1, 2, 3))
+        n, v = sum(uni.values()) - uni["\0",], len(uni) - 1
+
+        def p1(y):
+            return (uni[y,] - .5) / n if uni[y,] else .5 * v / n  # noqa: B023
+
+        def p2(x, y):
+            return (pair[x, y] + 2000 * p1(y)) / (uni[x,] + 2000)  # noqa: B023
+
+        def p3(u, x, y):
+            return (triple[u, x, y] + 2000 * p2(x, y)) / (pair[u, x] + 2000)  # noqa: B023
+
+        want = sorted((d or -1, len(t) - 1, math.log10(p2(t[0], t[1])) + math.fsum(
+            math.log10(p3(*t[i - 2: i + 1])) for i in range(2, len(t)))) for d, t in texts)
+        got = sorted((r.doc_id or -1, r.n_tokens, r.score3) for r in trie_lm.score(df).collect())
+        for g, e in zip(got, want, strict=True):
+            assert g[:2] == e[:2] and abs(g[2] - e[2]) < 5e-4 * e[1]
+
+
 # ---- 8
 
 def test_pieces_equal_the_library_and_round_trip(spark, docs, odd):
