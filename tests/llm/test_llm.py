@@ -84,6 +84,14 @@ def test_base_spans_match_the_patterns():
         assert pii_vote.base_spans(text) == plain_base_spans(text), text
 
 
+def test_secrets_of_any_length_are_candidates():
+    pattern = dict(pii_vote._CANDIDATES)["secret"]
+    for n in (20, 512, 513, 5000, 300_000):
+        token = ("aB3_" * n)[:n]
+        assert [m.span() for m in pattern.finditer(f"key {token}, {token[:19]}")] == [(4, 4 + n)]
+    assert not pattern.findall("a" * 300_000)
+
+
 def test_pii_rows(docs, odd):
     for df in (docs, odd):
         texts = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in df.collect())
