@@ -17,6 +17,8 @@ TEST_SIZE = 0.2
 N_FOLDS = 5
 MAX_TOKENS = 512
 ALPHAS = (1, 2, 5)
+# log prior of a class without a training row: predicted only if no other class exists
+NO_ROWS = "CAST(-1000000000000000 AS BIGINT)"
 WORDS_RE = r"'[ \t\r\n]+'"
 
 
@@ -113,7 +115,8 @@ def nb_ctes(name: str, train: str, train_docs: str, class_col: str, keys: list[s
 ),
 {name}_prior AS (
   SELECT k.cls,
-         CAST(round(ln(CAST(coalesce(d.cnt, 0) AS DOUBLE) / CAST(t.tot AS DOUBLE)) * 1e6) AS BIGINT) AS p
+         CASE WHEN coalesce(d.cnt, 0) = 0 THEN {NO_ROWS}
+              ELSE CAST(round(ln(CAST(d.cnt AS DOUBLE) / CAST(t.tot AS DOUBLE)) * 1e6) AS BIGINT) END AS p
   FROM {classes} k
   LEFT JOIN (SELECT {class_col} AS cls, count(*) AS cnt FROM {train_docs} GROUP BY {class_col}) d ON d.cls = k.cls
   CROSS JOIN (SELECT count(*) AS tot FROM {train_docs}) t
@@ -194,7 +197,8 @@ def fold_nb_ctes(name: str, class_col: str, keys: list[str], classes: str) -> st
 ),
 {name}_prior AS (
   SELECT t.tf, k.cls,
-         CAST(round(ln(CAST(coalesce(d.cnt, 0) AS DOUBLE) / CAST(tt.tot AS DOUBLE)) * 1e6) AS BIGINT) AS p
+         CASE WHEN coalesce(d.cnt, 0) = 0 THEN {NO_ROWS}
+              ELSE CAST(round(ln(CAST(d.cnt AS DOUBLE) / CAST(tt.tot AS DOUBLE)) * 1e6) AS BIGINT) END AS p
   FROM {name}_folds t CROSS JOIN {classes} k
   LEFT JOIN {name}_dc d ON d.tf = t.tf AND d.cls = k.cls
   JOIN (SELECT tf, sum(cnt) AS tot FROM {name}_dc GROUP BY tf) tt ON tt.tf = t.tf

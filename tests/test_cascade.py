@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from babelcask.plans import catalog, cascade
 from babelcask.sources import models
 from babelcask.streaming.predict_stream import DOC_SCHEMA, read_predictions, start_prediction_stream
-from conftest import SMALL
+from data_paths import SMALL
 
 
 def test_language_identification_beats_majority(spark):

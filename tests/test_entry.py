@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SMALL
+from data_paths import SMALL
 
 TABLES = ["documents", "labels", "embeddings", "conversations"]
 FAST = ["corpus_clean", "split_stratified", "kfold_sizes", "gram_counts", "cascade_eval", "class_report",
