@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from babelcask.session import cut_lineage, shuffle_partitions
 
+
 def md5_bucket(hex_digest, bits=16) -> Column:
     """Bucket from the first ``bits`` bits (0 to 32) of an md5 hex digest; monotone in the digest's order.
 
@@ -87,3 +88,27 @@ def range_running_sums(df: DataFrame, group_cols: list[str], order_cols: list[Co
     d = cut_lineage(d.withColumn("_range_bkt", F.spark_partition_id()), prefix)
     out = bucketed_running_sums(d, group_cols, order_cols, F.col("_range_bkt"), sums)
     return out.drop("_range_bkt")
+
+
+def numbered(df: DataFrame, order_cols: list[str], out: str = "idx", n_parts: int | None = None,
+             prefix: str = "numbered") -> DataFrame:
+    """``df`` with a dense 0-based number along ``order_cols``, which must give a total order.
+
+    The rows are range-partitioned and sorted inside their partitions, so a
+    row's number is its place in its partition plus the rows of the earlier
+    partitions: one range shuffle, no window over all rows.  Partition and
+    place are written once with the row (a recomputed stage cannot renumber);
+    the offsets table has one row per partition.
+    """
+    n = n_parts or shuffle_partitions(df.sparkSession)
+    order = [F.col(c) for c in order_cols]
+    # the low 33 bits of a monotonic id count the rows of its partition
+    placed = cut_lineage(
+        df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), prefix)
+    before = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+               .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    return (placed.join(F.broadcast(offsets), "_part")
+            .withColumn(out, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before"))
