@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from babelcask.llm import (chat, compact_windows, decontaminate, near_dup, perplexity, pii_vote, piece_lattice,
-                           toxicity, trie_lm, url_filter)
+from babelcask.llm import (chat, compact_windows, decontaminate, hard_negatives, language_id, near_dup, perplexity,
+                           pii_vote, piece_lattice, spelling, toxicity, trie_lm, url_filter)
 from babelcask.llm.work import table
 
 
@@ -55,8 +56,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op11_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
+def op12_coordinate_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+
+
+def op13_permuterm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii_vote, op2_minhash_bbit, op3_perplexity_rules, op4_spaced_seeds, op5_chat_format, op6_trie_lm,
-        op7_class_kn, op8_piece_lattice, op9_compact_windows, op10_url_filter)}
-ORACLE_SQL: dict[str, str] = {"op5_chat_format": chat.CHAT_SQL, "op10_url_filter": url_filter.URL_SQL}
+        op7_class_kn, op8_piece_lattice, op9_compact_windows, op10_url_filter, op11_subword_softmax,
+        op12_coordinate_pruning, op13_permuterm)}
+ORACLE_SQL: dict[str, str] = {"op5_chat_format": chat.CHAT_SQL, "op10_url_filter": url_filter.URL_SQL,
+                              "op12_coordinate_pruning": hard_negatives.NEGATIVES_SQL}
