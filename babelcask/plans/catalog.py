@@ -355,8 +355,7 @@ def q_tsv_roundtrip(spark, sf_dir):
     docs = tables.read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("lang").alias("language"))
     tsv.write_tsv(docs, path, partition_by="language")
-    back = tsv.read_tsv(spark, path, columns=("doc_id", "text"))
-    ok, _ = tsv.split_rejects(back)
+    ok, _ = tsv.split_rejects(tsv.read_tsv(spark, path, columns=("doc_id", "text"), partition="language"))
     return ok.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "language")
 
 
@@ -375,9 +374,10 @@ def q_union_languages(spark, sf_dir):
     """One file set per language, language appended as a constant, positional union, nulls dropped."""
     path, langs = _language_files(spark, sf_dir)
     frames = []
-    for lang in langs:   # one read per class: the class list is small and bounded
-        ok, _ = tsv.split_rejects(tsv.read_tsv(spark, f"{path}/language={lang}", columns=("doc_id", "text", "label")))
-        frames.append(ok.withColumn("language", F.lit(lang)))
+    files, _ = tsv.split_rejects(tsv.read_tsv(spark, path, columns=("doc_id", "text", "label"), partition="language"))
+    for lang in langs:   # one read of the language's folder per class: the class list is small and bounded
+        one = files.where(F.col("language") == F.lit(lang)).select("doc_id", "text", "label")
+        frames.append(one.withColumn("language", F.lit(lang)))
     u = tsv.positional_union(frames, ("doc_id", "text", "label", "language"))
     u = tables.clean_corpus(u)
     return u.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label", "language")
@@ -386,12 +386,35 @@ def q_union_languages(spark, sf_dir):
 def q_many_file_scan(spark, sf_dir):
     """All language files in one scan; the language comes from each file's folder name."""
     path, _ = _language_files(spark, sf_dir)
-    u = tsv.read_language_files(spark, f"{path}/language=*", columns=("doc_id", "text", "label"),
-                                path_pattern=tsv.LANGUAGE_FROM_PARTITION)
+    u, _ = tsv.read_language_files(spark, path, columns=("doc_id", "text", "label"), partition="language")
     u = tables.clean_corpus(u)
     return u.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label", "language")
 
 
+def _uneven_files(spark, sf_dir) -> str:
+    """documents as records of (doc_id, text, lang), some with other widths: by id modulo 5, one empty field more,
+    three fields more, or the language left out."""
+    path = models.new_folder(spark, "uneven")
+    d = tables.read_table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    kind = F.col("doc_id") % 5
+    tail = (F.when(kind == 1, F.concat(F.lit("\t"), "lang", F.lit("\t")))
+            .when(kind == 2, F.concat(F.lit("\t"), "lang", F.lit('\t\t"a\tb"\tc')))
+            .when(kind == 3, F.lit("")).otherwise(F.concat(F.lit("\t"), "lang")))
+    d.select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), quoted, tail).alias("value")).write.text(path)
+    return path
+
+
+def q_tsv_rejects(spark, sf_dir):
+    """Rows of the expected width and rejected records, each with its width and a digest of its content."""
+    ok, bad = tsv.split_rejects(tsv.read_tsv(spark, _uneven_files(spark, sf_dir), columns=("doc_id", "text", "lang"), header=False))
+    kept = ok.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(3).alias("n_fields"), F.lit(True).alias("kept"),
+                     F.md5(F.concat_ws("\t", "text", "lang")).alias("content_md5"))
+    lost = bad.select(F.substring_index("record", "\t", 1).cast("long").alias("doc_id"), "n_fields", F.lit(False).alias("kept"),
+                      F.md5("record").alias("content_md5"))
+    return kept.union(lost)
+
+
 def _baseline_results(spark, sf_dir) -> tuple[str, str]:
     def build():
         ev = baseline_eval_df(spark, sf_dir)
@@ -464,6 +487,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tsv_roundtrip": q_tsv_roundtrip,
     "union_languages": q_union_languages,
     "many_file_scan": q_many_file_scan,
+    "tsv_rejects": q_tsv_rejects,
     "results_tables": q_results_tables,
     "results_metrics": q_results_metrics,
     "model_reload_predict": q_model_reload_predict,

@@ -8,7 +8,13 @@ scores integer micro-nats.
 
 from __future__ import annotations
 
-from babelcask.functions.text import NA_TOKENS, SEPARATOR
+# pandas' default null strings, and the separator between language and text.
+NA_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
+    "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
+    "nan", "null",
+]
+SEPARATOR = " </s> "
 
 NA = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
 SEP = SEPARATOR.replace("'", "''")
@@ -372,6 +378,18 @@ def _q(*parts: str) -> str:
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["corpus_clean"] = _q(_with(CORPUS), "SELECT doc_id, text, label, language FROM corpus")
+    q["tsv_rejects"] = '''
+WITH r AS (
+  SELECT doc_id, text, lang, doc_id % 5 AS k,
+         CAST(doc_id AS VARCHAR) || chr(9) || '"' || replace(text, '"', '""') || '"' AS head
+  FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL
+)
+SELECT doc_id, CAST(CASE k WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 3 THEN 2 ELSE 3 END AS INTEGER) AS n_fields,
+       k NOT IN (1, 2, 3) AS kept,
+       md5(CASE k WHEN 1 THEN head || chr(9) || lang || chr(9)
+                  WHEN 2 THEN head || chr(9) || lang || chr(9) || chr(9) || '"a' || chr(9) || 'b"' || chr(9) || 'c'
+                  WHEN 3 THEN head ELSE text || chr(9) || lang END) AS content_md5
+FROM r'''
     q["label_dictionary"] = _q(_with(CORPUS), """
 SELECT 'label' AS field, idx, cls AS value FROM labels_k
 UNION ALL SELECT 'language' AS field, idx, cls AS value FROM langs_k""")
