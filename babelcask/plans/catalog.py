@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from babelcask.functions.text import SEPARATOR, prefixed
 from babelcask.operators import bayes, curves, metrics, trainer
-from babelcask.operators.encode import ClassDictionary, dictionary_frame
+from babelcask.operators.encode import ClassDictionary, Dictionary
 from babelcask.operators.features import token_stats
 from babelcask.operators.split import assign_split_and_fold, seeded_order, split_sizes
 from babelcask.plans import cascade, crossval
@@ -92,20 +92,24 @@ def q_corpus_clean(spark, sf_dir):
 
 def q_label_dictionary(spark, sf_dir):
     c = tables.corpus(spark, sf_dir)
-    lab = dictionary_frame(c, "label").select(F.lit("label").alias("field"), "idx", "value")
-    lang = dictionary_frame(c, "language").select(F.lit("language").alias("field"), "idx", "value")
-    return lab.unionByName(lang)
+    one = [Dictionary.fit(c, f).frame.select(F.lit(f).alias("field"), F.col("idx").cast("int").alias("idx"), "value")
+           for f in ("label", "language")]
+    return one[0].unionByName(one[1])
 
 
 def q_label_encode(spark, sf_dir):
-    cp = corpus_of(spark, sf_dir)
-    return cp.docs.select("doc_id", cp.dictionary("label").encode("label").alias("label_id"),
-                          cp.dictionary("language").encode("language").alias("language_id"))
+    docs = corpus_of(spark, sf_dir).docs
+    out = Dictionary.fit(docs, "label").encode(docs, "label", "label_id")
+    out = Dictionary.fit(docs, "language").encode(out, "language", "language_id")
+    return out.select("doc_id", F.col("label_id").cast("int").alias("label_id"),
+                      F.col("language_id").cast("int").alias("language_id"))
 
 
 def q_label_decode(spark, sf_dir):
-    ev = cascade_eval_df(spark, sf_dir)
-    return ev.select("doc_id", "predicted_label_id", "predicted_label", "predicted_language_id", "predicted_language")
+    ev = cascade_eval_df(spark, sf_dir).select("doc_id", "predicted_label_id", "predicted_language_id")
+    docs = corpus_of(spark, sf_dir).docs
+    out = Dictionary.fit(docs, "label").decode(ev, "predicted_label_id", "predicted_label")
+    return Dictionary.fit(docs, "language").decode(out, "predicted_language_id", "predicted_language")
 
 
 def q_langid_target(spark, sf_dir):
