@@ -16,9 +16,8 @@ NA_TOKENS = [
 # Word boundary for the tokeniser: runs of blank, tab, carriage return, newline.
 WORD_SPLIT = "[ \t\r\n]+"
 
-# Separators the cascade puts between language and text.
+# Fixed value: the separator the cascade puts between language and text.
 SEPARATOR = " </s> "
-SEPARATOR_ALT = " [SEP] "
 
 
 def _col(c) -> Column:

@@ -84,31 +84,65 @@ def class_plan(df: DataFrame, class_col: str, test_size: float = TEST_SIZE) -> D
                     "_offset")
 
 
-def class_quotas(df: DataFrame, class_col: str, test_size: float = TEST_SIZE) -> DataFrame:
-    """(class, n, n_train_quota)."""
-    return class_plan(df, class_col, test_size).drop("_offset")
+class ClassTooSmall(ValueError):
+    """A stratified split or fold that the class sizes do not allow."""
+
+
+def check_split(sizes, test_size: float) -> None:
+    """The library's conditions on a stratified split: two rows a class, and a row of both parts for each class.
+
+    ``sizes``: one row with ``k`` (classes), ``n`` (rows), ``least`` (rows of the smallest class).
+    """
+    n_test = math.ceil(test_size * sizes["n"])
+    if sizes["least"] < 2:
+        raise ClassTooSmall("the smallest class has one row only; a stratified split needs two rows of every class")
+    for part, rows in (("test", n_test), ("train", sizes["n"] - n_test)):
+        if rows < sizes["k"]:
+            raise ClassTooSmall(f"the {part} part has {rows} rows, fewer than the {sizes['k']} classes")
+
+
+def check_folds(sizes, n_folds: int) -> None:
+    """The library's condition on stratified folds: some class has a row for every fold (``most``: its rows)."""
+    if sizes["most"] < n_folds:
+        raise ClassTooSmall(f"no class has as many rows as there are folds ({n_folds})")
 
 
 def assign_split_and_fold(df: DataFrame, class_col: str = "label", id_col: str = "doc_id",
                           test_size: float = TEST_SIZE, n_folds: int = N_FOLDS, seed: str = SEED,
-                          split_out: str = "split", fold_out: str = "fold",
-                          bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Both the split and the fold from one ranking pass."""
+                          split_out: str | None = "split", fold_out: str | None = "fold",
+                          bucket_rows: int = BUCKET_ROWS, strict: bool = True) -> DataFrame:
+    """Both the split and the fold from one ranking pass.
+
+    A row with a null class is in no part and no fold: it comes out with nulls
+    there.  Class sizes that the library refuses raise ``ClassTooSmall``, unless
+    ``strict`` is off (then a class of one row goes where its quota falls).
+    """
     # one row per class, written once; its row count and the number of
     # (class, bucket) offsets it implies are counted before any broadcast
-    plan = cut_lineage(class_plan(df, class_col, test_size)
-                       .withColumn("_bits", bucket_bits("n", bucket_rows)).drop("n"), "classplan")
-    sizes = plan.agg(F.count(F.lit(1)).alias("k"), F.sum(F.pow(F.lit(2.0), F.col("_bits"))).alias("pairs")).first()
+    classed = df.where(F.col(class_col).isNotNull())
+    plan = cut_lineage(class_plan(classed, class_col, test_size)
+                       .withColumn("_bits", bucket_bits("n", bucket_rows)), "classplan")
+    sizes = plan.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.min("n").alias("least"), F.max("n").alias("most"),
+                     F.sum(F.pow(F.lit(2.0), F.col("_bits"))).alias("pairs")).first()
+    if strict and sizes["k"]:
+        if split_out:
+            check_split(sizes, test_size)
+        if fold_out:
+            check_folds(sizes, n_folds)
+    plan = plan.drop("n")
     plan = F.broadcast(plan) if sizes["k"] <= MAX_BROADCAST_ROWS else plan
-    ranked = ranked_in_class(df.join(plan, class_col), class_col, id_col, seed, bits=F.col("_bits"),
-                             broadcast_offsets=(sizes["pairs"] or 0) <= MAX_BROADCAST_ROWS)
-    out = ranked
+    out = ranked_in_class(classed.join(plan, class_col), class_col, id_col, seed, bits=F.col("_bits"),
+                          broadcast_offsets=(sizes["pairs"] or 0) <= MAX_BROADCAST_ROWS)
+    unclassed = df.where(F.col(class_col).isNull())
     if split_out:
         out = out.withColumn(split_out, F.when(F.col("rank_in_class") <= F.col("n_train_quota"), F.lit("train"))
                              .otherwise(F.lit("test")))
+        unclassed = unclassed.withColumn(split_out, F.lit(None).cast("string"))
     if fold_out:
         out = out.withColumn(fold_out, ((F.col("_offset") + F.col("rank_in_class") - 1) % n_folds).cast("int"))
-    return out.drop("_h", "rank_in_class", "n_train_quota", "_offset", "_bits")
+        unclassed = unclassed.withColumn(fold_out, F.lit(None).cast("int"))
+    columns = [*df.columns, *(c for c in (split_out, fold_out) if c)]
+    return out.select(columns).union(unclassed.select(columns))
 
 
 def seeded_order(df: DataFrame, id_col: str = "doc_id", seed: str = SEED, out: str = "position",
@@ -127,17 +161,5 @@ def seeded_order(df: DataFrame, id_col: str = "doc_id", seed: str = SEED, out: s
     return r.select(id_col, out)
 
 
-def stratified_split(df: DataFrame, class_col: str = "label", id_col: str = "doc_id",
-                     test_size: float = TEST_SIZE, seed: str = SEED, out: str = "split") -> DataFrame:
-    """Adds ``out`` = 'train' or 'test' to every row."""
-    return assign_split_and_fold(df, class_col, id_col, test_size, N_FOLDS, seed, split_out=out, fold_out=None)
-
-
-def stratified_folds(df: DataFrame, class_col: str = "label", id_col: str = "doc_id",
-                     n_folds: int = N_FOLDS, seed: str = SEED, out: str = "fold") -> DataFrame:
-    """Adds ``out`` in ``0..n_folds-1``; every row is in exactly one fold."""
-    return assign_split_and_fold(df, class_col, id_col, TEST_SIZE, n_folds, seed, split_out=None, fold_out=out)
-
-
 def split_sizes(df: DataFrame, split_col: str = "split") -> DataFrame:
     return df.groupBy(split_col).agg(F.count(F.lit(1)).alias("n"))

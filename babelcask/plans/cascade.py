@@ -117,98 +117,98 @@ def fit_cascade(cp: Corpus, train_filter=None) -> CascadeModel:
                         sent_counts=sent_counts)
 
 
-def fit_baseline(cp: Corpus, train_filter=None,
-                 cascade_model: CascadeModel | None = None) -> tuple[bayes.NaiveBayesModel, ClassDictionary]:
-    """Sentiment from raw text; from a fitted cascade's counts (language summed out) when given."""
-    train_filter = train_filter if train_filter is not None else (F.col("split") == "train")
-    sd = cp.dictionary("label")
-    docs = cp.docs.where(train_filter)
-    if cascade_model is not None and cascade_model.sent_counts is not None:
-        counts = bayes.count_marginal(cascade_model.sent_counts, "language", docs, "label")
-    else:
-        counts = bayes.count(cp.features.where(train_filter), docs, "label", sd.classes, keys=("gram",))
-    return counts.model(cp.config.alpha), sd
-
-
 # Largest number of (language, sentiment class) pairs scored in the fused pass.
 MAX_FUSED_PAIRS = 256
 
 
 def fused_table(model: CascadeModel) -> DataFrame:
-    """One row per gram: stage-one scores and, per language, the stage-two scores.
+    """One row per gram: stage-one scores and, language by language, the stage-two scores.
 
-    The stage-two table is keyed by (language, gram); pivoting the language
-    into columns puts both stages on the same key, so one join of the counts
-    feeds both stages.  Extra keys (the fold) are kept.
+    The stage-two table is keyed by (language, gram); laying the languages
+    side by side puts both stages on the same key, so one join of the counts
+    feeds both stages.  Fold models keep their folds inside the arrays.
     """
     if model._fused is None:
         lang, sent = model.language, model.sentiment
-        extra = [k for k in lang.keys if k != "gram"]
-        langs = model.lang_dict.classes
-        pivot = sent.table.groupBy(*extra, "gram").agg(*[
+        zeros = lambda m: F.array_repeat(F.lit(0).cast("bigint"), m.k * m.slices)
+        pivot = sent.table.groupBy("gram").agg(*[
             F.first(F.when(F.col("language") == F.lit(l), F.col("scores")), ignorenulls=True).alias(f"_s{i}")
-            for i, l in enumerate(langs)])
-        fused = lang.table.withColumnRenamed("scores", "_ls").join(pivot, [*extra, "gram"], "full_outer")
+            for i, l in enumerate(model.lang_dict.classes)])
+        pivot = pivot.select("gram", F.concat(*[F.coalesce(f"_s{i}", zeros(sent)) for i in range(lang.k)]).alias("_ss"))
+        fused = lang.table.withColumnRenamed("scores", "_ls").join(pivot, "gram", "full_outer").select(
+            "gram", F.coalesce("_ls", zeros(lang)).alias("_ls"),
+            F.coalesce("_ss", F.array_repeat(F.lit(0).cast("bigint"), lang.k * sent.k * sent.slices)).alias("_ss"))
         # fitted once, scored many times: materialise (its size is checked before broadcasting)
         model._fused = cut_lineage(fused, "fused")
     return model._fused
 
 
-def _fused_ok(model: CascadeModel) -> bool:
-    pairs = model.lang_dict.size * model.sent_dict.size
-    rows = sum(model.language.vocab.values())
-    size = rows * 8 * (model.lang_dict.size + pairs + 4)
-    return pairs <= MAX_FUSED_PAIRS and size <= bayes.MAX_BROADCAST_BYTES
+def _fused_bytes(model: CascadeModel) -> int:
+    lang, sent = model.language, model.sentiment
+    return lang.rows * (8 * (lang.k * lang.slices + lang.k * sent.k * sent.slices) + 72)
 
 
-def score_cascade(model: CascadeModel, feats: DataFrame, carry=(), gold_language: bool = False) -> DataFrame:
+def score_cascade(model: CascadeModel, feats: DataFrame, carry=(), gold_language: bool = False,
+                  broadcast_limit: int | None = None) -> DataFrame:
     """(doc_id, carry..., lang_scores, predicted_language, sent_scores, predicted_label).
 
     ``gold_language=True`` crosses stage two with the true ``language`` column
-    (the trainer's own evaluation) instead of the predicted one.
+    (the trainer's own evaluation; ``language`` must be carried) instead of the
+    predicted one.
     """
-    if gold_language or not _fused_ok(model):
-        return _score_two_pass(model, feats, carry, gold_language)
-    return _score_fused(model, feats, carry)
+    if model.lang_dict.size * model.sent_dict.size > MAX_FUSED_PAIRS:
+        return _score_two_pass(model, feats, carry, gold_language, broadcast_limit)
+    return _score_fused(model, feats, carry, gold_language, broadcast_limit)
+
 
+def _score_fused(model: CascadeModel, feats: DataFrame, carry=(), gold_language: bool = False,
+                 broadcast_limit: int | None = None) -> DataFrame:
+    """Both stages in one join and one aggregation per document (one read of the counts).
 
-def _score_fused(model: CascadeModel, feats: DataFrame, carry=()) -> DataFrame:
-    """Both stages in one join and one aggregation per document (one read of the counts)."""
+    A fitted table above the broadcast limit is joined by one shuffle of the
+    counts on the salted gram; the aggregation per document follows.
+    """
     lang, sent = model.language, model.sentiment
-    kl, ks = model.lang_dict.size, model.sent_dict.size
-    extra = [k for k in lang.keys if k != "gram"]
-    table = F.broadcast(fused_table(model).select(
-        *[F.col(k).alias(f"_m_{k}") for k in (*extra, "gram")], "_ls", *[f"_s{i}" for i in range(kl)]))
-    cond = [F.col(k) == F.col(f"_m_{k}") for k in (*extra, "gram")]
-    ids = ["doc_id", *extra, *carry]
-    n = F.col("n")
-    sums = feats.join(table, cond, "left").groupBy(*ids).agg(
-        *[F.sum(n * F.col("_ls")[k]).alias(f"_l{k}") for k in range(kl)],
-        *[F.sum(n * F.col(f"_s{i}")[k]).alias(f"_t{i}_{k}") for i in range(kl) for k in range(ks)])
-    zero = F.lit(0).cast("bigint")
-    fold = extra[0] if extra else None
-    lang_scores = F.zip_with(lang.prior_column(fold), F.array(*[F.coalesce(F.col(f"_l{k}"), zero) for k in range(kl)]),
-                             lambda a, b: a + b)
-    per_lang = F.array(*[F.array(*[F.coalesce(F.col(f"_t{i}_{k}"), zero) for k in range(ks)]) for i in range(kl)])
-    out = sums.select(*ids, lang_scores.alias("lang_scores"), per_lang.alias("_per_lang"))
+    kl, ks, folds = lang.k, sent.k, sent.slices
+    fold = lang.slice_col
+    ids = ["doc_id", *([fold] if fold else []), *carry]
+    table = fused_table(model).withColumnRenamed("gram", "_m_gram")
+    joined = bayes.join_model(feats, table, [(F.col("gram"), "_m_gram")], "doc_id", _fused_bytes(model), broadcast_limit)
+    f = F.col(fold).cast("int") if fold else F.lit(0)
+    ls, ss = F.col("_ls"), F.col("_ss")
+
+    def at(i: int):
+        if i < kl:
+            return ls[f * kl + i]
+        l, c = divmod(i - kl, ks)
+        return ss[(l * folds + f) * ks + c]
+
+    def whole():
+        return F.concat(F.slice(ls, f * kl + 1, kl), *[F.slice(ss, (l * folds + f) * ks + 1, ks) for l in range(kl)])
+
+    sums = bayes.array_sums(joined, ids, kl + kl * ks, "_evidence", at, whole, F.col("n"))
+    add = lambda a, b: a + b
+    out = sums.withColumn("lang_scores", F.zip_with(lang.prior_column(fold), F.slice("_evidence", 1, kl), add))
     pred = bayes.predict_ids("lang_scores")
+    cross = model.lang_dict.encode("language") if gold_language else pred
     out = out.select(*ids, "lang_scores", model.lang_dict.decode(pred).alias("predicted_language"),
-                     F.zip_with(sent.prior_column(fold), F.element_at("_per_lang", pred + 1),
-                                lambda a, b: a + b).alias("sent_scores"))
+                     F.zip_with(sent.prior_column(fold), F.slice("_evidence", kl + 1 + cross * ks, ks), add).alias("sent_scores"))
     return out.withColumn("predicted_label", model.sent_dict.decode(bayes.predict_ids("sent_scores")))
 
 
-def _score_two_pass(model: CascadeModel, feats: DataFrame, carry=(), gold_language: bool = False) -> DataFrame:
-    """Stage one, then stage two joined back to the counts by document."""
-    extra = [k for k in model.language.keys if k != "gram"]
+def _score_two_pass(model: CascadeModel, feats: DataFrame, carry=(), gold_language: bool = False,
+                    broadcast_limit: int | None = None) -> DataFrame:
+    """Stage one, then stage two joined back to the counts by document (very many pairs of classes)."""
+    extra = [model.language.slice_col] if model.language.slice_col else []
     ids = ["doc_id", *extra, *carry]
-    ls = bayes.score(model.language, feats, id_cols=["doc_id", *extra], out="lang_scores")
+    ls = bayes.score(model.language, feats, id_cols=["doc_id", *extra], out="lang_scores", broadcast_limit=broadcast_limit)
     ls = ls.withColumn("predicted_language", model.lang_dict.decode(bayes.predict_ids("lang_scores")))
     cross_col = "language" if gold_language else "predicted_language"
     # both sides clustered by doc_id: no shuffle of the count table
     stage2 = feats.join(ls.drop(*extra), "doc_id")
     ss = bayes.score(model.sentiment, stage2, key_map={"language": cross_col},
-                     id_cols=ids, out="sent_scores", passthrough=["lang_scores", "predicted_language"])
+                     id_cols=ids, out="sent_scores", passthrough=["lang_scores", "predicted_language"],
+                     broadcast_limit=broadcast_limit)
     return ss.withColumn("predicted_label", model.sent_dict.decode(bayes.predict_ids("sent_scores")))
 
 
@@ -226,15 +226,6 @@ def cascade_eval(cp: Corpus, model: CascadeModel | None = None, gold_language: b
         "lang_scores", "sent_scores")
 
 
-def baseline_eval(cp: Corpus) -> DataFrame:
-    m, sd = fit_baseline(cp)
-    test = cp.features.where(F.col("split") == "test")
-    s = bayes.score(m, test, id_cols=["doc_id", "label"], out="sent_scores")
-    return s.select("doc_id", "label", sd.decode(bayes.predict_ids("sent_scores")).alias("predicted_label"),
-                    sd.encode("label").alias("label_id"), bayes.predict_ids("sent_scores").alias("predicted_label_id"),
-                    "sent_scores")
-
-
 def predict(model: CascadeModel, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cascade on new texts: (id, text, predicted_language, predicted_sentiment).
 

@@ -222,14 +222,14 @@ def q_best_candidate(spark, sf_dir):
     """Smoothing candidates scored in one pass; best by weighted F1, ties to the first."""
     cp = corpus_of(spark, sf_dir)
     sd = cp.dictionary("label")
-    model, alphas = baseline_counts(spark, sf_dir).candidates(CANDIDATE_ALPHAS)
+    model = baseline_counts(spark, sf_dir).candidates(CANDIDATE_ALPHAS)
     test = cp.features.where(F.col("split") == "test")
-    s = bayes.score(model, test, id_cols=["doc_id", "label"], out="sent_scores")
+    s = bayes.score(model, test, id_cols=["doc_id", "label"], out="sent_scores", all_slices=True)
     preds = s.select("candidate", "label", sd.decode(bayes.predict_ids("sent_scores")).alias("predicted_label"))
     per = metrics.weighted_prf(preds, "label", "predicted_label", by=["candidate"])
     # one row per candidate: the window spans the few candidates only
     best = F.max_by("candidate", F.struct(F.col("f1"), -F.col("candidate"))).over(Window.partitionBy())
-    alpha = F.element_at(F.array(*[F.lit(a) for a in alphas]), F.col("candidate") + 1)
+    alpha = F.element_at(F.array(*[F.lit(a) for a in CANDIDATE_ALPHAS]), F.col("candidate") + 1)
     return per.withColumn("_best", best).select(
         "candidate", alpha.alias("alpha"), "accuracy", "f1", (F.col("candidate") == F.col("_best")).alias("is_best"))
 

@@ -38,12 +38,8 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 
 def _meta(model: NaiveBayesModel) -> str:
-    return json.dumps({
-        "classes": list(model.classes), "keys": list(model.keys),
-        "vocab": {str(k): v for k, v in model.vocab.items()},
-        "priors": {str(k): list(v) for k, v in model.priors.items()},
-        "fold_col": model.fold_col,
-    })
+    return json.dumps({"classes": model.classes, "keys": model.keys, "rows": model.rows, "vocab": model.vocab,
+                       "priors": model.priors, "slice_col": model.slice_col})
 
 
 def save_stage(model: NaiveBayesModel, path: str) -> None:
@@ -54,14 +50,8 @@ def save_stage(model: NaiveBayesModel, path: str) -> None:
 
 def load_stage(spark: SparkSession, path: str) -> NaiveBayesModel:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-
-    def key(k):
-        return None if k == "None" else int(k)
-    return NaiveBayesModel(
-        tuple(meta["classes"]), tuple(meta["keys"]), spark.read.parquet(f"{path}/table"),
-        {key(k): int(v) for k, v in meta["vocab"].items()},
-        {key(k): tuple(int(x) for x in v) for k, v in meta["priors"].items()},
-        meta["fold_col"])
+    return NaiveBayesModel(tuple(meta["classes"]), tuple(meta["keys"]), spark.read.parquet(f"{path}/table"),
+                           meta["rows"], tuple(meta["vocab"]), tuple(tuple(p) for p in meta["priors"]), meta["slice_col"])
 
 
 def save_cascade(model, path: str) -> str:

@@ -1,10 +1,11 @@
 import math
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from babelcask.operators.ranking import bucketed_rank, md5_bucket
-from babelcask.operators.split import assign_split_and_fold, order_key
+from babelcask.operators.split import ClassTooSmall, assign_split_and_fold, order_key
 
 
 def _data(spark, sizes):
@@ -87,3 +88,27 @@ def test_class_plan_of_very_many_rows(spark):
         F.expr("CAST(CAST(n AS DECIMAL(19,0)) * CAST(t AS DECIMAL(18,0)) div a AS BIGINT)").alias("q"),
         F.expr("CAST(CAST(n AS DECIMAL(19,0)) * CAST(t AS DECIMAL(18,0)) % a AS BIGINT)").alias("r")).first()
     assert (row["q"], row["r"]) == divmod(n * n_train, n + 7)
+
+
+def test_classes_too_small_are_errors(spark):
+    with pytest.raises(ClassTooSmall, match="one row only"):
+        assign_split_and_fold(_data(spark, {"a": 30, "b": 1}), "label")
+    with pytest.raises(ClassTooSmall, match="test part"):
+        assign_split_and_fold(_data(spark, {c: 2 for c in "abcdef"}), "label")
+    with pytest.raises(ClassTooSmall, match="train part"):
+        assign_split_and_fold(_data(spark, {c: 2 for c in "abcdef"}), "label", test_size=0.8)
+    with pytest.raises(ClassTooSmall, match="folds"):
+        assign_split_and_fold(_data(spark, {"a": 4, "b": 3}), "label", split_out=None)
+    loose = assign_split_and_fold(_data(spark, {"a": 30, "b": 1}), "label", strict=False)
+    assert loose.count() == 31
+    # folds alone: a class smaller than the number of folds is allowed beside a large one
+    assert assign_split_and_fold(_data(spark, {"a": 30, "b": 1}), "label", split_out=None).count() == 31
+
+
+def test_null_classes_keep_their_rows(spark):
+    d = _data(spark, {"a": 30, "b": 20})
+    nulls = spark.range(100, 107).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("label"))
+    a = {tuple(r) for r in assign_split_and_fold(d, "label").collect()}
+    b = {tuple(r) for r in assign_split_and_fold(d.union(nulls), "label").collect()}
+    assert b - a == {(i, None, None, None) for i in range(100, 107)} and a < b
+    assert assign_split_and_fold(d.limit(0), "label").count() == 0
