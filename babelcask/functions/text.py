@@ -48,12 +48,3 @@ def prefixed(language, text, separator: str = SEPARATOR) -> Column:
 def padded(word) -> Column:
     """Word with boundary marks, so grams know where a word starts and ends."""
     return F.concat(F.lit("<"), _col(word), F.lit(">"))
-
-
-def grams_of(padded_word, n: int = 3) -> Column:
-    """Array of the character n-grams of one padded word (at least one)."""
-    w = _col(padded_word)
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))),
-        lambda i: F.substring(w, i, n),
-    )

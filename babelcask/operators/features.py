@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from babelcask.functions.text import WORD_SPLIT, grams_of, padded, words
+from babelcask.functions.text import WORD_SPLIT, padded, truncate, words
 from babelcask.session import work_partitions
 
 GRAM = 3
@@ -32,9 +32,21 @@ def token_stats(df: DataFrame, max_tokens: int, id_col: str = "doc_id", text_col
     )
 
 
-def doc_grams_array(text, n: int = GRAM):
-    """All gram occurrences of a whole text as one array (row-local, no shuffle)."""
-    return F.flatten(F.transform(words(text), lambda w: grams_of(padded(w), n)))
+def token_sequences(df: DataFrame, max_tokens: int, prefix=None, id_col: str = "doc_id", text_col: str = "text",
+                    keep: tuple = ()) -> DataFrame:
+    """(id, keep..., tokens, n_tokens, n_cut): the tokens a model of ``max_tokens`` inputs is given.
+
+    ``prefix``: a text put before (language and separator); its tokens count
+    against the limit, and the text's tokens are cut from the end.  A prefix
+    that alone passes the limit is cut, too.  Nulls have no tokens.
+    """
+    none = F.array().cast("array<string>")
+    body = F.coalesce(words(text_col), none)
+    head = none if prefix is None else F.coalesce(words(prefix), none)
+    whole = df.select(id_col, *keep, F.concat(head, body).alias("_all"))
+    return whole.select(id_col, *keep, truncate("_all", max_tokens).alias("tokens"),
+                        F.size("_all").cast("long").alias("n_tokens"),
+                        F.greatest(F.size("_all") - F.lit(max_tokens), F.lit(0)).cast("long").alias("n_cut"))
 
 
 def gram_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple = (),

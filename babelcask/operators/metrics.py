@@ -55,6 +55,23 @@ def class_report(df: DataFrame, y: str = "y", yhat: str = "yhat", by=()) -> Data
                       F.col("support").cast("long").alias("support"))
 
 
+def full_report(df: DataFrame, classes: DataFrame, y: str = "y", yhat: str = "yhat", by=()) -> DataFrame:
+    """``class_report`` over every class of ``classes(value)``, for each ``by``; ``in_data``: a row has or predicts it.
+
+    A class without rows has zeros and support 0.  The classes are laid out per
+    ``by`` value from the report itself (K rows each), so no data row moves.
+    """
+    per = _with_prf(class_counts(confusion(df, y, yhat, by), by))
+    grid = classes.select(F.col("value").alias("class"))
+    if by:
+        names = grid.agg(F.array_sort(F.collect_list("class")).alias("_k"))     # one row: the dictionary
+        grid = per.select(*by).distinct().join(F.broadcast(names)).select(*by, F.explode("_k").alias("class"))
+    out = grid.join(per, [*by, "class"], "left")
+    return out.select(
+        *by, "class", *[F.coalesce(F.round(c, DIGITS), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")],
+        F.coalesce(F.col("support").cast("long"), F.lit(0)).alias("support"), F.col("tp").isNotNull().alias("in_data"))
+
+
 def weighted_prf(df: DataFrame, y: str = "y", yhat: str = "yhat", by=()) -> DataFrame:
     """Accuracy and support-weighted precision, recall, F1, per ``by``."""
     per = _with_prf(class_counts(confusion(df, y, yhat, by), by))

@@ -3,12 +3,12 @@ the identified language as context.  Also the one-stage baseline.
 
 Plan, once per corpus:
 
-1. ``documents JOIN labels`` -> null tokens -> drop incomplete rows; text is
-   hash-partitioned by ``doc_id`` once and turned into (doc, gram, n) with the
-   document's class columns carried along; the count table is checkpointed.
-2. A narrow per-document table (the corpus without its text) is written
+1. A narrow per-document table (the corpus without its text) is written
    once; the split and fold columns are computed there and the result is
-   bucketed by ``doc_id`` like the count table.
+   bucketed by ``doc_id``.
+2. ``documents JOIN labels`` -> null tokens -> drop incomplete rows; text is
+   hash-partitioned by ``doc_id`` once and turned into (doc, gram, n) with the
+   document's class columns carried along; the count table is bucketed alike.
 3. Stage one is fitted on (gram -> language), stage two on
    ((gold language, gram) -> label): the language crosses each gram, so the
    second model is conditioned on it and not merely given a prefix token.
@@ -57,37 +57,32 @@ class Corpus:
 
     @property
     def features(self) -> DataFrame:
-        """(doc_id, label, language, split, fold, gram, n), checkpointed."""
+        """(doc_id, label, language, split, fold, gram, n): the count table, bucketed by document."""
         if self._feats is None:
-            self._build()
+            n = work_partitions(corpus(self.spark, self.sf_dir))
+            c = corpus(self.spark, self.sf_dir, n_parts=n)
+            # the corpus comes hash-partitioned by document: counting adds no exchange
+            feats = bucketed_table(gram_counts(c, carry=("label", "language"), partition=False), "doc_id", "feats",
+                                   partitioned=True, buckets=n)
+            # both tables are bucketed alike: hash the narrow per-document side per
+            # bucket and stream the count table through it - no shuffle, no sort
+            self._feats = feats.join(self.docs.select("doc_id", "split", "fold").hint("shuffle_hash"), "doc_id")
         return self._feats
 
     @property
     def docs(self) -> DataFrame:
-        """(doc_id, label, language, split, fold): one row per document."""
+        """(doc_id, label, language, split, fold): one row per document, built without its grams."""
         if self._docs is None:
-            self._build()
+            c = corpus(self.spark, self.sf_dir)
+            # one row per document, written once: the split's class plan, ranking and join read this small table
+            narrow = cut_lineage(c.select("doc_id", "label", "language"), "narrow")
+            cfg = self.config
+            assigned = assign_split_and_fold(narrow, cfg.stratify_on, test_size=cfg.test_size,
+                                             n_folds=cfg.n_folds, seed=cfg.seed)
+            self._docs = bucketed_table(assigned.select("doc_id", "label", "language", "split", "fold"), "doc_id", "docs",
+                                        buckets=work_partitions(c))
         return self._docs
 
-    def _build(self) -> None:
-        c = corpus(self.spark, self.sf_dir)
-        n = work_partitions(c)
-        feats = bucketed_table(gram_counts(c, carry=("label", "language"), n_parts=n), "doc_id", "feats",
-                               partitioned=True, buckets=n)
-        # one row per document from the corpus scan (the text column is not
-        # read), written once: the split's class plan, ranking and join all
-        # read this small table, not the count table
-        narrow = cut_lineage(c.select("doc_id", "label", "language"), "narrow")
-        cfg = self.config
-        assigned = assign_split_and_fold(narrow, cfg.stratify_on, test_size=cfg.test_size,
-                                         n_folds=cfg.n_folds, seed=cfg.seed)
-        docs = bucketed_table(assigned.select("doc_id", "label", "language", "split", "fold"), "doc_id", "docs",
-                              buckets=n)
-        self._docs = docs
-        # both tables are bucketed alike: hash the narrow per-document side per
-        # bucket and stream the count table through it - no shuffle, no sort
-        self._feats = feats.join(docs.select("doc_id", "split", "fold").hint("shuffle_hash"), "doc_id")
-
     def dictionary(self, column: str) -> ClassDictionary:
         if column not in self._dicts:
             self._dicts[column] = ClassDictionary.fit(self.docs, column)

@@ -10,17 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from babelcask.functions.text import SEPARATOR, prefixed
+from babelcask.functions.text import prefixed
 from babelcask.operators import bayes, curves, metrics, trainer
 from babelcask.operators.encode import ClassDictionary, Dictionary
-from babelcask.operators.features import token_stats
+from babelcask.operators.features import token_sequences, token_stats
 from babelcask.operators.split import assign_split_and_fold, seeded_order, split_sizes
-from babelcask.plans import cascade, crossval
+from babelcask.plans import cascade, choice, crossval
 from babelcask.plans.cascade import CascadeConfig, Corpus
 from babelcask.session import cut_lineage
 from babelcask.sources import models, tables, tsv
@@ -118,14 +116,14 @@ def q_langid_target(spark, sf_dir):
 
 def q_prefix_gold(spark, sf_dir):
     c = tables.corpus(spark, sf_dir)
-    p = prefixed("language", "text", SEPARATOR)
+    p = prefixed("language", "text", CascadeConfig().separator)
     return c.select("doc_id", F.md5(p).alias("prefixed_md5"), F.length(p).cast("long").alias("prefixed_chars"))
 
 
 def q_prefix_predicted(spark, sf_dir):
     ev = cascade_eval_df(spark, sf_dir).select("doc_id", "predicted_language")
     c = tables.corpus(spark, sf_dir).select("doc_id", "text")
-    p = prefixed("predicted_language", "text", SEPARATOR)
+    p = prefixed("predicted_language", "text", CascadeConfig().separator)
     return ev.join(c, "doc_id").select("doc_id", F.md5(p).alias("prefixed_md5"),
                                        F.length(p).cast("long").alias("prefixed_chars"))
 
@@ -134,6 +132,15 @@ def q_tokens_truncated(spark, sf_dir):
     return token_stats(tables.corpus(spark, sf_dir), MAX_TOKENS)
 
 
+def q_token_sequences(spark, sf_dir):
+    """The tokens that a model of 512 inputs is given of (language, separator, text), as a digest."""
+    c = tables.corpus(spark, sf_dir)
+    prefix = F.concat("language", F.lit(CascadeConfig().separator))
+    t = token_sequences(c, MAX_TOKENS, prefix)
+    return t.select("doc_id", F.size("tokens").cast("long").alias("n_kept"), "n_tokens", "n_cut",
+                    F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
 def q_shuffle_seeded(spark, sf_dir):
     return seeded_order(tables.corpus(spark, sf_dir).select("doc_id"), "doc_id", out="position")
 
@@ -234,6 +241,25 @@ def q_best_candidate(spark, sf_dir):
         "candidate", alpha.alias("alpha"), "accuracy", "f1", (F.col("candidate") == F.col("_best")).alias("is_best"))
 
 
+def _choice(spark, sf_dir, by) -> choice.Choice:
+    return _memo(spark, sf_dir, f"choice_{by}", lambda: choice.choose_baseline(
+        corpus_of(spark, sf_dir), baseline_counts(spark, sf_dir), CANDIDATE_ALPHAS, by))
+
+
+def q_best_candidate_loss(spark, sf_dir):
+    """Smoothing candidates judged by their loss on a held-out fold of the training rows."""
+    return _choice(spark, sf_dir, "eval_loss").candidates
+
+
+def q_predict_best(spark, sf_dir):
+    """Test rows under the model chosen by loss, fitted again on all training rows."""
+    c = _choice(spark, sf_dir, "eval_loss")
+    s = bayes.score(c.model, corpus_of(spark, sf_dir).features.where(F.col("split") == "test"),
+                    id_cols=["doc_id", "label"], out="sent_scores")
+    return s.select("doc_id", "label", c.classes.decode(bayes.predict_ids("sent_scores")).alias("predicted_label"),
+                    F.lit(float(c.alpha)).alias("alpha"))
+
+
 # ---------------------------------------------------------------- metrics
 
 def q_confusion(spark, sf_dir):
@@ -252,6 +278,46 @@ def q_class_report(spark, sf_dir):
     return metrics.class_report(cascade_eval_df(spark, sf_dir), "label", "predicted_label")
 
 
+def q_class_report_full(spark, sf_dir):
+    """Sentiment report of every language over all classes of the dictionary, with or without rows."""
+    ev = cascade_eval_df(spark, sf_dir)
+    classes = corpus_of(spark, sf_dir).dictionary("label").table(spark)
+    return metrics.full_report(ev, classes, "label", "predicted_label", by=["language"])
+
+
+def q_language_report(spark, sf_dir):
+    classes = corpus_of(spark, sf_dir).dictionary("language").table(spark)
+    return metrics.full_report(cascade_eval_df(spark, sf_dir), classes, "language", "predicted_language")
+
+
+def q_baseline_report(spark, sf_dir):
+    classes = corpus_of(spark, sf_dir).dictionary("label").table(spark)
+    return metrics.full_report(baseline_eval_df(spark, sf_dir), classes, "label", "predicted_label")
+
+
+def _langid(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Stand-alone language identification: split stratified on the language, fit, score the test part."""
+    def build():
+        cp = corpus_of(spark, sf_dir)
+        assigned = cut_lineage(assign_split_and_fold(cp.docs.select("doc_id", "language"), "language", fold_out=None), "langsplit")
+        feats = cp.features.select("doc_id", "language", "gram", "n").join(assigned.select("doc_id", "split"), "doc_id")
+        classes = cp.dictionary("language")
+        model = bayes.fit(feats.where(F.col("split") == "train"), assigned.where(F.col("split") == "train"),
+                          "language", classes.classes)
+        s = bayes.score(model, feats.where(F.col("split") == "test"), id_cols=["doc_id", "language"])
+        preds = cut_lineage(s.select("doc_id", "language", classes.decode(bayes.predict_ids()).alias("predicted_language")), "langid")
+        return preds, metrics.metrics_long(preds, "language", "predicted_language")
+    return _memo(spark, sf_dir, "langid", build)
+
+
+def q_langid_run(spark, sf_dir):
+    return _langid(spark, sf_dir)[0]
+
+
+def q_langid_metrics(spark, sf_dir):
+    return _langid(spark, sf_dir)[1]
+
+
 def q_report_totals(spark, sf_dir):
     return metrics.report_totals(cascade_eval_df(spark, sf_dir), "label", "predicted_label")
 
@@ -316,6 +382,16 @@ def q_cv_pooled_report(spark, sf_dir):
     return metrics.class_report(cv_cascade_df(spark, sf_dir), "label", "predicted_label")
 
 
+def q_cv_pooled_report_baseline(spark, sf_dir):
+    classes = corpus_of(spark, sf_dir).dictionary("label").table(spark)
+    return metrics.full_report(cv_baseline_df(spark, sf_dir), classes, "label", "predicted_label")
+
+
+def q_cv_pooled_report_language(spark, sf_dir):
+    classes = corpus_of(spark, sf_dir).dictionary("language").table(spark)
+    return metrics.full_report(cv_cascade_df(spark, sf_dir), classes, "language", "predicted_language")
+
+
 # ---------------------------------------------------------------- curves
 
 def _sent_ovr(spark, sf_dir):
@@ -328,12 +404,32 @@ def q_one_vs_rest(spark, sf_dir):
     return _sent_ovr(spark, sf_dir)
 
 
+def _sent_roc(spark, sf_dir) -> DataFrame:
+    """Running sums of the sentiment scores, shared by the points and the areas."""
+    return _memo(spark, sf_dir, "sent_roc", lambda: curves.roc_table(_sent_ovr(spark, sf_dir)))
+
+
+def _baseline_roc(spark, sf_dir) -> DataFrame:
+    def build():
+        ev, (_, sd) = baseline_eval_df(spark, sf_dir), baseline_model(spark, sf_dir)
+        return curves.roc_table(curves.one_vs_rest(ev, "sent_scores", "label_id", sd.size))
+    return _memo(spark, sf_dir, "baseline_roc", build)
+
+
 def q_roc_points(spark, sf_dir):
-    return curves.roc_points(_sent_ovr(spark, sf_dir))
+    return curves.roc_points(_sent_roc(spark, sf_dir))
 
 
 def q_roc_auc(spark, sf_dir):
-    return curves.roc_auc(_sent_ovr(spark, sf_dir))
+    return curves.roc_auc(_sent_roc(spark, sf_dir))
+
+
+def q_roc_points_baseline(spark, sf_dir):
+    return curves.roc_points(_baseline_roc(spark, sf_dir))
+
+
+def q_roc_auc_baseline(spark, sf_dir):
+    return curves.roc_auc(_baseline_roc(spark, sf_dir))
 
 
 def _embedding_ovr(spark, sf_dir):
@@ -343,12 +439,16 @@ def _embedding_ovr(spark, sf_dir):
                               "scores", "label", k, use_margin=False, id_col="vec_id")
 
 
+def _embedding_roc(spark, sf_dir) -> DataFrame:
+    return _memo(spark, sf_dir, "embedding_roc", lambda: curves.roc_table(_embedding_ovr(spark, sf_dir)))
+
+
 def q_roc_points_embeddings(spark, sf_dir):
-    return curves.roc_points(_embedding_ovr(spark, sf_dir))
+    return curves.roc_points(_embedding_roc(spark, sf_dir))
 
 
 def q_roc_auc_embeddings(spark, sf_dir):
-    return curves.roc_auc(_embedding_ovr(spark, sf_dir))
+    return curves.roc_auc(_embedding_roc(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -436,6 +536,33 @@ def q_results_metrics(spark, sf_dir):
     return spark.read.parquet(_baseline_results(spark, sf_dir)[1])
 
 
+def _cascade_results(spark, sf_dir) -> tuple[str, str]:
+    def build():
+        ev = cascade_eval_df(spark, sf_dir)
+        preds = ev.select("doc_id", "language_id", "predicted_language_id", "label_id", "predicted_label_id",
+                          "language", "predicted_language", "label", "predicted_label")
+        wide = q_cascade_summary(spark, sf_dir)
+        return models.write_results(preds, models.metrics_rows(wide, ("lang_accuracy", "sent_accuracy")),
+                                    models.new_folder(spark, "results"))
+    return _memo(spark, sf_dir, "cascade_results", build)
+
+
+def q_cascade_results(spark, sf_dir):
+    return spark.read.parquet(_cascade_results(spark, sf_dir)[0])
+
+
+def q_cascade_results_metrics(spark, sf_dir):
+    return spark.read.parquet(_cascade_results(spark, sf_dir)[1])
+
+
+def q_baseline_reload(spark, sf_dir):
+    """Save the fitted one-stage model, load it back (guarded), score the test rows."""
+    path = models.save_baseline(baseline_model(spark, sf_dir)[0], models.new_folder(spark, "models"))
+    m, sd = models.load_baseline(spark, path)
+    s = bayes.score(m, corpus_of(spark, sf_dir).features.where(F.col("split") == "test"), out="sent_scores")
+    return s.select("doc_id", sd.decode(bayes.predict_ids("sent_scores")).alias("predicted_label"))
+
+
 def q_model_reload_predict(spark, sf_dir):
     """Save the fitted cascade, load it back (guarded), predict the unlabelled documents."""
     path = models.save_cascade(cascade_model(spark, sf_dir), models.new_folder(spark, "models"))
@@ -459,29 +586,48 @@ def q_predict_stream(spark, sf_dir):
     q = start_prediction_stream(spark, cascade_model(spark, sf_dir), f"{base}/in", f"{base}/out",
                                 f"{base}/checkpoint", schema=docs.schema)
     q.awaitTermination()
-    return read_predictions(spark, f"{base}/out").select("doc_id", "predicted_language", "predicted_sentiment")
+    return read_predictions(spark, f"{base}/out", docs.schema).select("doc_id", "predicted_language", "predicted_sentiment")
 
 
 # ---------------------------------------------------------------- iterative trainer, user model
 
-def q_lr_train_predict(spark, sf_dir):
+def _lr_vectors(spark, sf_dir) -> DataFrame:
     cp = corpus_of(spark, sf_dir)
-    text = tables.corpus(spark, sf_dir).select("doc_id", "text")
-    docs = cp.docs.join(text, "doc_id")
-    _, scored = trainer.lr_fit_predict(docs.where(F.col("split") == "train"), docs.where(F.col("split") == "test"))
-    return scored.select("doc_id", "label", "predicted_label")
+    return _memo(spark, sf_dir, "lr_vectors", lambda: trainer.vectors(cp.features, ("doc_id", "label", "split")))
+
+
+def _lr_model(spark, sf_dir) -> trainer.TrainedModel:
+    return _memo(spark, sf_dir, "lr_model", lambda: trainer.fit(
+        _lr_vectors(spark, sf_dir).where(F.col("split") == "train"), corpus_of(spark, sf_dir).dictionary("label")))
+
+
+def q_lr_train_predict(spark, sf_dir):
+    test = _lr_vectors(spark, sf_dir).where(F.col("split") == "test")
+    return _lr_model(spark, sf_dir).predict(test).select("doc_id", "label", "predicted_label")
+
+
+def q_lr_slots(spark, sf_dir):
+    """Every document's sparse vector: filled slots, summed counts, and a digest of slot:count in slot order."""
+    e = trainer.slot_counts(corpus_of(spark, sf_dir).features)
+    pairs = F.transform("entries", lambda x: F.concat(x["slot"].cast("string"), F.lit(":"), x["n"].cast("string")))
+    return e.select("doc_id", F.size("entries").cast("long").alias("n_slots"),
+                    F.aggregate("entries", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_grams"),
+                    F.md5(F.array_join(pairs, ",")).alias("slots_md5"))
+
+
+def q_lr_losses(spark, sf_dir):
+    """Loss before the first pass (class shares with a row added to each), and whether every pass lowered it."""
+    h = trainer.losses_frame(spark, _lr_model(spark, sf_dir))
+    each = h.select("pass", "loss", F.lag("loss").over(Window.orderBy("pass")).alias("before"))    # a row per pass
+    return each.agg(F.round(F.max(F.when(F.col("pass") == 0, F.col("loss"))), 6).alias("first_loss"),
+                    F.bool_and(F.coalesce(F.col("loss") < F.col("before"), F.lit(True))).alias("falling"))
 
 
 def q_user_model_scores(spark, sf_dir):
     """A user model (nearest centroid, fitted by Spark) run on Arrow batches."""
     e = tables.read_table(spark, sf_dir, "embeddings").withColumn("x", F.col("embedding").cast("array<double>"))
-    dim = int(e.select(F.max(F.size("x"))).first()[0])
-    # centroids: one row per class, ``dim`` numbers each - a small, bounded table
-    cent = e.groupBy("label").agg(*[F.avg(F.col("x")[i]).alias(f"c{i}") for i in range(dim)]).orderBy("label")
-    rows = cent.collect()
-    labels = [r["label"] for r in rows]
-    matrix = np.array([[r[f"c{i}"] for i in range(dim)] for r in rows])
-    s = trainer.batch_scores(e, "x", trainer.nearest_centroid_fn(matrix), dim)
+    labels, matrix = trainer.class_centroids(e, "x", "label")
+    s = trainer.batch_scores(e, "x", trainer.nearest_centroid_fn(matrix), matrix.shape[1])
     idx = F.array_position(F.col("scores"), F.array_max("scores")) - 1
     return s.select("vec_id", "label", F.element_at(F.array(*[F.lit(v) for v in labels]), idx.cast("int") + 1)
                     .alias("predicted_label"))
@@ -494,10 +640,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tsv_rejects": q_tsv_rejects,
     "results_tables": q_results_tables,
     "results_metrics": q_results_metrics,
+    "cascade_results": q_cascade_results,
+    "cascade_results_metrics": q_cascade_results_metrics,
+    "baseline_reload": q_baseline_reload,
     "model_reload_predict": q_model_reload_predict,
     "predict_conversations": q_predict_conversations,
     "predict_stream": q_predict_stream,
     "lr_train_predict": q_lr_train_predict,
+    "lr_slots": q_lr_slots,
+    "lr_losses": q_lr_losses,
     "user_model_scores": q_user_model_scores,
     "corpus_clean": q_corpus_clean,
     "label_dictionary": q_label_dictionary,
@@ -507,6 +658,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prefix_gold": q_prefix_gold,
     "prefix_predicted": q_prefix_predicted,
     "tokens_truncated": q_tokens_truncated,
+    "token_sequences": q_token_sequences,
     "shuffle_seeded": q_shuffle_seeded,
     "split_stratified": q_split_stratified,
     "split_sizes": q_split_sizes,
@@ -523,10 +675,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cascade_gold_vs_pred": q_cascade_gold_vs_pred,
     "predict": q_predict,
     "best_candidate": q_best_candidate,
+    "best_candidate_loss": q_best_candidate_loss,
+    "predict_best": q_predict_best,
     "confusion": q_confusion,
     "accuracy": q_accuracy,
     "weighted_prf": q_weighted_prf,
     "class_report": q_class_report,
+    "class_report_full": q_class_report_full,
+    "language_report": q_language_report,
+    "baseline_report": q_baseline_report,
+    "langid_run": q_langid_run,
+    "langid_metrics": q_langid_metrics,
     "report_totals": q_report_totals,
     "metrics_by_key": q_metrics_by_key,
     "eval_loss": q_eval_loss,
@@ -537,9 +696,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cv_fold_metrics": q_cv_fold_metrics,
     "cv_mean_metrics": q_cv_mean_metrics,
     "cv_pooled_report": q_cv_pooled_report,
+    "cv_pooled_report_baseline": q_cv_pooled_report_baseline,
+    "cv_pooled_report_language": q_cv_pooled_report_language,
     "one_vs_rest": q_one_vs_rest,
     "roc_points": q_roc_points,
     "roc_auc": q_roc_auc,
+    "roc_points_baseline": q_roc_points_baseline,
+    "roc_auc_baseline": q_roc_auc_baseline,
     "roc_points_embeddings": q_roc_points_embeddings,
     "roc_auc_embeddings": q_roc_auc_embeddings,
 }

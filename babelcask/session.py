@@ -29,7 +29,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "16g",
+        "spark.driver.memory": "8g",
     }
     conf.update(extra or {})
     for k, v in conf.items():

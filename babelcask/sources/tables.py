@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from babelcask.functions.text import null_if_na
+from babelcask.session import input_bytes
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,17 +24,29 @@ def sentiment_of(toxic, quality):
              .otherwise(F.lit("neutral")))
 
 
-def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_corpus(spark: SparkSession, sf_dir: str, n_parts: int | None = None, broadcast_bytes: int | None = None) -> DataFrame:
     """Labelled rows before null handling: (doc_id, text, label, language).
 
-    Both sides are large at scale; the equi-join on ``doc_id`` is a
-    sort-merge join whose output stays hash-partitioned by ``doc_id``, which
-    every per-document aggregation downstream reuses without a new shuffle.
+    With ``n_parts`` the rows come hash-partitioned by ``doc_id`` into that
+    many parts, the text moved once: labels of at most ``broadcast_bytes`` (by
+    the optimiser's statistics; default Spark's own limit) go to every task, so
+    only labelled texts move; larger ones are partitioned like the documents
+    before the join, which then adds no exchange, nor does any later step by
+    document.  Without, the plan is Spark's own (no text moves for columns
+    that do not need it).
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("language"))
     labels = read_table(spark, sf_dir, "labels").select(
         "doc_id", sentiment_of(F.col("toxic"), F.col("quality")).alias("label"))
-    return docs.join(labels, "doc_id").select("doc_id", "text", "label", "language")
+    if broadcast_bytes is None:
+        broadcast_bytes = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    if n_parts is None:
+        joined = docs.join(labels, "doc_id")
+    elif input_bytes(labels) <= broadcast_bytes:
+        joined = docs.join(F.broadcast(labels), "doc_id").repartition(n_parts, "doc_id")
+    else:
+        joined = docs.repartition(n_parts, "doc_id").join(labels.repartition(n_parts, "doc_id").hint("merge"), "doc_id")
+    return joined.select("doc_id", "text", "label", "language")
 
 
 def clean_corpus(df: DataFrame, columns=("text", "label", "language")) -> DataFrame:
@@ -45,8 +58,8 @@ def clean_corpus(df: DataFrame, columns=("text", "label", "language")) -> DataFr
     return out.dropna(how="any", subset=cols)
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_corpus(raw_corpus(spark, sf_dir))
+def corpus(spark: SparkSession, sf_dir: str, n_parts: int | None = None, broadcast_bytes: int | None = None) -> DataFrame:
+    return clean_corpus(raw_corpus(spark, sf_dir, n_parts, broadcast_bytes))
 
 
 def unlabelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

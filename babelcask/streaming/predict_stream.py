@@ -38,6 +38,15 @@ def start_prediction_stream(spark: SparkSession, model: CascadeModel, source_dir
     return writer.start()
 
 
-def read_predictions(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """Every batch of the sink: (doc_id, predicted_language, predicted_sentiment, batch_id)."""
-    return spark.read.parquet(sink_dir)
+def read_predictions(spark: SparkSession, sink_dir: str, schema: T.StructType = DOC_SCHEMA) -> DataFrame:
+    """Every batch of the sink: the stream's id, predicted_language, predicted_sentiment, batch_id.
+
+    ``schema``: the stream's schema; a sink that no batch has written yet has no rows.
+    """
+    names = [*schema.fieldNames()[:1], "text"]
+    columns = T.StructType([schema[names[0]], *(T.StructField(c, T.StringType()) for c in (
+        "text", "predicted_language", "predicted_sentiment")), T.StructField("batch_id", T.LongType())])
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink_dir)
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return spark.createDataFrame([], columns)
+    return spark.read.schema(columns).parquet(sink_dir)

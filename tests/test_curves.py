@@ -35,7 +35,7 @@ def test_auc_matches_pair_count_with_ties(spark):
     scores = rng.integers(0, 6, 60).astype(float).tolist()
     labels = (rng.random(60) < 0.4).astype(int).tolist()
     df = _ovr(spark, [(i, 0, s, y) for i, (s, y) in enumerate(zip(scores, labels))])
-    assert curves.roc_auc(df).first()["auc"] == _auc_pairs(scores, labels)
+    assert curves.roc_auc(curves.roc_table(df)).first()["auc"] == _auc_pairs(scores, labels)
 
 
 def test_roc_points_match_brute_force(spark):
@@ -43,13 +43,13 @@ def test_roc_points_match_brute_force(spark):
     scores = rng.integers(0, 15, 80).astype(float).tolist()
     labels = (rng.random(80) < 0.5).astype(int).tolist()
     df = _ovr(spark, [(i, 0, s, y) for i, (s, y) in enumerate(zip(scores, labels))])
-    got = {(r["threshold"], r["tp"], r["fp"]) for r in curves.roc_points(df).collect()}
+    got = {(r["threshold"], r["tp"], r["fp"]) for r in curves.roc_points(curves.roc_table(df, rows_per_part=7)).collect()}
     assert got == _roc_brute(scores, labels)
 
 
 def test_auc_null_without_negatives(spark):
     df = _ovr(spark, [(1, 0, 0.5, 1), (2, 0, 0.2, 1), (1, 1, 0.1, 0), (2, 1, 0.3, 1)])
-    r = {x["class"]: x["auc"] for x in curves.roc_auc(df).collect()}
+    r = {x["class"]: x["auc"] for x in curves.roc_auc(curves.roc_table(df)).collect()}
     assert r[0] is None and r[1] == 1.0
 
 
@@ -58,7 +58,7 @@ def test_two_classes_one_vs_rest(spark):
                                "doc_id long, s array<bigint>, y int")
     ovr = curves.one_vs_rest(df, "s", "y", 2)
     assert ovr.count() == 6
-    r = {x["class"]: x["auc"] for x in curves.roc_auc(ovr).collect()}
+    r = {x["class"]: x["auc"] for x in curves.roc_auc(curves.roc_table(ovr)).collect()}
     assert r[0] == 1.0 and r[1] == 1.0
 
 
@@ -80,3 +80,14 @@ def test_range_running_sums_equal_window_on_clustered_scores(spark):
     # every range partition holds a share of the rows: no bucket takes the whole class
     sizes = df.repartitionByRange(16, "class", F.col("score").desc()).groupBy(F.spark_partition_id()).count()
     assert sizes.agg(F.max("count")).first()[0] < df.count() / 4
+
+
+def test_one_running_sum_for_points_and_areas(spark):
+    rng = np.random.default_rng(2)
+    df = _ovr(spark, [(i, i % 3, float(rng.integers(0, 40)), int(rng.random() < 0.3)) for i in range(500)])
+    table = curves.roc_table(df)
+    for out in (curves.roc_points(table), curves.roc_auc(table)):
+        assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    one, many = table, curves.roc_table(df, rows_per_part=20)
+    for f in (curves.roc_points, curves.roc_auc):
+        assert sorted(map(str, f(one).collect())) == sorted(map(str, f(many).collect()))

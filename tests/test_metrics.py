@@ -49,3 +49,15 @@ def test_eval_loss_uniform(spark):
     # equal scores over 4 classes: loss is ln 4
     df = spark.createDataFrame([([0, 0, 0, 0], 2)], "scores array<bigint>, y_id int")
     assert metrics.eval_loss(df).first()[0] == round(1.3862943611198906, 6)
+
+
+def test_full_report_holds_every_class_of_the_dictionary(spark):
+    df = spark.createDataFrame([("en", "a", "a"), ("en", "a", "b"), ("fr", "b", "b")], "l string, y string, yhat string")
+    classes = spark.createDataFrame([("a",), ("b",), ("c",)], "value string")
+    got = {r["class"]: r for r in metrics.full_report(df, classes).collect()}
+    assert set(got) == {"a", "b", "c"}
+    assert (got["c"]["f1"], got["c"]["support"], got["c"]["in_data"]) == (0.0, 0, False)
+    assert (got["a"]["recall"], got["a"]["support"], got["a"]["in_data"]) == (0.5, 2, True)
+    by = {(r["l"], r["class"]): (r["support"], r["in_data"]) for r in metrics.full_report(df, classes, by=["l"]).collect()}
+    assert by == {("en", "a"): (2, True), ("en", "b"): (0, True), ("en", "c"): (0, False),
+                  ("fr", "a"): (0, False), ("fr", "b"): (1, True), ("fr", "c"): (0, False)}
