@@ -13,10 +13,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from babelcask.operators import bayes, curves  # noqa: E402
+from babelcask.operators import bayes, curves, trainer  # noqa: E402
 from babelcask.operators.features import gram_counts  # noqa: E402
 from babelcask.plans import cascade, catalog  # noqa: E402
-from babelcask.session import build_session  # noqa: E402
+from babelcask.session import build_session, work_partitions  # noqa: E402
 from babelcask.sources.tables import corpus  # noqa: E402
 
 
@@ -35,22 +35,30 @@ def main():
     test = cp.features.where(F.col("split") == "test")
     train = cp.features.where(F.col("split") == "train")
     sd = cp.dictionary("label")
+    n = work_partitions(corpus(spark, sf_dir))
+    roc = curves.roc_table(curves.one_vs_rest(catalog.cascade_eval_df(spark, sf_dir), "sent_scores", "label_id",
+                                              model.sent_dict.size))
     steps = [
-        ("Featurise: text hash-partitioned by doc_id once, counted without another shuffle",
-         gram_counts(corpus(spark, sf_dir), carry=("label", "language"))),
-        ("Fit: one aggregation with per-class conditional sums (partial aggregation before the shuffle)",
-         train.where(F.col("gram").isNotNull()).groupBy("gram").agg(
-             *[F.sum(F.when(F.col("label") == c, F.col("n"))).alias(f"c{i}") for i, c in enumerate(sd.classes)])),
+        ("Featurise, labels broadcast: the labelled text is hash-partitioned by doc_id once, counted without another shuffle",
+         gram_counts(corpus(spark, sf_dir, n), carry=("label", "language"), partition=False)),
+        ("Featurise, broadcast off: both sides partitioned alike, one exchange of the text, none for the counts",
+         gram_counts(corpus(spark, sf_dir, n, 0), carry=("label", "language"), partition=False)),
+        ("Split: the per-document table, from the corpus without its text and without grams",
+         corpus(spark, sf_dir).select("doc_id", "label", "language")),
+        ("Fit: one aggregation of class sums into an array (partial aggregation before the shuffle)",
+         bayes.slot_sums(train.where(F.col("gram").isNotNull()), ["gram"], sd.encode("label"), F.col("n"), sd.size)),
         ("Cascade scoring, fused: bucketed count table, broadcast fitted table, no exchange",
          cascade.score_cascade(model, test, carry=("label", "language"))),
+        ("Cascade scoring, fused, above the broadcast limit: one shuffle of the counts on the salted gram",
+         cascade.score_cascade(model, test, carry=("label", "language"), broadcast_limit=0)),
         ("Count table joined to the per-document table: both bucketed by doc_id",
          cp.features.groupBy("split").agg(F.sum("n"))),
-        ("Scoring above the broadcast limit: shuffle join on (gram, salt), only hot grams salted",
-         bayes.score(catalog.baseline_model(spark, sf_dir)[0], test, id_cols=["doc_id", "label"],
-                     broadcast_limit=0)),
-        ("ROC points: running sums over range partitions of (class, score), neighbour by equi-join",
-         curves.roc_points(curves.one_vs_rest(catalog.cascade_eval_df(spark, sf_dir), "sent_scores", "label_id",
-                                              model.sent_dict.size))),
+        ("Five folds: one row per gram with all folds' scores, the row's fold picks its slice",
+         bayes.score(bayes.fold_model(bayes.fold_counts_marginal(catalog.sentiment_fold_counts(spark, sf_dir), "language"),
+                                      cp.docs, "label"), cp.features, id_cols=["doc_id", "fold", "label"])),
+        ("Sparse vectors: (document, slot) counts and vectors inside the documents' buckets", trainer.slot_counts(cp.features)),
+        ("ROC points from the written running sums: the neighbour by an equi-join, no window", curves.roc_points(roc)),
+        ("Areas from the same table", curves.roc_auc(roc)),
     ]
     out = ["# Physical plans (sf0.01, local[8])", "",
            "Generated by `tools/explain_plans.py`; expression ids removed.", ""]
