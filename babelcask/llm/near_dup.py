@@ -20,16 +20,29 @@ member goes out of a key if its other shingles are too few for a link with
 any member (an exact bound).  Further rounds compare
 the members that are in other components than a random member of their key
 with that member, as long as rounds find links and the pairs left over (same
-key, different components) outnumber the members ``LEFT_OVER`` times.  What is
-left over then is compared in full, so no link that could join two
-components is skipped: only groups of texts that share band keys and are not
-linked with one another cost more than a few comparisons a member.
-
-Defined cases: a null text has no words; rows with equal ``doc_id`` and equal
-sets are one class like any other copies, and rows with equal ``doc_id`` are
-one document (the same ``component_id``); a row with a null ``doc_id`` is
-linked with nothing and kept; no rows give no rows; other columns are not
-looked at.
+key, different components) outnumber the members ``LEFT_OVER`` times.
+
+What is left over then is found by the members' differences from their key's
+hub ``H``, ``dX = (X - H) | (H - X)``.  A link is ``9 * |A ^ B| <= |A| + |B|`` (``^``:
+in one of both), and ``|A ^ B| = |dA| + |dB| - 2 |dA & dB|``, so linked members
+share at least ``t = (|dA| + |dB| - (|A| + |B|) / 9) / 2`` elements of their
+differences; t is above 0 whenever one of them is not linked with H (two that
+are linked with H are in one component already).  With the elements in one
+order, rarest first, two such members must meet in the first ``|d| - t + 1``
+elements of each.  Members of a hub are put in buckets by size of difference
+and set, so t is known per pair of buckets, and an equi-join on (hub, both
+buckets, element) finds every pair; elements that one member alone has are
+only counted.  Members that differ from the hub each in its own way meet
+nowhere, so a large group of unlinked near copies costs its elements, not its
+pairs, and no link that could join two components is skipped.
+
+Equal sets are one numbered node, whatever ids carry them, so an id with
+several texts is several nodes, tied to one document at the end.
+
+Defined cases: a null text has no words; rows with equal ``doc_id`` are one
+document (the same ``component_id``), joined to all that is linked with any of
+its texts; a row with a null ``doc_id`` is linked with nothing and kept; no
+rows give no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -46,6 +59,7 @@ from babelcask.llm import tokens as T
 from babelcask.llm.bitfilter import make_filter, passing
 from babelcask.llm.components import components
 from babelcask.llm.work import Staging, is_empty
+from babelcask.operators.ranking import numbered
 
 WIDTH = 4
 BANDS, ROWS, BITS = 64, 8, 2
@@ -53,6 +67,8 @@ MINIMA = BANDS * ROWS
 ESTIMATE_FLOOR = 0.69
 LEFT_OVER = 1.0
 SIMILAR, OF = 80, 100
+#: Sets are held this many shingles (and rows) at a time.
+PART_SHINGLES, PART_ROWS = 1_000_000, 2000
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _FLIP = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64)
@@ -105,45 +121,76 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), packed.view(np.int64)
 
 
+def _parts(sets: Iterator[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sets) over runs of at most ``PART_SHINGLES`` shingles (a longer set alone) and ``PART_ROWS`` rows."""
+    first, held, total = 0, [], 0
+    for s in sets:
+        if held and (total + len(s) > PART_SHINGLES or len(held) == PART_ROWS):
+            yield first, held
+            first, held, total = first + len(held), [], 0
+        held.append(s)
+        total += len(s)
+    if held:
+        yield first, held
+
+
+def _digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            part = batch.slice(lo, 2000)
-            sets = list(shingle_sets(part.column("text")))
+        for first, sets in _parts(shingle_sets(batch.column("text"))):
             full = [s for s in sets if len(s)]
             keys, packed = _signatures(full) if full else (np.zeros((0, BANDS), np.int64), np.zeros((0, MINIMA * BITS // 64), np.int64))
             sizes = np.array([len(s) for s in sets], np.int64)
             at = np.concatenate([[0], np.cumsum(sizes > 0)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                part.column("doc_id"), pa.array(sizes),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                batch.column("doc_id").slice(first, len(sets)), pa.array(sizes),
+                pa.array([_digest(s) for s in sets], pa.binary()),
                 pa.ListArray.from_arrays(at * BANDS, pa.array(keys.ravel())),
                 pa.ListArray.from_arrays(at * packed.shape[1], pa.array(packed.ravel()))],
                 names=["doc_id", "n_shingles", "digest", "bands", "packed"])
 
 
 def _sets(wanted):
-    """Sets of the documents whose id passes the filter."""
+    """Sets of the documents whose id passes the filter, with their digests."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for batch in batches:
             batch = batch.filter(batch.column("doc_id").is_valid())
             keys = T.mix(batch.column("doc_id").to_numpy().astype(np.int64).view(np.uint64))
             batch = batch.take(pa.array(passing(bits, keys)))
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for first, sets in _parts(shingle_sets(batch.column("text"))):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())],
-                    names=["id", "shingles"])
+                    [batch.column("doc_id").slice(first, len(sets)), pa.array([_digest(s) for s in sets], pa.binary()),
+                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "shingles"])
     return run
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _elements(column: str, *keys: str):
+    """One row per element of a packed set, with the columns ``keys``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, sets in _parts(np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(column)):
+                sizes = [len(x) for x in sets]
+                owners = [np.repeat(batch.column(k).slice(first, len(sets)).to_numpy(), sizes) for k in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *map(pa.array, owners)], names=["shingle", *keys])
+    return run
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of a member's and its hub's sets, and the shingles that only one of both has."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles").slice(lo, 500)]
-            ids = np.repeat(batch.column("id").slice(lo, 500).to_numpy(), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(ids)], names=["shingle", "rep"])
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
+            mine, hubs = ([np.frombuffer(x.as_buffer(), np.int64) for x in part.column(c)] for c in ("set_a", "set_b"))
+            apart = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(mine, hubs, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("b"), part.column("a"), part.column("comp"),
+                 pa.array([len(x) for x in mine], pa.int64()), pa.array([len(x) for x in hubs], pa.int64()),
+                 pa.array([len(x) for x in apart], pa.int64()), pa.array([x.tobytes() for x in apart], pa.binary())],
+                names=["hub", "rep", "comp", "n", "hub_n", "nd", "apart"])
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,11 +238,54 @@ def _likely(pairs: DataFrame, packed: DataFrame) -> DataFrame:
             .filter(estimate(F.col("pa"), F.col("pb")) >= ESTIMATE_FLOOR).select("a", "b"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    side = lambda c: sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"set_{c}"))
     # the many different members first: their sets meet the short pair rows, then each pair meets its hub's set
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(_confirm, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a")
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return _with_sets(pairs, sets).select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long")
+
+
+def _meeting(open_members: DataFrame, sets: DataFrame, stage: Staging) -> tuple[DataFrame, DataFrame]:
+    """``open_members(hub, rep, comp)`` -> (links with the hubs, pairs of members that may be linked): see above."""
+    both = _with_sets(open_members.select(F.col("rep").alias("a"), F.col("hub").alias("b"), "comp"), sets)
+    diff = stage.write(both.select("a", "b", "comp", "set_a", "set_b").mapInArrow(
+        _differences, "hub long, rep long, comp long, n long, hub_n long, nd long, apart binary").distinct(), "differences")
+    linked = F.expr(f"{OF + SIMILAR} * nd <= {2 * (OF - SIMILAR)} * (n + hub_n) / 2")
+    direct = diff.filter(linked & (F.col("rep") != F.col("hub"))).select(
+        F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+    elements = diff.select("apart", "hub", "rep").mapInArrow(_elements("apart", "hub", "rep"), "shingle long, hub long, rep long")
+    shared = elements.groupBy("hub", "shingle").agg(F.count("*").alias("owners")).filter("owners > 1")
+    lists = (elements.join(shared, ["hub", "shingle"]).groupBy("hub", "rep")
+             .agg(F.array_sort(F.collect_list(F.struct("owners", "shingle"))).alias("shared")))     # a member's own elements
+    step = lambda c, k: F.floor(k * F.log2(F.col(c) + 1)).cast("int")
+    members = stage.write(
+        diff.drop("apart").join(lists, ["hub", "rep"])
+        .withColumn("bucket", F.struct(linked.alias("linked"), step("nd", 8).alias("d"), step("n", 4).alias("s")))
+        .withColumn("alone", F.col("nd") - F.size("shared")), "members")
+    buckets = members.groupBy("hub", "bucket").agg(
+        F.min("nd").alias("d_low"), F.min("n").alias("n_low"), F.max("n").alias("n_high"))
+    mine = buckets.select("hub", "bucket", F.col("d_low").alias("my_d"), F.col("n_high").alias("my_n"))
+    theirs = buckets.select("hub", F.col("bucket").alias("other"), "d_low", "n_low", "n_high")
+    # shared elements that a link between the two buckets needs, by the least differences and the largest sets
+    need = F.greatest(F.lit(1), F.expr(
+        f"CAST(ceil(((my_d + d_low) - {2 * (OF - SIMILAR)} * (my_n + n_high) / {2 * (OF + SIMILAR)}D) / 2) AS BIGINT)"))
+    faced = (members.join(mine, ["hub", "bucket"]).join(theirs, "hub")
+             .filter(~(F.col("bucket.linked") & F.col("other.linked")))
+             .filter(f"{OF} * n_high >= {SIMILAR} * n AND {OF} * n >= {SIMILAR} * n_low")
+             .withColumn("first", F.col("nd") - need + 1 - F.col("alone")).filter("first > 0")
+             .select("hub", "rep", "comp", "bucket", F.least("bucket", "other").alias("x"), F.greatest("bucket", "other").alias("y"),
+                     F.explode(F.slice("shared", 1, F.col("first").cast("int"))).alias("e"))
+             .select("hub", "rep", "comp", "bucket", "x", "y", F.col("e.shingle").alias("shingle")))
+    faced = stage.write(faced, "faced")
+    other = faced.select("hub", "x", "y", "shingle", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("bucket").alias("bucket2"))
+    pairs = (faced.join(other, ["hub", "x", "y", "shingle"])
+             .filter((F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2"))
+                     & ((F.col("x") == F.col("y")) | (F.col("bucket") != F.col("bucket2"))))
+             .select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
+    return direct, pairs
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -203,28 +293,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stage = Staging(docs.sparkSession, "near_dup")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage.write(texts.mapInArrow(_sign, SIGNATURE), "signed")
-    # equal sets are one class, named by its least doc_id
-    classes = stage.write(
-        signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
-        .agg(F.min("doc_id").alias("rep")), "classes")
+    # equal sets are one node; ``doc``: the least doc_id that carries it
+    classes = stage.write(numbered(
+        signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc")),
+        ["digest"], "rep"), "classes")
     member = (signed.filter("doc_id IS NOT NULL").select("doc_id", "n_shingles", "digest")
-              .join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
-    reps = stage.write(signed.join(classes, "digest").filter("doc_id = rep")
-                       .select("rep", "digest", "bands", "packed").dropDuplicates(["digest"]), "reps")
+              .join(classes, "digest", "left").select("doc_id", "n_shingles", "rep", "doc"))
+    reps = stage.write(signed.join(classes, "digest").filter("doc_id = doc")
+                       .select("rep", "digest", "doc", "bands", "packed").dropDuplicates(["digest"]), "reps")
     keys = reps.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     together = stage.write(keys.join(shared, "key"), "together")
     packed = reps.select("rep", "packed")
     # the sets of documents in some group; the filter keeps the other texts from being moved
-    wanted = together.select(F.col("rep").alias("id")).distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(make_filter(wanted.mapInArrow(_mixed, "key long")))
-    sets = stage.write(texts.mapInArrow(_sets(bits), "id long, shingles binary").join(wanted, "id", "left_semi"), "sets")
+    wanted = reps.join(together.select("rep").distinct(), "rep", "left_semi").select("rep", "digest", "doc")
+    bits = docs.sparkSession.sparkContext.broadcast(make_filter(wanted.select("doc").mapInArrow(_mixed, "key long")))
+    sets = stage.write(
+        texts.mapInArrow(_sets(bits), "doc_id long, digest binary, shingles binary")
+        .join(wanted, "digest").filter("doc_id = doc").select("rep", "shingles"), "sets")
     # shingles of one document only can be in no intersection: |A & B| <= least number of the others
-    lone = (sets.mapInArrow(_shingle_rows, "shingle long, rep long").groupBy("shingle")
+    lone = (sets.mapInArrow(_elements("shingles", "rep"), "shingle long, rep long").groupBy("shingle")
             .agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).filter("rep = last")
             .groupBy("rep").agg(F.count("*").alias("lone")))
     info = stage.write(
-        sets.groupBy(F.col("id").alias("rep")).agg(F.max(F.octet_length("shingles") / 8).cast("long").alias("n"))
+        sets.groupBy("rep").agg(F.max(F.octet_length("shingles") / 8).cast("long").alias("n"))
         .join(lone, "rep", "left").select("rep", "n", F.coalesce("lone", F.lit(0)).alias("lone")), "info")
     sized = stage.write(together.join(info, "rep"), "sized")
     least = sized.groupBy("key").agg(F.min("n").alias("least"))
@@ -260,21 +352,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         more = stage.write(_links(_likely(pairs, packed), sets), f"more{turn}")
         found = not is_empty(more)
         links = links.union(more)
-    pairs_of = groups.select("key", "comp")
-    crossed = (pairs_of.withColumnRenamed("comp", "ca").join(pairs_of.withColumnRenamed("comp", "cb"), "key")
-               .filter("ca < cb"))
-    second = (crossed.join(rest.select("key", F.col("comp").alias("ca"), F.col("rep").alias("a")), ["key", "ca"])
-              .join(rest.select("key", F.col("comp").alias("cb"), F.col("rep").alias("b")), ["key", "cb"])
-              .select("a", "b").distinct())
-    links = links.union(stage.write(_links(_likely(second, packed), sets), "links2"))
-    # a doc_id with several texts is one document: it ties the classes of its texts
-    several = member.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y")
-    tied = (member.join(several.select("doc_id"), "doc_id", "left_semi")
-            .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    comp = components(links.union(tied), stage, "all")
-    named = (member.join(comp.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left")
-             .select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id")))
-    out = named.union(signed.filter("doc_id IS NULL").select(
+    at_hubs = rest.join(grouped.select("key", "hub").distinct(), "key").select("hub", "rep", "comp").distinct()
+    direct, second = _meeting(stage.write(at_hubs, "at_hubs"), sets, stage)
+    links = links.union(direct).union(stage.write(_links(_likely(second, packed), sets), "links2"))
+    # a doc_id with several texts is one document: it ties the nodes of its texts
+    nodes = member.filter("rep IS NOT NULL")
+    several = nodes.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y")
+    tied = nodes.join(several, "doc_id").select(F.col("x").alias("a"), F.col("rep").alias("b"))
+    comp = stage.write(components(links.union(tied), stage, "all")
+                       .select(F.col("a").alias("rep"), F.col("b").alias("root")), "roots")
+    # a component is named by the least document of its nodes
+    rooted = (classes.select("rep", "doc").join(comp, "rep", "left")
+              .select("rep", "doc", F.coalesce("root", "rep").alias("root")))
+    least = rooted.join(comp.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("doc").alias("least"))
+    named_nodes = (rooted.join(least, "root", "left")
+                   .select(F.col("rep").alias("node"), F.coalesce("least", "doc").alias("component_id")))
+    named = (nodes.select("doc_id", "n_shingles", F.col("rep").alias("node")).join(named_nodes, "node")
+             .select("doc_id", "n_shingles", "component_id"))
+    # a text without words is linked with nothing, but follows other texts of its id
+    wordless = member.filter("rep IS NULL").select("doc_id", "n_shingles")
+    follow = (named.join(wordless.select("doc_id").distinct(), "doc_id", "left_semi")
+              .groupBy("doc_id").agg(F.min("component_id").alias("other")))
+    wordless = wordless.join(follow, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("other", "doc_id").alias("component_id"))
+    out = named.union(wordless).union(signed.filter("doc_id IS NULL").select(
         "doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id",
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
