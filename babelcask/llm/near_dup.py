@@ -31,8 +31,8 @@ are linked with H are in one component already).  With the elements in one
 order, rarest first, two such members must meet in the first ``|d| - t + 1``
 elements of each.  Members of a hub are put in buckets by size of difference
 and set, so t is known per pair of buckets, and an equi-join on (hub, both
-buckets, element) finds every pair; elements that one member alone has are
-only counted.  Members that differ from the hub each in its own way meet
+buckets, element) finds every pair; elements that one component alone has are
+only counted, and buckets without t others are not faced at all.  Members that differ from the hub each in its own way meet
 nowhere, so a large group of unlinked near copies costs its elements, not its
 pairs, and no link that could join two components is skipped.
 
@@ -52,7 +52,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from babelcask.llm import tokens as T
@@ -256,35 +256,38 @@ def _meeting(open_members: DataFrame, sets: DataFrame, stage: Staging) -> tuple[
     linked = F.expr(f"{OF + SIMILAR} * nd <= {2 * (OF - SIMILAR)} * (n + hub_n) / 2")
     direct = diff.filter(linked & (F.col("rep") != F.col("hub"))).select(
         F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-    elements = diff.select("apart", "hub", "rep").mapInArrow(_elements("apart", "hub", "rep"), "shingle long, hub long, rep long")
-    shared = elements.groupBy("hub", "shingle").agg(F.count("*").alias("owners")).filter("owners > 1")
-    lists = (elements.join(shared, ["hub", "shingle"]).groupBy("hub", "rep")
-             .agg(F.array_sort(F.collect_list(F.struct("owners", "shingle"))).alias("shared")))     # a member's own elements
+    elements = diff.select("apart", "hub", "rep", "comp").mapInArrow(
+        _elements("apart", "hub", "rep", "comp"), "shingle long, hub long, rep long, comp long")
+    # in the order, the elements of one component only come first: no pair that matters shares them
+    shared = (elements.groupBy("hub", "shingle").agg(
+        F.count("*").alias("owners"), F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c <> d").drop("c", "d"))
     step = lambda c, k: F.floor(k * F.log2(F.col(c) + 1)).cast("int")
-    members = stage.write(
-        diff.drop("apart").join(lists, ["hub", "rep"])
-        .withColumn("bucket", F.struct(linked.alias("linked"), step("nd", 8).alias("d"), step("n", 4).alias("s")))
-        .withColumn("alone", F.col("nd") - F.size("shared")), "members")
-    buckets = members.groupBy("hub", "bucket").agg(
-        F.min("nd").alias("d_low"), F.min("n").alias("n_low"), F.max("n").alias("n_high"))
-    mine = buckets.select("hub", "bucket", F.col("d_low").alias("my_d"), F.col("n_high").alias("my_n"))
-    theirs = buckets.select("hub", F.col("bucket").alias("other"), "d_low", "n_low", "n_high")
+    members = diff.drop("apart").select("hub", "rep", "n", "nd", F.struct(
+        linked.alias("linked"), step("nd", 8).alias("d"), step("n", 4).alias("s")).alias("bucket"))
+    # a member's own elements in the order: ``place`` from 1, ``own`` of them
+    mine = Window.partitionBy("hub", "rep")
+    placed = stage.write(
+        elements.join(shared, ["hub", "shingle"])
+        .withColumn("place", F.row_number().over(mine.orderBy("owners", "shingle"))).withColumn("own", F.count("*").over(mine))
+        .drop("owners").join(members, ["hub", "rep"]), "placed")
+    buckets = stage.write(placed.groupBy("hub", "bucket").agg(
+        F.min("nd").alias("d_low"), F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("own").alias("most")), "buckets")
+    theirs = buckets.select("hub", F.col("bucket").alias("other"), *[F.col(c).alias(f"o_{c}") for c in buckets.columns[2:]])
     # shared elements that a link between the two buckets needs, by the least differences and the largest sets
     need = F.greatest(F.lit(1), F.expr(
-        f"CAST(ceil(((my_d + d_low) - {2 * (OF - SIMILAR)} * (my_n + n_high) / {2 * (OF + SIMILAR)}D) / 2) AS BIGINT)"))
-    faced = (members.join(mine, ["hub", "bucket"]).join(theirs, "hub")
-             .filter(~(F.col("bucket.linked") & F.col("other.linked")))
-             .filter(f"{OF} * n_high >= {SIMILAR} * n AND {OF} * n >= {SIMILAR} * n_low")
-             .withColumn("first", F.col("nd") - need + 1 - F.col("alone")).filter("first > 0")
-             .select("hub", "rep", "comp", "bucket", F.least("bucket", "other").alias("x"), F.greatest("bucket", "other").alias("y"),
-                     F.explode(F.slice("shared", 1, F.col("first").cast("int"))).alias("e"))
-             .select("hub", "rep", "comp", "bucket", "x", "y", F.col("e.shingle").alias("shingle")))
-    faced = stage.write(faced, "faced")
-    other = faced.select("hub", "x", "y", "shingle", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("bucket").alias("bucket2"))
-    pairs = (faced.join(other, ["hub", "x", "y", "shingle"])
-             .filter((F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2"))
-                     & ((F.col("x") == F.col("y")) | (F.col("bucket") != F.col("bucket2"))))
-             .select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
+        f"CAST(ceil(((d_low + o_d_low) - {2 * (OF - SIMILAR)} * (n_high + o_n_high) / {2 * (OF + SIMILAR)}D) / 2) AS BIGINT)"))
+    facing = (buckets.join(theirs, "hub")
+              .filter("NOT other.linked AND (bucket.linked OR bucket <= other)")
+              .filter(f"{OF} * o_n_high >= {SIMILAR} * n_low AND {OF} * n_high >= {SIMILAR} * o_n_low")
+              .withColumn("need", need).filter("need <= most AND need <= o_most").select("hub", "bucket", "other", "need"))
+    # one side per pair of buckets: its members' first elements; the other side's elements meet them
+    asking = (placed.select("hub", "bucket", "rep", "comp", "shingle", "place", "own").join(facing, ["hub", "bucket"])
+              .filter("place <= own - need + 1").select("hub", "other", "shingle", "bucket", "need", "rep", "comp"))
+    met = placed.select("hub", F.col("bucket").alias("other"), "shingle", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"),
+                        F.col("place").alias("place2"), F.col("own").alias("own2"))
+    pairs = (asking.join(met, ["hub", "other", "shingle"])
+             .filter("comp <> comp2 AND place2 <= own2 - need + 1 AND (bucket <> other OR rep < rep2)")
+             .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct())
     return direct, pairs
 
 
