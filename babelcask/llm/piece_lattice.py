@@ -26,6 +26,10 @@ the lattice runs once per distinct unit and groups its edges inside a part, with
 a shuffle.  The parts answer the blocks in the order asked.  The piece table
 (at most ``MAX_PIECES`` rows, checked) is broadcast.
 
+A long unbroken unit is exploded by windows of ``WINDOW`` characters that
+overlap by the longest piece, and folded with the sums of the last positions
+only, so its cost is linear in its length.
+
 Defined cases: a null text encodes as an empty list (``text_sha256`` of the
 empty text), as does an empty one; null ids and repeated rows give their rows;
 no rows give no rows; other columns are not looked at.
@@ -56,8 +60,12 @@ BLOCK_BYTES = 4_000_000
 #: Distinct units per part, about: one task holds the edges of one part.
 PART_UNITS = 25_000
 PART_BYTES = 1_000_000
+#: Piece ids that are gathered or spelled at a time.
+PART_IDS = 200_000
 #: Positions per inner fold; the outer fold keeps one array per segment.
 SEGMENT = 256
+#: Characters of a unit that travel with each of their positions.
+WINDOW = 64
 #: Substrings this long and longer are made where some piece begins with their first so many characters.
 PREFIX = 4
 
@@ -271,15 +279,21 @@ def segment(units: DataFrame, pieces: Pieces, key: list[str]) -> DataFrame:
     # a text's own U+2581 is not a blank: it becomes a character that no piece holds
     spelled = (units.withColumn("said", F.translate("unit", BLANK + " ", NO_PIECE + BLANK))
                .withColumn("n", F.char_length("said")))
-    starts = spelled.select(*key, "unit", "said", "n", F.explode(F.sequence(F.lit(1), "n")).alias("s"))
+    # a position carries the window it lies in, not its unit: the work is linear in a unit's length
+    spelled = spelled.select(*key, "unit", "said", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(WINDOW))).alias("w"))
+    reaching = WINDOW + max(pieces.longest, PREFIX) - 1
+    windows = spelled.select(
+        *key, F.expr(f"substring(unit, w + 1, {WINDOW})").alias("unit"), F.expr(f"substring(said, w + 1, {reaching})").alias("said"),
+        (F.col("n") - F.col("w")).alias("n"), "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.col("n") - F.col("w")))).alias("s"))
+    starts = windows.select(*key, "unit", "said", "n", "w", "s")
     # the longest piece that begins with the next characters bounds the substrings from here
     reach = F.broadcast(table.groupBy(F.substring("piece", 1, PREFIX).alias("lead")).agg(F.max(F.char_length("piece")).alias("most"))
                         .filter(F.col("most") >= PREFIX))
     starts = (starts.withColumn("lead", F.substring("said", F.col("s"), F.lit(PREFIX))).join(reach, "lead", "left")
               .withColumn("most", F.coalesce("most", F.lit(PREFIX - 1))))
-    spans = starts.select(*key, "unit", "said", "s", F.explode(F.sequence(
+    spans = starts.select(*key, "unit", "said", "w", "s", F.explode(F.sequence(
         F.lit(1), F.least("most", F.col("n") - F.col("s") + 1))).alias("l"))
-    spans = spans.select(*key, F.substring("unit", F.col("s"), F.lit(1)).alias("first"), "s", "l",
+    spans = spans.select(*key, F.substring("unit", F.col("s"), F.lit(1)).alias("first"), (F.col("w") + F.col("s")).alias("s"), "l",
                          F.substring("said", F.col("s"), F.col("l")).alias("piece"))
     edges = (spans.join(table, "piece", "left").filter("id IS NOT NULL OR l = 1")
              .select(*key, F.struct(
@@ -366,44 +380,64 @@ def _byte_fallback(flat: np.ndarray, sizes: np.ndarray, byte_ids: list[int]) ->
 def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """flat[start: start + size] of every range, one after the other."""
     total = int(size.sum())
-    lead = np.repeat(start - (np.cumsum(size) - size), size)
-    return flat[lead + np.arange(total)]
+    kind = np.int32 if max(total, len(flat)) < 2**31 else np.int64
+    place = np.repeat((start - (np.cumsum(size, dtype=np.int64) - size)).astype(kind), size)
+    place += np.arange(total, dtype=kind)
+    return flat[place]
 
 
-def _spelled(ids: np.ndarray, edge: np.ndarray, spelling: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
-    """Texts of runs of piece ids (``edge``: their offsets), without the blank put before a text."""
+def _spelled(ids: np.ndarray, edge: np.ndarray, spelling: tuple[np.ndarray, np.ndarray]) -> Iterator[bytes]:
+    """Texts of runs of piece ids (``edge``: their offsets), without the blank put before a text, some at a time."""
     data, at = spelling
-    width = (at[1:] - at[:-1])[ids]
-    body = _gather(data, at[ids], width).tobytes()
-    ends = np.concatenate([[0], np.cumsum(width)])[edge]
-    return [body[a + (b > a): b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    i, n = 0, len(edge) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(edge, edge[i] + PART_IDS, "right")) - 1))
+        mine = ids[edge[i]: edge[j]]
+        if j == i + 1 and len(mine) > PART_IDS:      # one long text: its pieces in parts
+            runs = (mine[k: k + PART_IDS] for k in range(0, len(mine), PART_IDS))
+            body = b"".join(_gather(data, at[r], at[r + 1] - at[r]).tobytes() for r in runs)
+            yield body[1:]
+        else:
+            width = at[mine + 1] - at[mine]
+            body = _gather(data, at[mine], width).tobytes()
+            ends = np.concatenate([[0], np.cumsum(width)])[edge[i: j + 1] - edge[i]]
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                yield body[a + (b > a): b]
+        i = j
 
 
 def _assemble(parts: int, spelling: tuple[np.ndarray, np.ndarray]):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         if not blocks.num_rows:
             return _ENCODED.empty_table()
-        block = blocks.slice(0, 1).to_pylist()[0]
-        part = (_name_hashes(*_unpack_names(block["names"])) % np.uint64(parts)).astype(np.int64)
-        sizes, start = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
-        flat, at = [np.zeros(0, np.uint64)], 0
-        for p, blob in zip(answers.column("part").to_pylist(), answers.column("answer").to_pylist(), strict=True):
-            head, body = halves(blob)
-            size, ids = unpack(head)[0].astype(np.int64), unpack(body)[0]
+        names = blocks.column("names")[0].as_py()
+        part = (_name_hashes(*_unpack_names(names)) % np.uint64(parts)).astype(np.int32)
+        del names
+        sizes, start = np.zeros(len(part), np.int32), np.zeros(len(part), np.int64)
+        flat, at = [np.zeros(0, np.int32)], 0
+        for p, blob in zip(answers.column("part").to_pylist(), answers.column("answer"), strict=True):
+            head, body = halves(blob.as_py())      # a part's answer at a time, kept as 4-byte ids
+            size, ids = unpack(head)[0].astype(np.int32), unpack(body)[0].astype(np.int32)
             mine = np.flatnonzero(part == p)
-            sizes[mine], start[mine] = size, at + np.cumsum(size) - size
+            sizes[mine], start[mine] = size, at + np.cumsum(size, dtype=np.int64) - size
             flat.append(ids)
             at += len(ids)
-        numbers = unpack(block["numbers"])[0].astype(np.int64)
-        ids = _gather(np.concatenate(flat), start[numbers], sizes[numbers])
-        per_unit = np.concatenate([[0], np.cumsum(sizes[numbers])])
-        per_text = np.concatenate([[0], np.cumsum(unpack(block["per_text"])[0].astype(np.int64))])
-        ids = ids.astype(np.int32)
-        back = [hashlib.sha256(t).hexdigest() for t in _spelled(ids, per_unit[per_text], spelling)]
+        flat = np.concatenate(flat)
+        numbers = unpack(blocks.column("numbers")[0].as_py())[0].astype(np.int32)
+        per_unit = sizes[numbers]
+        ids = np.empty(int(per_unit.sum(dtype=np.int64)), np.int32)
+        ends = np.concatenate([[0], np.cumsum(per_unit, dtype=np.int64)])
+        for lo in range(0, len(numbers), PART_IDS):
+            some = slice(lo, lo + PART_IDS)
+            ids[ends[lo]: ends[min(lo + PART_IDS, len(numbers))]] = _gather(flat, start[numbers[some]], per_unit[some])
+        per_text = np.concatenate([[0], np.cumsum(unpack(blocks.column("per_text")[0].as_py())[0].astype(np.int64))])
+        edge = ends[per_text]
+        del flat, numbers, per_unit, ends
+        back = [hashlib.sha256(t).hexdigest() for t in _spelled(ids, edge, spelling)]
         return pa.Table.from_arrays([
-            pa.array(block["doc_ids"], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(per_unit[per_text].astype(np.int32)), pa.array(ids)),
-            pa.array(block["digests"], pa.string()), pa.array(back, pa.string())], schema=_ENCODED)
+            blocks.column("doc_ids").combine_chunks().flatten(),
+            pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids)),
+            blocks.column("digests").combine_chunks().flatten(), pa.array(back, pa.string())], schema=_ENCODED)
     return run
 
 
