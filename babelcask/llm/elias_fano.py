@@ -50,23 +50,22 @@ class EliasFano:
 
     def select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Place of the k-th (from 0) set or clear bit."""
-        high, before = self.arrays["high"], np.asarray(self.arrays["ones"], np.int64)
+        before = np.asarray(self.arrays["ones"], np.int64)
         if not one:
             before = 64 * np.arange(len(before)) - before
-        word = np.searchsorted(before, k, "right") - 1
-        left = k - before[word]
-        out = np.empty(len(k), np.int64)
-        todo, byte = np.arange(len(k)), word * 8
-        while len(todo):                         # at most the eight bytes of a word
-            b = high[byte]
-            if not one:
-                b = ~b
-            here = _POP[b]
-            hit = left < here
-            out[todo[hit]] = byte[hit] * 8 + _PLACE[b[hit], left[hit]]
-            go = ~hit
-            todo, left, byte = todo[go], (left - here)[go], byte[go] + 1
-        return out
+        at = np.searchsorted(before, k, "right") - 1
+        left = (k - before[at]).astype(np.uint8)
+        word = np.asarray(self.arrays["high"]).view(np.uint64)[at]
+        if not one:
+            word = ~word
+        place = at * 64
+        for half in (32, 16, 8):                 # the half of the word that holds the bit
+            here = np.bitwise_count(word & U64((1 << half) - 1))
+            up = left >= here
+            left -= here * up
+            word >>= up.astype(np.uint64) * U64(half)
+            place += half * up
+        return place + _PLACE[(word & U64(255)).astype(np.int64), left]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:

@@ -7,7 +7,7 @@ text; a text begins after a start context.  The model has three orders:
     p(w|v)    = (c(vw) + MU p1(w)) / (c(v) + MU)
     p(w|u v)  = (c(uvw) + MU p(w|v)) / (c(uv) + MU),  p(w|v) for the first token of a text
 
-``score`` sums p(w|v), ``score3`` sums p(w|u v).
+``score`` sums p(w|u v), ``pair_score`` sums p(w|v).
 
 Training texts are those whose crc32(doc_id as text) mod 10 is not 0; a null id
 is not learned from.  Log probabilities are quantised to 1/4096 of a decade
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from babelcask.llm import tokens as T
 from babelcask.llm.elias_fano import Trie
-from babelcask.llm.numpack import pack, unpack
+from babelcask.llm.numpack import halves, joined, pack, unpack
 from babelcask.llm.work import Staging, bucketed
 from babelcask.session import input_bytes, shuffle_partitions
 
@@ -170,6 +170,8 @@ class Block:
         self.begins = ends - per_text
         is_end = np.zeros(int(self.sizes.sum()), bool)
         is_end[ends] = True
+        self.word_at = np.flatnonzero(~is_end)
+        self.learned = np.repeat(~self.held, self.sizes).astype(np.int64)
         self.token = np.full(len(is_end), END, np.int64)
         self.token[~is_end] = self.number[self.local]
         self.times = np.full(len(is_end), n_train, np.int64)
@@ -180,51 +182,77 @@ class Block:
         self.before_times[self.begins] = n_train
 
     def pairs(self, parts: int, n_tokens: int) -> dict[str, np.ndarray]:
-        """Distinct pairs by (part, context, successor), and the place of each token's pair among them."""
-        # a pair of numbers that needs more than 64 bits: the numbers are ranked within the block first
-        names, inverse = np.unique(np.concatenate([self.before, self.token]), return_inverse=True)
-        v, w = inverse[: len(self.token)], inverse[len(self.token):]
-        key, first, place = np.unique(v * len(names) + w, return_index=True, return_inverse=True)
-        learned = np.bincount(place, weights=np.repeat(~self.held, self.sizes), minlength=len(key)).astype(np.int64)
-        out = {"v": self.before[first], "w": self.token[first], "n": learned,
-               "cv": self.before_times[first], "cw": self.times[first]}
+        """Distinct pairs in the order of (context, successor), each with its part, and the place of each token's pair."""
+        # words as ranks among the block's numbers: two ranks fit one key, in the order of the numbers
+        names, rank = np.unique(np.concatenate([[START, END], self.number]), return_inverse=True)
+        w = np.full(len(self.token), rank[1], np.int64)
+        w[self.word_at] = rank[2:][self.local]
+        v = np.concatenate([rank[:1], w[:-1]])
+        v[self.begins] = rank[0]
+        first, place, learned = _distinct(v * len(names) + w, self.learned)
+        out = {"v": self.before[first], "w": self.token[first], "n": learned, "cv": self.before_times[first], "cw": self.times[first]}
         # a context with over 1/parts of all tokens is dealt out by its successors
         hot = out["cv"] * parts > n_tokens
         dealt = T.mix(out["v"].astype(np.uint64) * T._STEP + np.where(hot, out["w"], 0).astype(np.uint64))
-        part = (dealt % U64(parts)).astype(np.int64)
-        order = np.lexsort((out["w"], out["v"], part))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return {k: x[order] for k, x in out.items()} | {"part": part[order], "place": rank[place]}
-
+        return out | {"part": (dealt % U64(parts)).astype(np.int64), "place": place}
 
     def triples(self, p: dict[str, np.ndarray], counts: np.ndarray, parts: int, n_tokens: int) -> dict[str, np.ndarray]:
-        """Distinct triples (``first``, ``second``: places of their pairs in ``p``) by (part, context, successor), and
-        the place of each token's triple, -1 for the first token of a text."""
+        """Distinct triples (``first``, ``second``: places of their pairs in ``p``) in the order of their tokens, each with
+        its part, and the place of each token's triple, -1 for the first token of a text."""
         later = np.ones(len(self.token), bool)
         later[self.begins] = False
         at = np.flatnonzero(later)
-        a, b = p["place"][at - 1], p["place"][at]
-        key, first, place = np.unique(a * max(len(counts), 1) + b, return_index=True, return_inverse=True)
-        learned = np.bincount(place, weights=np.repeat(~self.held, self.sizes)[at], minlength=len(key)).astype(np.int64)
+        a, b = p["place"][at - 1].astype(np.int64), p["place"][at].astype(np.int64)
+        first, place, learned = _distinct(a * max(len(counts), 1) + b, self.learned[at])
         a, b = a[first], b[first]
         # as for pairs: a context with over 1/parts of all tokens is dealt out by its successors
         hot = counts[a] * parts > n_tokens
         dealt = T.mix(T.mix(p["v"][a].astype(np.uint64) * T._STEP + p["w"][a].astype(np.uint64)) * T._STEP
                       + np.where(hot, p["w"][b], 0).astype(np.uint64))
-        part = (dealt % U64(parts)).astype(np.int64)
-        order = np.lexsort((p["w"][b], p["w"][a], p["v"][a], part))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        of_token = np.full(len(self.token), -1, np.int64)
-        of_token[at] = rank[place]
-        return {"first": a[order], "second": b[order], "n": learned[order], "part": part[order], "place": of_token}
+        of_token = np.full(len(self.token), -1, np.int32)
+        of_token[at] = place
+        return {"first": a, "second": b, "n": learned, "part": (dealt % U64(parts)).astype(np.int64), "place": of_token}
+
+
+def _distinct(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each distinct key in their order, number of each row's key, sum of the weights per key)."""
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    begin = np.flatnonzero(new)
+    number = np.empty(len(key), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[begin], number, np.add.reduceat(weight[order], begin)
+
+
+def _by_part(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows by part, each part's in their order; edges of the parts)."""
+    order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
-def _answers(got: dict[int, bytes]) -> list[np.ndarray]:
-    """Columns of a block's answers, one part after the other."""
-    columns = [unpack(got[k]) for k in sorted(got)]
-    return [np.concatenate(c).astype(np.int64) for c in zip(*columns, strict=True)]
+def _joint(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """One key per pair of numbers, in the order of (high, low)."""
+    top, bits = (int(x.max()) if len(x) else 0 for x in (high, low))
+    if top.bit_length() + bits.bit_length() <= 62:
+        return (high << bits.bit_length()) | low
+    order = np.lexsort((low, high))        # too wide for one number: ranks instead
+    h, l = high[order], low[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], (h[1:] != h[:-1]) | (l[1:] != l[:-1])]))
+    return out
+
+
+def _answers(got: dict[int, bytes], part: np.ndarray, parts: int, columns: int) -> list[np.ndarray]:
+    """Columns of a block's answers, in the order of the block's rows (``part``: of each row)."""
+    order, edge = _by_part(part, parts)
+    out = [np.zeros(len(part), np.int64) for _ in range(columns)]
+    for k, blob in got.items():
+        for column, values in zip(out, unpack(blob), strict=True):
+            column[order[edge[k]: edge[k + 1]]] = values
+    return out
 
 
 def _one_block(blocks: pa.Table, answers: pa.Table, parts: int, n_train: int) -> tuple[Block, dict[int, dict[int, bytes]]]:
@@ -242,12 +270,14 @@ def _ask_pairs(parts: int, n_tokens: int, n_train: int):
         if blocks.num_rows:
             block, _ = _one_block(blocks, answers, parts, n_train)
             p = block.pairs(parts, n_tokens)
-            edge = np.searchsorted(p["part"], np.arange(parts + 1))
+            order, edge = _by_part(p["part"], parts)
             name = blocks.column("block")[0].as_py()
             for part in np.flatnonzero(np.diff(edge)).tolist():
-                s = slice(edge[part], edge[part + 1])
+                s = order[edge[part]: edge[part + 1]]
                 v = p["v"][s]
-                rows.append((part, name, pack(np.diff(v, prepend=0), p["w"][s], p["n"][s], p["cv"][s], p["cw"][s])))
+                begin = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))      # a context once, with its count
+                head = pack(np.diff(v[begin], prepend=0), p["cv"][s][begin], np.diff(np.append(begin, len(v))))
+                rows.append((part, name, joined(head, pack(p["w"][s], p["n"][s], p["cw"][s]))))
         columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)],
                                     names=["part", "of_block", "asked"])
@@ -260,12 +290,12 @@ def _ask_triples(parts: int, n_tokens: int, n_train: int):
         if blocks.num_rows:
             block, got = _one_block(blocks, answers, parts, n_train)
             p = block.pairs(parts, n_tokens)
-            codes, counts = _answers(got[PAIRS])
+            codes, counts = _answers(got[PAIRS], p["part"], parts, 2)
             t = block.triples(p, counts, parts, n_tokens)
-            edge = np.searchsorted(t["part"], np.arange(parts + 1))
+            order, edge = _by_part(t["part"], parts)
             name = blocks.column("block")[0].as_py()
             for part in np.flatnonzero(np.diff(edge)).tolist():
-                s = slice(edge[part], edge[part + 1])
+                s = order[edge[part]: edge[part + 1]]
                 a, b = t["first"][s], t["second"][s]
                 begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
                 c = a[begin]
@@ -289,29 +319,21 @@ def _answer_triples(group: pa.Table) -> pa.Table:
         asked.append([x.astype(np.int64) for x in unpack(blob)])
     u, v, c, times = (np.concatenate(x) for x in zip(*heads, strict=True))
     w, n, code = (np.concatenate(x) for x in zip(*asked, strict=True))
-    # two numbers may need more than 64 bits: contexts are ranked within the part
-    order = np.lexsort((v, u))
-    su, sv = u[order], v[order]
-    rank = np.empty(len(u), np.int64)
-    rank[order] = np.cumsum(np.concatenate([[False], (su[1:] != su[:-1]) | (sv[1:] != sv[:-1])]))
-    x, c = np.repeat(rank, times), np.repeat(c, times)
-    seen = np.flatnonzero(n)
-    order = seen[np.lexsort((w[seen], x[seen]))]
-    sx, sw = x[order], w[order]
-    new = np.concatenate([[True], (sx[1:] != sx[:-1]) | (sw[1:] != sw[:-1])]) if len(order) else np.zeros(0, bool)
-    begin = np.flatnonzero(new)
-    count = np.add.reduceat(n[order], begin) if len(begin) else np.zeros(0, np.int64)
-    first = order[begin]
-    p = (count + MU * 10.0 ** (code[first] / -float(STEP))) / (c[first] + MU)
-    contexts = x[first]
-    head = first[np.concatenate([[True], contexts[1:] != contexts[:-1]])] if len(first) else first
-    trie = Trie(contexts, w[first], _code(MU / (c[head] + MU)), _code(p))
-    answers, at = [], 0
-    for qw, _, qcode in asked:
-        s = slice(at, at + len(qw))
-        at += len(qw)
-        found, _ = trie.find(x[s], qw)
-        answers.append(pack(np.where(found >= 0, found, np.minimum(_code(MU / (c[s] + MU)) + qcode, 65535))))
+    # contexts are ranked within the part; a context's count is the same in every message
+    head, rank, _ = _distinct(_joint(u, v), np.zeros(len(u), np.int64))
+    of, x = c[head], np.repeat(rank.astype(np.int64), times)
+    first, place, count = _distinct(_joint(x, w), n)
+    x, w, code = x[first], w[first], code[first]          # distinct triples, in order
+    seen = np.flatnonzero(count)
+    cx = of[x]
+    p = (count[seen] + MU * 10.0 ** (code[seen] / -float(STEP))) / (cx[seen] + MU)
+    contexts = x[seen]
+    begin = seen[np.concatenate([[True], contexts[1:] != contexts[:-1]])] if len(seen) else seen
+    trie = Trie(contexts, w[seen], _code(MU / (cx[begin] + MU)), _code(p))
+    found, _ = trie.find(x, w)
+    answer = np.where(found >= 0, found, np.minimum(_code(MU / (cx + MU)) + code, 65535))[place]
+    ends = np.cumsum([len(q[0]) for q in asked])
+    answers = [pack(a) for a in np.split(answer, ends[:-1])]
     zero = [0] * len(blocks)
     return pa.Table.from_arrays([
         pa.array([part] * len(blocks), pa.int32()), pa.array(blocks, pa.int64()), pa.array([TRIPLES] * len(blocks), pa.int32()),
@@ -334,35 +356,28 @@ def _answer_pairs(n_tokens: int, n_types: int):
         """The trie of one part's contexts, and its answers to every block."""
         part = group.column("part")[0].as_py()
         blocks = group.column("of_block").to_pylist()
-        asked = []
+        heads, asked = [], []
         for blob in group.column("asked").to_pylist():
-            v, w, n, cv, cw = (x.astype(np.int64) for x in unpack(blob))
-            asked.append((np.cumsum(v), w, n, cv, cw))
-        v, w, n, cv, cw = (np.concatenate(c) for c in zip(*asked, strict=True))
-        seen = np.flatnonzero(n)
-        order = seen[np.lexsort((w[seen], v[seen]))]
-        sv, sw = v[order], w[order]
-        new = np.concatenate([[True], (sv[1:] != sv[:-1]) | (sw[1:] != sw[:-1])]) if len(order) else np.zeros(0, bool)
-        begin = np.flatnonzero(new)
-        count = np.add.reduceat(n[order], begin) if len(begin) else np.zeros(0, np.int64)
-        first = order[begin]
-        p = (count + MU * unigram(cw[first], n_tokens, n_types)) / (cv[first] + MU)
-        contexts = v[first]
-        head = first[np.concatenate([[True], contexts[1:] != contexts[:-1]])] if len(first) else first
-        trie = Trie(contexts, w[first], _code(MU / (cv[head] + MU)), _code(p))
-        # training count of every asked pair
-        order = np.lexsort((w, v))
-        av, aw = v[order], w[order]
-        begin = np.flatnonzero(np.concatenate([[True], (av[1:] != av[:-1]) | (aw[1:] != aw[:-1])]))
-        times = np.empty(len(v), np.int64)
-        times[order] = np.repeat(np.add.reduceat(n[order], begin), np.diff(np.append(begin, len(v))))
-        answers, at = [], 0
-        for qv, qw, _, qcv, qcw in asked:
-            pair, context = trie.find(qv, qw)
-            context = np.where(context >= 0, context, _code(MU / (qcv + MU)))
-            back = np.minimum(context + _code(unigram(qcw, n_tokens, n_types)), 65535)
-            answers.append(pack(np.where(pair >= 0, pair, back), times[at: at + len(qv)]))
-            at += len(qv)
+            head, body = halves(blob)
+            v, cv, times = (x.astype(np.int64) for x in unpack(head))
+            heads.append((np.repeat(np.cumsum(v), times), np.repeat(cv, times)))
+            asked.append([x.astype(np.int64) for x in unpack(body)])
+        v, cv = (np.concatenate(c) for c in zip(*heads, strict=True))
+        w, n, cw = (np.concatenate(c) for c in zip(*asked, strict=True))
+        first, place, count = _distinct(_joint(v, w), n)
+        v, w, cv, cw = v[first], w[first], cv[first], cw[first]          # distinct pairs, in order
+        seen = np.flatnonzero(count)
+        p = (count[seen] + MU * unigram(cw[seen], n_tokens, n_types)) / (cv[seen] + MU)
+        contexts = v[seen]
+        begin = seen[np.concatenate([[True], contexts[1:] != contexts[:-1]])] if len(seen) else seen
+        trie = Trie(contexts, w[seen], _code(MU / (cv[begin] + MU)), _code(p))
+        pair, context = trie.find(v, w)
+        context = np.where(context >= 0, context, _code(MU / (cv + MU)))
+        back = np.minimum(context + _code(unigram(cw, n_tokens, n_types)), 65535)
+        answer = np.where(pair >= 0, pair, back)[place]
+        count = count[place]                                # training count of every asked pair
+        ends = np.cumsum([len(q[0]) for q in asked])
+        answers = [pack(a, c) for a, c in zip(np.split(answer, ends[:-1]), np.split(count, ends[:-1]), strict=True)]
         zero = [0] * len(blocks)
         return pa.Table.from_arrays([
             pa.array([part] * len(blocks), pa.int32()), pa.array(blocks, pa.int64()), pa.array([PAIRS] * len(blocks), pa.int32()),
@@ -372,10 +387,11 @@ def _answer_pairs(n_tokens: int, n_types: int):
 
 # ---- scores --------------------------------------------------------------------------------------------------------
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score3 double"
+SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
+          "pair_score double")
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                      ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
-                     ("score3", pa.float64())])
+                     ("pair_score", pa.float64())])
 
 
 def _scores(parts: int, n_tokens: int, n_types: int, n_train: int):
@@ -384,19 +400,19 @@ def _scores(parts: int, n_tokens: int, n_types: int, n_train: int):
             return _SCORED.empty_table()
         block, got = _one_block(blocks, answers, parts, n_train)
         p = block.pairs(parts, n_tokens)
-        codes, counts = _answers(got[PAIRS])
-        place3 = block.triples(p, counts, parts, n_tokens)["place"]
+        codes, counts = _answers(got[PAIRS], p["part"], parts, 2)
+        t = block.triples(p, counts, parts, n_tokens)
         code = codes[p["place"]]
         code3 = code.copy()
-        if got[TRIPLES]:
-            code3[place3 >= 0] = _answers(got[TRIPLES])[0][place3[place3 >= 0]]
+        later = np.flatnonzero(t["place"] >= 0)
+        code3[later] = _answers(got[TRIPLES], t["part"], parts, 1)[0][t["place"][later]]
         base = np.log10((block.times + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
         return pa.Table.from_arrays([
             pa.array(block.doc_ids, pa.int64()), pa.array(block.held), pa.array(block.sizes),
             pa.array(np.add.reduceat((block.times > 0).astype(np.int64), block.begins)),
             pa.array(np.full(len(block.held), n_tokens, np.int64)), pa.array(np.add.reduceat(base, block.begins)),
-            pa.array(np.add.reduceat(code, block.begins) / -float(STEP)),
-            pa.array(np.add.reduceat(code3, block.begins) / -float(STEP))], schema=_SCORED)
+            pa.array(np.add.reduceat(code3, block.begins) / -float(STEP)),
+            pa.array(np.add.reduceat(code, block.begins) / -float(STEP))], schema=_SCORED)
     return run
 
 
@@ -421,6 +437,7 @@ def score(docs: DataFrame) -> DataFrame:
     known = words.union(pairs)
     asked3 = (blocks.groupBy("block").cogroup(known.groupBy("of_block"))
               .applyInArrow(_ask_triples(parts, n_tokens, n_train), "part int, of_block long, contexts binary, asked binary"))
-    triples = stage.write(asked3.groupBy("part").applyInArrow(_answer_triples, ANSWERED), "triples")
+    # read once, by the scores: not written on the way
+    triples = asked3.groupBy("part").applyInArrow(_answer_triples, ANSWERED)
     return (blocks.groupBy("block").cogroup(known.union(triples).groupBy("of_block"))
             .applyInArrow(_scores(parts, n_tokens, n_types, n_train), SCORED))

@@ -271,7 +271,7 @@ def test_decontamination_tolerates_substitutions(spark):
 
 def test_sql_queries_equal_duckdb(spark):
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         df = queries.QUERIES[name](spark, SF)
@@ -337,7 +337,7 @@ def test_trie_scores(spark, docs, odd):
             score = math.fsum(math.log10((pair[x, y] * (uni[y] > 0) + 2000 * p1(y)) / ((len(train) if x == "\0" else uni[x]) + 2000))
                               for x, y in zip(["\0", *w[:-1]], w, strict=True))
             want.append((d or -1, len(w), sum(uni[y] > 0 for y in w), n, base, score))
-        got = sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in trie_lm.score(df).collect())
+        got = sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.pair_score) for r in trie_lm.score(df).collect())
         for g, e in zip(got, sorted(want), strict=True):
             assert g[:4] == e[:4] and g[4] == pytest.approx(e[4], rel=1e-9) and abs(g[5] - e[5]) < 3e-4 * e[1]
     assert trie_lm.score(empty(docs)).count() == 0
@@ -361,7 +361,7 @@ def test_scores_of_the_third_order(docs, odd):
 
         want = sorted((d or -1, len(t) - 1, math.log10(p2(t[0], t[1])) + math.fsum(
             math.log10(p3(*t[i - 2: i + 1])) for i in range(2, len(t)))) for d, t in texts)
-        got = sorted((r.doc_id or -1, r.n_tokens, r.score3) for r in trie_lm.score(df).collect())
+        got = sorted((r.doc_id or -1, r.n_tokens, r.score) for r in trie_lm.score(df).collect())
         for g, e in zip(got, want, strict=True):
             assert g[:2] == e[:2] and abs(g[2] - e[2]) < 5e-4 * e[1]
 
