@@ -224,7 +224,13 @@ def _distinct(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     begin = np.flatnonzero(new)
     number = np.empty(len(key), np.int32)
     number[order] = np.cumsum(new, dtype=np.int32) - 1
-    return order[begin], number, np.add.reduceat(weight[order], begin)
+    del ranked, new
+    return order[begin], number, np.add.reduceat(weight[order], begin, dtype=np.int64)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers in 4 bytes where they fit."""
+    return x.astype(np.uint32) if not len(x) or int(x.max()) < 1 << 32 else x.astype(np.int64)
 
 
 def _by_part(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +243,10 @@ def _joint(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """One key per pair of numbers, in the order of (high, low)."""
     top, bits = (int(x.max()) if len(x) else 0 for x in (high, low))
     if top.bit_length() + bits.bit_length() <= 62:
-        return (high << bits.bit_length()) | low
+        key = high.astype(np.int64)
+        key <<= bits.bit_length()
+        key |= low.astype(np.int64, copy=False)
+        return key
     order = np.lexsort((low, high))        # too wide for one number: ranks instead
     h, l = high[order], low[order]
     out = np.empty(len(order), np.int64)
@@ -313,17 +322,20 @@ def _answer_triples(group: pa.Table) -> pa.Table:
     part = group.column("part")[0].as_py()
     blocks = group.column("of_block").to_pylist()
     heads, asked = [], []
-    for context, blob in zip(group.column("contexts").to_pylist(), group.column("asked").to_pylist(), strict=True):
-        u, v, c, times = (x.astype(np.int64) for x in unpack(context))
-        heads.append((np.cumsum(u), v, c, times))
-        asked.append([x.astype(np.int64) for x in unpack(blob)])
+    for context, blob in zip(group.column("contexts"), group.column("asked"), strict=True):
+        u, v, c, times = unpack(context.as_py())
+        heads.append((_narrow(np.cumsum(u.astype(np.int64))), _narrow(v), _narrow(c), _narrow(times)))
+        asked.append(tuple(_narrow(x) for x in unpack(blob.as_py())))
+    lengths = [len(q[0]) for q in asked]
     u, v, c, times = (np.concatenate(x) for x in zip(*heads, strict=True))
     w, n, code = (np.concatenate(x) for x in zip(*asked, strict=True))
+    del heads, asked
     # contexts are ranked within the part; a context's count is the same in every message
     head, rank, _ = _distinct(_joint(u, v), np.zeros(len(u), np.int64))
-    of, x = c[head], np.repeat(rank.astype(np.int64), times)
+    of, x = c[head].astype(np.int64), np.repeat(rank, times)
+    del u, v, c, times, rank, head
     first, place, count = _distinct(_joint(x, w), n)
-    x, w, code = x[first], w[first], code[first]          # distinct triples, in order
+    x, w, code = (a[first].astype(np.int64) for a in (x, w, code))          # distinct triples, in order
     seen = np.flatnonzero(count)
     cx = of[x]
     p = (count[seen] + MU * 10.0 ** (code[seen] / -float(STEP))) / (cx[seen] + MU)
@@ -332,8 +344,7 @@ def _answer_triples(group: pa.Table) -> pa.Table:
     trie = Trie(contexts, w[seen], _code(MU / (cx[begin] + MU)), _code(p))
     found, _ = trie.find(x, w)
     answer = np.where(found >= 0, found, np.minimum(_code(MU / (cx + MU)) + code, 65535))[place]
-    ends = np.cumsum([len(q[0]) for q in asked])
-    answers = [pack(a) for a in np.split(answer, ends[:-1])]
+    answers = [pack(a) for a in np.split(answer, np.cumsum(lengths)[:-1])]
     zero = [0] * len(blocks)
     return pa.Table.from_arrays([
         pa.array([part] * len(blocks), pa.int32()), pa.array(blocks, pa.int64()), pa.array([TRIPLES] * len(blocks), pa.int32()),
@@ -360,12 +371,14 @@ def _answer_pairs(n_tokens: int, n_types: int):
         for blob in group.column("asked").to_pylist():
             head, body = halves(blob)
             v, cv, times = (x.astype(np.int64) for x in unpack(head))
-            heads.append((np.repeat(np.cumsum(v), times), np.repeat(cv, times)))
-            asked.append([x.astype(np.int64) for x in unpack(body)])
+            heads.append((np.repeat(_narrow(np.cumsum(v)), times), np.repeat(_narrow(cv), times)))
+            asked.append(tuple(_narrow(x) for x in unpack(body)))
+        lengths = [len(q[0]) for q in asked]
         v, cv = (np.concatenate(c) for c in zip(*heads, strict=True))
         w, n, cw = (np.concatenate(c) for c in zip(*asked, strict=True))
+        del heads, asked
         first, place, count = _distinct(_joint(v, w), n)
-        v, w, cv, cw = v[first], w[first], cv[first], cw[first]          # distinct pairs, in order
+        v, w, cv, cw = (a[first].astype(np.int64) for a in (v, w, cv, cw))          # distinct pairs, in order
         seen = np.flatnonzero(count)
         p = (count[seen] + MU * unigram(cw[seen], n_tokens, n_types)) / (cv[seen] + MU)
         contexts = v[seen]
@@ -376,8 +389,8 @@ def _answer_pairs(n_tokens: int, n_types: int):
         back = np.minimum(context + _code(unigram(cw, n_tokens, n_types)), 65535)
         answer = np.where(pair >= 0, pair, back)[place]
         count = count[place]                                # training count of every asked pair
-        ends = np.cumsum([len(q[0]) for q in asked])
-        answers = [pack(a, c) for a, c in zip(np.split(answer, ends[:-1]), np.split(count, ends[:-1]), strict=True)]
+        ends = np.cumsum(lengths)[:-1]
+        answers = [pack(a, c) for a, c in zip(np.split(answer, ends), np.split(count, ends), strict=True)]
         zero = [0] * len(blocks)
         return pa.Table.from_arrays([
             pa.array([part] * len(blocks), pa.int32()), pa.array(blocks, pa.int64()), pa.array([PAIRS] * len(blocks), pa.int32()),
@@ -437,7 +450,7 @@ def score(docs: DataFrame) -> DataFrame:
     known = words.union(pairs)
     asked3 = (blocks.groupBy("block").cogroup(known.groupBy("of_block"))
               .applyInArrow(_ask_triples(parts, n_tokens, n_train), "part int, of_block long, contexts binary, asked binary"))
-    # read once, by the scores: not written on the way
-    triples = asked3.groupBy("part").applyInArrow(_answer_triples, ANSWERED)
+    # written, so that the shuffle of the questions can go before the answers move
+    triples = stage.write(asked3.groupBy("part").applyInArrow(_answer_triples, ANSWERED), "triples")
     return (blocks.groupBy("block").cogroup(known.union(triples).groupBy("of_block"))
             .applyInArrow(_scores(parts, n_tokens, n_types, n_train), SCORED))
