@@ -72,26 +72,33 @@ BLOCK = "block long, doc_ids array<long>, words binary, per_text binary, numbers
 
 
 def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of about ``BLOCK_BYTES`` of a task's texts, over the borders of its batches: larger blocks repeat fewer words."""
+    ids, hashes, counts, held = [], [], [], 0
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        held, hashes, counts, first = [], [], [], 0
+        names = batch.column("doc_id").to_pylist()
         for lo, hi, w in T.chunks(batch.column("text"), lower=True, limit=PART_BYTES):
+            ids += names[lo:hi]
             hashes.append(w.hashes())
             counts.append(np.diff(w.rows))
-            if sum(map(len, hashes)) * 6 >= BLOCK_BYTES or hi == len(ids):
-                own = ids[first:hi]
-                held = np.array([is_held_out(i) for i in own])
-                words, per_text = np.concatenate(hashes), np.concatenate(counts)
-                known, number, times = np.unique(words, return_inverse=True, return_counts=True)
-                learned = np.bincount(number[np.repeat(~held, per_text)], minlength=len(known))
-                order = np.argsort(-times, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([own], pa.list_(pa.int64())),
-                    pa.array([pack(known[order], learned[order])], pa.binary()), pa.array([pack(per_text)], pa.binary()),
-                    pa.array([pack(rank[number])], pa.binary())], names=["block", "doc_ids", "words", "per_text", "numbers"])
-                hashes, counts, first = [], [], hi
+            held += len(w.data)
+            if held >= BLOCK_BYTES:
+                yield _block(ids, np.concatenate(hashes), np.concatenate(counts))
+                ids, hashes, counts, held = [], [], [], 0
+    if ids:
+        yield _block(ids, np.concatenate(hashes), np.concatenate(counts))
+
+
+def _block(ids: list, words: np.ndarray, per_text: np.ndarray) -> pa.RecordBatch:
+    learns = np.array([not is_held_out(i) for i in ids])
+    known, number, times = np.unique(words, return_inverse=True, return_counts=True)
+    learned = np.bincount(number[np.repeat(learns, per_text)], minlength=len(known))
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return pa.RecordBatch.from_arrays([
+        pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
+        pa.array([pack(known[order], learned[order])], pa.binary()), pa.array([pack(per_text)], pa.binary()),
+        pa.array([pack(rank[number])], pa.binary())], names=["block", "doc_ids", "words", "per_text", "numbers"])
 
 
 # ---- words: numbers and counts --------------------------------------------------------------------------------
@@ -155,42 +162,50 @@ class Block:
         hashes, _ = unpack(row["words"])
         part = _part_of_word(hashes, parts)
         self.number = np.zeros(len(hashes), np.int64)
-        self.count = np.zeros(len(hashes), np.int64)
+        count = np.zeros(len(hashes), np.int64)
         for p, blob in answers.items():
-            number, count = unpack(blob)
-            self.number[part == p], self.count[part == p] = number, count
-        self.number[self.count == 0] = UNKNOWN
+            number, n = unpack(blob)
+            self.number[part == p], count[part == p] = number, n
+        self.number[count == 0] = UNKNOWN
         self.doc_ids = row["doc_ids"]
         self.held = np.array([is_held_out(i) for i in self.doc_ids])
         per_text = unpack(row["per_text"])[0].astype(np.int64)
-        self.local = unpack(row["numbers"])[0].astype(np.int64)
+        self.local = unpack(row["numbers"])[0].astype(np.int32)
         # tokens with the end token after each text; n_train: number of training texts
+        self.n_train = n_train
         self.sizes = per_text + 1
         ends = np.cumsum(self.sizes) - 1
         self.begins = ends - per_text
         is_end = np.zeros(int(self.sizes.sum()), bool)
         is_end[ends] = True
-        self.word_at = np.flatnonzero(~is_end)
-        self.learned = np.repeat(~self.held, self.sizes).astype(np.int64)
-        self.token = np.full(len(is_end), END, np.int64)
-        self.token[~is_end] = self.number[self.local]
-        self.times = np.full(len(is_end), n_train, np.int64)
-        self.times[~is_end] = self.count[self.local]
-        self.before = np.concatenate([[START], self.token[:-1]])
-        self.before[self.begins] = START
-        self.before_times = np.concatenate([[0], self.times[:-1]])
-        self.before_times[self.begins] = n_train
+        self.is_begin = np.zeros(len(is_end), bool)
+        self.is_begin[self.begins] = True
+        self.word_at = np.flatnonzero(~is_end).astype(np.int32 if len(is_end) < 2**31 else np.int64)
+        number, count = _narrow(self.number), _narrow(count)
+        self.token = np.full(len(is_end), END, number.dtype)
+        self.token[self.word_at] = number[self.local]
+        self.times = _narrow(np.array([n_train])).repeat(len(is_end)).astype(np.result_type(count, _narrow(np.array([n_train]))))
+        self.times[self.word_at] = count[self.local]
+        self.learned = np.repeat(~self.held, self.sizes)
+
+    def before(self, at: np.ndarray, column: np.ndarray, start: int) -> np.ndarray:
+        """``column`` of the tokens before those at ``at``; ``start`` for the first of a text."""
+        return np.where(self.is_begin[at], start, column[at - 1].astype(np.int64))
 
     def pairs(self, parts: int, n_tokens: int) -> dict[str, np.ndarray]:
         """Distinct pairs in the order of (context, successor), each with its part, and the place of each token's pair."""
         # words as ranks among the block's numbers: two ranks fit one key, in the order of the numbers
         names, rank = np.unique(np.concatenate([[START, END], self.number]), return_inverse=True)
-        w = np.full(len(self.token), rank[1], np.int64)
-        w[self.word_at] = rank[2:][self.local]
-        v = np.concatenate([rank[:1], w[:-1]])
-        v[self.begins] = rank[0]
-        first, place, learned = _distinct(v * len(names) + w, self.learned)
-        out = {"v": self.before[first], "w": self.token[first], "n": learned, "cv": self.before_times[first], "cw": self.times[first]}
+        w = np.full(len(self.token), rank[1], np.int32)
+        w[self.word_at] = rank[2:].astype(np.int32)[self.local]
+        key = np.concatenate([rank[:1], w[:-1]]).astype(np.int64)
+        key[self.begins] = rank[0]
+        key *= len(names)
+        key += w
+        first, place, learned = _distinct(key, self.learned)
+        del key, w
+        out = {"v": self.before(first, self.token, START), "w": self.token[first].astype(np.int64), "n": learned,
+               "cv": self.before(first, self.times, self.n_train), "cw": self.times[first].astype(np.int64)}
         # a context with over 1/parts of all tokens is dealt out by its successors
         hot = out["cv"] * parts > n_tokens
         dealt = T.mix(out["v"].astype(np.uint64) * T._STEP + np.where(hot, out["w"], 0).astype(np.uint64))
@@ -199,12 +214,13 @@ class Block:
     def triples(self, p: dict[str, np.ndarray], counts: np.ndarray, parts: int, n_tokens: int) -> dict[str, np.ndarray]:
         """Distinct triples (``first``, ``second``: places of their pairs in ``p``) in the order of their tokens, each with
         its part, and the place of each token's triple, -1 for the first token of a text."""
-        later = np.ones(len(self.token), bool)
-        later[self.begins] = False
-        at = np.flatnonzero(later)
-        a, b = p["place"][at - 1].astype(np.int64), p["place"][at].astype(np.int64)
-        first, place, learned = _distinct(a * max(len(counts), 1) + b, self.learned[at])
-        a, b = a[first], b[first]
+        at = np.flatnonzero(~self.is_begin)
+        key = p["place"][at - 1].astype(np.int64)
+        key *= max(len(counts), 1)
+        key += p["place"][at]
+        first, place, learned = _distinct(key, self.learned[at])
+        a, b = np.divmod(key[first], max(len(counts), 1))
+        del key, first
         # as for pairs: a context with over 1/parts of all tokens is dealt out by its successors
         hot = counts[a] * parts > n_tokens
         dealt = T.mix(T.mix(p["v"][a].astype(np.uint64) * T._STEP + p["w"][a].astype(np.uint64)) * T._STEP
