@@ -13,6 +13,8 @@ import tempfile
 import numpy as np
 
 U64 = np.uint64
+#: Pairs that are looked up at a time.
+QUERIES = 1 << 18
 _POP = np.array([bin(i).count("1") for i in range(256)], np.int64)
 # place of the k-th set bit in a byte (bits counted from the low end)
 _PLACE = np.zeros((256, 8), np.int64)
@@ -161,10 +163,15 @@ class Trie:
 
     def find(self, contexts: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(value of the pair or -1, value of the context or -1); ``contexts`` in runs of equal ones."""
-        pair = np.full(len(contexts), -1, np.int64)
+        pair = np.full(len(contexts), -1, np.int32)
         context = pair.copy()
-        if not len(contexts) or not self.contexts.n:
-            return pair, context
+        if self.contexts.n:
+            for lo in range(0, len(contexts), QUERIES):       # a query's steps need some 100 bytes
+                some = slice(lo, lo + QUERIES)
+                self._find(contexts[some], successors[some], pair[some], context[some])
+        return pair, context
+
+    def _find(self, contexts: np.ndarray, successors: np.ndarray, pair: np.ndarray, context: np.ndarray) -> None:
         new = np.concatenate([[True], contexts[1:] != contexts[:-1]])
         run = np.cumsum(new) - 1
         at, known = self.contexts.successor(contexts[new].astype(np.uint64))
@@ -177,7 +184,6 @@ class Trie:
         same &= (place >= lo[r]) & (place < hi[r])
         pair[ours[same]] = self.values[place[same]]
         context[ours] = self.context_values[at[r]]
-        return pair, context
 
     def bytes(self) -> int:
         return sum(s.bytes() for s in (self.contexts, self.pointers, self.level)) + self.context_values.nbytes + self.values.nbytes

@@ -358,6 +358,7 @@ def _answer_triples(group: pa.Table) -> pa.Table:
     contexts = x[seen]
     begin = seen[np.concatenate([[True], contexts[1:] != contexts[:-1]])] if len(seen) else seen
     trie = Trie(contexts, w[seen], _code(MU / (cx[begin] + MU)), _code(p))
+    del seen, contexts, begin, p, count, first
     found, _ = trie.find(x, w)
     answer = np.where(found >= 0, found, np.minimum(_code(MU / (cx + MU)) + code, 65535))[place]
     answers = [pack(a) for a in np.split(answer, np.cumsum(lengths)[:-1])]
