@@ -54,7 +54,7 @@ MU = 2000.0
 DISCOUNT = 0.5
 STEP = 4096
 HELD_OUT = 10
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 16_000_000
 PART_BYTES = 2_000_000
 #: Input bytes per part of the model; one task holds one part.
 MODEL_PART_BYTES = 8 << 20
@@ -230,11 +230,14 @@ class Block:
         return {"first": a, "second": b, "n": learned, "part": (dealt % U64(parts)).astype(np.int64), "place": of_token}
 
 
-def _distinct(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a place of each distinct key in their order, number of each row's key, sum of the weights per key)."""
+def _distinct(key: np.ndarray, weight: np.ndarray, runs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each distinct key in their order, number of each row's key, sum of the weights per key).
+
+    ``runs``: the keys are sorted runs one after the other, which a merge sort takes as they are.
+    """
     if not len(key):
         return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
-    order = np.argsort(key)
+    order = np.argsort(key, kind="stable" if runs else None)
     ranked = key[order]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
     begin = np.flatnonzero(new)
@@ -347,10 +350,10 @@ def _answer_triples(group: pa.Table) -> pa.Table:
     w, n, code = (np.concatenate(x) for x in zip(*asked, strict=True))
     del heads, asked
     # contexts are ranked within the part; a context's count is the same in every message
-    head, rank, _ = _distinct(_joint(u, v), np.zeros(len(u), np.int64))
+    head, rank, _ = _distinct(_joint(u, v), np.zeros(len(u), np.int64), runs=True)
     of, x = c[head].astype(np.int64), np.repeat(rank, times)
     del u, v, c, times, rank, head
-    first, place, count = _distinct(_joint(x, w), n)
+    first, place, count = _distinct(_joint(x, w), n, runs=True)
     x, w, code = (a[first].astype(np.int64) for a in (x, w, code))          # distinct triples, in order
     seen = np.flatnonzero(count)
     cx = of[x]
@@ -394,7 +397,7 @@ def _answer_pairs(n_tokens: int, n_types: int):
         v, cv = (np.concatenate(c) for c in zip(*heads, strict=True))
         w, n, cw = (np.concatenate(c) for c in zip(*asked, strict=True))
         del heads, asked
-        first, place, count = _distinct(_joint(v, w), n)
+        first, place, count = _distinct(_joint(v, w), n, runs=True)
         v, w, cv, cw = (a[first].astype(np.int64) for a in (v, w, cv, cw))          # distinct pairs, in order
         seen = np.flatnonzero(count)
         p = (count[seen] + MU * unigram(cw[seen], n_tokens, n_types)) / (cv[seen] + MU)
