@@ -54,7 +54,7 @@ MU = 2000.0
 DISCOUNT = 0.5
 STEP = 4096
 HELD_OUT = 10
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 13_000_000
 PART_BYTES = 2_000_000
 #: Input bytes per part of the model; one task holds one part.
 MODEL_PART_BYTES = 8 << 20
