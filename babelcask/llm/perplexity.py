@@ -2,7 +2,7 @@
 
 A modified Kneser-Ney model per language (``char_kn``) is counted over every
 document of that language; a document's score is the mean negative log
-probability per word (``log_perplexity``) under its own language's model.  Upper and lower bands are the language's median -/+ ``BAND`` robust
+probability per word (``log_perplexity``) under its own language's model, whose grams cross word borders.  Upper and lower bands are the language's median -/+ ``BAND`` robust
 standard deviations (1.4826 times the median absolute deviation, of at least ``LEAST_MAD``), over its
 documents of at least 50 words.  There, documents with one sketch (the least hash of their 3-word
 windows) count once, with their median: exact copies always, near copies nearly
@@ -109,12 +109,10 @@ def _scorer(langs: dict[str, int], model):
             base = base_counts(w, part.column("text").to_pylist())
             if arrays is not None and len(w.starts):
                 codes = K.class_codes(part.column("lang"), langs)[w.owner()]
-                at, _, group = K.distinct_words(w, w.hashes(), codes)
-                window, length, per = K.word_grams(w.data, w.starts[at], w.ends[at])
-                cls = np.repeat(codes[at], per)
-                one, gram = K.distinct_grams(window, length, cls)
-                logp = arrays.log_prob(window[one], length[one], cls[one])[gram]
-                of_word = np.add.reduceat(logp, np.cumsum(per) - per)[group]
+                p = K.pieces(w, codes)
+                cls = codes[p.word][p.owner]
+                one, gram = K.distinct_grams(p.window, p.length, cls)
+                of_word = p.of_words(arrays.log_prob(p.window[one], p.length[one], cls[one])[gram])
                 total = np.concatenate([[0.0], np.cumsum(of_word)])
                 log_prob = total[w.rows[1:]] - total[w.rows[:-1]]
             else:
@@ -127,26 +125,30 @@ def _scorer(langs: dict[str, int], model):
 
 def _joined_scores(texts: DataFrame, codes: DataFrame, model: DataFrame) -> DataFrame:
     """(row, log_prob) by joins: the way for a model too large to hand out."""
-    each = (texts.join(codes, "lang").select("row", "cls", F.explode(
-        F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("word"))
-        .groupBy("row", "cls", "word").agg(F.count("*").alias("n")))
-    known = K.word_log_probs(each.select("cls", "word").distinct(), model)
-    return each.join(known, ["cls", "word"]).groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("log_prob"))
+    each = (texts.join(codes, "lang").select("row", "cls", "text")
+            .mapInArrow(K.speller(["row", "cls"], lower=False), "row long, cls long, at long, b binary, skip int")
+            .groupBy("row", "cls", "b", "skip").agg(F.count("*").alias("n")))
+    known = K.piece_log_probs(each.select("cls", "b", "skip").distinct(), model)
+    return (each.join(known, ["cls", "b", "skip"]).groupBy("row")
+            .agg(F.sum(F.col("n") * F.col("logp")).alias("log_prob")))
 
 
-def score(docs: DataFrame, local_rows: int = K.MAX_LOCAL_ROWS) -> DataFrame:
+def score(docs: DataFrame, local_rows: int = K.MAX_LOCAL_ROWS, corpus: DataFrame | None = None) -> DataFrame:
     """Base columns, ``log_perplexity``, the language's bands and the verdict for every document.
 
-    ``docs(doc_id, text, lang)``; ``local_rows``: a larger model is joined instead of handed out.
+    ``docs(doc_id, text, lang)``; ``local_rows``: a larger model is joined instead of handed out; ``corpus(text, lang)``:
+    what the models learn from, if not ``docs`` (a language it lacks has 256 equally likely bytes).
     """
     spark = docs.sparkSession
     stage = Staging(spark, "perplexity")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit(NO_LANG)).alias("lang"))
     # one row per language of the corpus; the driver needs their numbering only
-    langs = {r.lang: i for i, r in enumerate(texts.select("lang").distinct().orderBy("lang").collect())}
-    full = stage.write(texts.select("text", "lang").mapInArrow(_counter(langs), "cls long, g long, c long")
+    learnt = texts if corpus is None else corpus.select("text", F.coalesce("lang", F.lit(NO_LANG)).alias("lang"))
+    seen = texts.select("lang") if corpus is None else texts.select("lang").union(learnt.select("lang"))
+    langs = {r.lang: i for i, r in enumerate(seen.distinct().orderBy("lang").collect())}
+    full = stage.write(learnt.select("text", "lang").mapInArrow(_counter(langs), "cls long, g long, c long")
                        .groupBy("cls", "g").agg(F.sum("c").alias("c")), "grams")
-    model = K.fit(full, stage, "kn")
+    model = K.fit(full, stage, "kn", len(langs))
     local = K.local_model(model, local_rows)
     if local is not None:
         handed = spark.sparkContext.broadcast(local)

@@ -3,7 +3,8 @@
 The labelled training rows count two classes, toxic and ordinary, in one
 ``char_kn.fit_shared`` model: each class discounts its own top-level counts
 and backs off to the counts of both together, so a rare expression that
-neither class has seen often enough scores alike under both.  A word's
+neither class has seen often enough scores alike under both.  Grams cross word
+borders, so expressions of several words have counts of their own.  A word's
 evidence is the difference of its log-likelihoods under the two classes.
 
 A text has two length-normalised features: the mean evidence per word of the
@@ -100,11 +101,9 @@ def _featurer(model):
         arrays = K.HashArrays(model.value)
         for batch, first, last, w in K.rows_of(batches, lower=True):
             if len(w.starts):
-                at, _, group = K.distinct_words(w, w.hashes())
-                window, length, per = K.word_grams(w.data, w.starts[at], w.ends[at])
-                one, gram = K.distinct_grams(window, length)
-                ratio = evidence(arrays, window[one], length[one])[gram]
-                mean, peak = features(w, np.add.reduceat(ratio, np.cumsum(per) - per)[group])
+                p = K.pieces(w)
+                one, gram = K.distinct_grams(p.window, p.length)
+                mean, peak = features(w, p.of_words(evidence(arrays, p.window[one], p.length[one])[gram]))
             else:
                 mean = peak = np.zeros(last - first)
             yield pa.RecordBatch.from_arrays(
@@ -116,16 +115,14 @@ def _featurer(model):
 def _joined_features(texts: DataFrame, model: DataFrame) -> DataFrame:
     """The same features by joins, for a model too large to hand out."""
     numbered = texts.withColumn("row", F.monotonically_increasing_id())
-    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = numbered.select("row", F.posexplode(F.regexp_extract_all(
-        lowered, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("at", "word"))
-    spelled = (words.select("word").distinct().withColumn("b", F.encode(F.concat(F.lit(" "), "word", F.lit(" ")), "utf-8"))
-               .select("word", "b", F.explode(F.sequence(F.lit(2), F.octet_length("b"))).alias("i"))
+    words = (numbered.select("row", "text")
+             .mapInArrow(K.speller(["row"], lower=True), "row long, at long, b binary, skip int"))
+    spelled = (K.predictions_of(words.select("b", "skip").distinct())
                .withColumn("n", F.least(F.lit(K.ORDER), F.col("i"))))
     number = lambda part: F.conv(F.hex(part), 16, 10).cast("long")
     size = F.col("n").cast("long")
     grams = spelled.select(
-        "word", F.shiftleft(size, 40).bitwiseOR(number(F.substring("b", F.col("i") - F.col("n") + 1, F.col("n")))).alias("g"),
+        "b", "skip", F.shiftleft(size, 40).bitwiseOR(number(F.substring("b", F.col("i") - F.col("n") + 1, F.col("n")))).alias("g"),
         F.shiftleft(size - 1, 40).bitwiseOR(number(F.substring("b", F.col("i") - F.col("n") + 1, F.col("n") - 1))).alias("h"))
     # a pooled probability per gram: the gram's bytes scored as one prediction
     distinct = grams.select("g", "h").distinct()
@@ -151,8 +148,8 @@ def _joined_features(texts: DataFrame, model: DataFrame) -> DataFrame:
         "bows", F.lit(0.0), lambda s, x: s + F.when(x["k"] > top, x["bow"]).otherwise(0.0)))
     side = lambda c: F.ln(F.coalesce(f"s{c}", F.lit(0.0)) + F.coalesce(f"b{c}", F.lit(1.0)) * q)
     of_gram = steps.select("g", (side(TOXIC) - side(ORDINARY)).alias("e"))
-    of_word = grams.join(of_gram, "g").groupBy("word").agg(F.sum("e").alias("e"))
-    per_doc = (words.join(of_word, "word").groupBy("row")
+    of_piece = grams.join(of_gram, "g").groupBy("b", "skip").agg(F.sum("e").alias("e"))
+    per_doc = (words.join(of_piece, ["b", "skip"]).groupBy("row", "at").agg(F.sum("e").alias("e")).groupBy("row")
                .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "e"))), lambda x: x["e"]).alias("es")))
     return (numbered.join(per_doc, "row", "left")
             .select("doc_id", F.coalesce("es", F.array().cast("array<double>")).alias("es"))
@@ -202,7 +199,7 @@ def score(docs: DataFrame, labels: DataFrame, local_rows: int = K.MAX_LOCAL_ROWS
     counted = (chosen.join(known.hint("shuffle_hash"), "doc_id").select("text", "toxic")
                .mapInArrow(_counter, "cls long, g long, c long").groupBy("cls", "g").agg(F.sum("c").alias("c")))
     full = stage.write(counted, "grams")
-    model = K.fit_shared(full, stage, "kn")
+    model = K.fit_shared(full, stage, "kn", 2)
     local = K.local_model(model, local_rows)
     if local is not None:
         featured = texts.mapInArrow(_featurer(spark.sparkContext.broadcast(local)), FEATURES)
