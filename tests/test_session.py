@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from babelcask import session
-from babelcask.plans import cascade
+from babelcask.plans import cascade, catalog
 from babelcask.session import shuffle_partitions, work_partitions
 
 SMALL = "/root/testdata/sf0.001"
@@ -42,3 +42,14 @@ def test_count_table_has_buckets_by_text_size(spark, scratch, monkeypatch):
     buckets = {int(m.group(1)) for m in files if m}
     assert max(buckets) < 400 * 240 // 4000 and len(buckets) > 20      # 24 buckets, perhaps not all with rows
     assert cp.features.agg(F.sum("n")).first()[0] == 400 * 20 * (1 + 3 + 5)     # grams of <a>, <few>, <words>
+
+
+def test_prediction_has_parts_by_text_size(spark, monkeypatch):
+    m = catalog.cascade_model(spark, SMALL)
+    monkeypatch.setattr(session, "PART_TEXT_BYTES", 4000, raising=False)
+    out = cascade.predict(m, _alike(spark, 400, "a few words " * 20))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"RepartitionByExpression \[doc_id#\d+L?\], 24\b", plan)
+    assert out.count() == 400 and out.select("predicted_language", "predicted_sentiment").distinct().count() == 1
+    empty = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert cascade.predict(m, empty).count() == 2
