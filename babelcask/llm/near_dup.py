@@ -22,8 +22,9 @@ the members that are in other components than a random member of their key
 with that member, as long as rounds find links and the pairs left over (same
 key, different components) outnumber the members ``LEFT_OVER`` times.
 
-What is left over then is found by the members' differences from their key's
-hub ``H``, ``dX = (X - H) | (H - X)``.  A link is ``9 * |A ^ B| <= |A| + |B|`` (``^``:
+What is left over then is found by the members' differences from a hub ``H``,
+``dX = (X - H) | (H - X)``; open keys that share a member share one hub, so each
+member has one and its differences are made once.  A link is ``9 * |A ^ B| <= |A| + |B|`` (``^``:
 in one of both), and ``|A ^ B| = |dA| + |dB| - 2 |dA & dB|``, so linked members
 share at least ``t = (|dA| + |dB| - (|A| + |B|) / 9) / 2`` elements of their
 differences; t is above 0 whenever one of them is not linked with H (two that
@@ -248,6 +249,23 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _with_sets(pairs, sets).select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long")
 
 
+def _at_hubs(rest: DataFrame, grouped: DataFrame, info: DataFrame, stage: Staging) -> DataFrame:
+    """``rest(key, rep, comp)`` -> (hub, rep, comp): every member once, at the one hub of all it may be linked with.
+
+    Open keys that share a member share a hub, so members of one key have the
+    same one, and a member's differences are made once, not once per key's hub.
+    """
+    ties = (rest.join(grouped.select("key", "hub").distinct(), "key").filter("rep <> hub")
+            .select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+    named = components(ties, stage, "hubs").select(F.col("a").alias("rep"), F.col("b").alias("name"))
+    members = (rest.select("rep", "comp").distinct().join(named, "rep", "left")
+               .select("rep", "comp", F.coalesce("name", "rep").alias("name")))
+    hubs = (members.join(info, "rep").groupBy("name")
+            .agg(F.min(F.struct((F.col("lone") / F.col("n")).alias("odd"), "rep")).alias("hub"))
+            .select("name", F.col("hub.rep").alias("hub")))
+    return members.join(hubs, "name").select("hub", "rep", "comp")
+
+
 def _meeting(open_members: DataFrame, sets: DataFrame, stage: Staging) -> tuple[DataFrame, DataFrame]:
     """``open_members(hub, rep, comp)`` -> (links with the hubs, pairs of members that may be linked): see above."""
     both = _with_sets(open_members.select(F.col("rep").alias("a"), F.col("hub").alias("b"), "comp"), sets)
@@ -333,10 +351,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = (grouped.filter("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
              .distinct())
     links1 = stage.write(_links(_likely(first, packed), sets), "links1")
-    links, found, turn = links1, True, 0
+    comp, turn = components(links1, stage, "round1"), 1
     while True:
-        turn += 1
-        comp = components(links, stage, f"round{turn}")
         named = (grouped.join(comp.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left")
                  .select("key", "rep", F.coalesce("c", "rep").alias("comp")))
         open_keys = (named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
@@ -345,7 +361,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         groups = stage.write(rest.groupBy("key", "comp").agg(F.count("*").cast("double").alias("n")), f"groups{turn}")
         members, left_over = (groups.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
                               .agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first())
-        if not found or (left_over or 0) <= LEFT_OVER * (members or 0):
+        if (left_over or 0) <= LEFT_OVER * (members or 0):
             break
         # a random member of every open key against the members in other components
         pick = rest.groupBy("key").agg(F.min(F.struct(
@@ -353,17 +369,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = (rest.join(pick, "key").filter("comp <> p.at")
                  .select(F.least("rep", "p.hub").alias("a"), F.greatest("rep", "p.hub").alias("b")).distinct())
         more = stage.write(_links(_likely(pairs, packed), sets), f"more{turn}")
-        found = not is_empty(more)
-        links = links.union(more)
-    at_hubs = rest.join(grouped.select("key", "hub").distinct(), "key").select("hub", "rep", "comp").distinct()
-    direct, second = _meeting(stage.write(at_hubs, "at_hubs"), sets, stage)
-    links = links.union(direct).union(stage.write(_links(_likely(second, packed), sets), "links2"))
+        if is_empty(more):      # the components stay, and so does what is left over
+            break
+        turn += 1
+        comp = components(comp.union(more), stage, f"round{turn}")
+    more = comp.limit(0)
+    if members:
+        direct, second = _meeting(stage.write(_at_hubs(rest, grouped, info, stage), "at_hubs"), sets, stage)
+        more = direct.union(stage.write(_links(_likely(second, packed), sets), "links2"))
     # a doc_id with several texts is one document: it ties the nodes of its texts
     nodes = member.filter("rep IS NOT NULL")
     several = nodes.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y")
     tied = nodes.join(several, "doc_id").select(F.col("x").alias("a"), F.col("rep").alias("b"))
-    comp = stage.write(components(links.union(tied), stage, "all")
-                       .select(F.col("a").alias("rep"), F.col("b").alias("root")), "roots")
+    more = stage.write(more.union(tied), "last")
+    if not is_empty(more):
+        comp = components(comp.union(more), stage, "all")
+    comp = comp.select(F.col("a").alias("rep"), F.col("b").alias("root"))
     # a component is named by the least document of its nodes
     rooted = (classes.select("rep", "doc").join(comp, "rep", "left")
               .select("rep", "doc", F.coalesce("root", "rep").alias("root")))

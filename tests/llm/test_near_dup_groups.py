@@ -36,6 +36,38 @@ def test_large_group_of_unlinked_near_copies(spark, monkeypatch, left_over):
     assert classes(spark, rows) == brute.near_duplicate_classes(rows)
 
 
+def test_a_member_has_one_hub(spark, monkeypatch):
+    """Differences are made once per member that is left over, however many hubs its band keys have."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(words) for _ in range(150)]
+
+    def changed(text, n):
+        text = list(text)
+        for _ in range(n):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        return text
+    rows = [(i, " ".join(changed(base, rng.choice([0, 2, 4, 6])))) for i in range(100)]
+    for f in range(40):
+        far = changed(base, 10)
+        rows += [(1000 + 10 * f + m, " ".join(changed(far, m))) for m in range(3)]
+    seen, write = {}, near_dup.Staging.write
+
+    def kept(stage, df, name):
+        seen[name] = write(stage, df, name)
+        return seen[name]
+    monkeypatch.setattr(near_dup.Staging, "write", kept)
+    monkeypatch.setattr(near_dup, "LEFT_OVER", 1e9)
+    assert classes(spark, rows) == brute.near_duplicate_classes(rows)
+    members = [r["rep"] for r in seen["at_hubs"].collect()]
+    assert len(members) == len(set(members)) and len(members) > 50
+    hub = {r["rep"]: r["hub"] for r in seen["at_hubs"].collect()}
+    by_key = {}
+    for r in seen["rest1"].collect():
+        by_key.setdefault(r["key"], set()).add(hub[r["rep"]])
+    assert all(len(h) == 1 for h in by_key.values())      # members of one key meet
+
+
 def test_an_id_with_several_texts_keeps_its_links(spark):
     w = [f"a{i}" for i in range(300)]
     rows = [(9, w[:100]), (5, w[:95]), (5, w[100:260]), (7, []), (7, w[100:255]), (8, None), (None, w[:100]), (11, [])]
