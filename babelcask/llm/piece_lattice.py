@@ -50,7 +50,7 @@ from pyspark.sql import types as T_
 
 from babelcask.llm import tokens as T
 from babelcask.llm.numpack import halves, joined, pack, unpack
-from babelcask.llm.work import Staging, bucketed
+from babelcask.llm.work import Staging, bucketed, release_memory, releasing
 from babelcask.session import shuffle_partitions
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -242,6 +242,7 @@ def _distinct_names(messages: list[bytes]) -> tuple[list[str], list[np.ndarray]]
 
 def _units_of(group: pa.Table) -> pa.Table:
     units, _ = _distinct_names(group.column("asked").to_pylist())
+    release_memory()        # the lattice that reads the units runs in the JVM, beside idle workers
     return pa.Table.from_arrays(
         [pa.array([group.column("part")[0].as_py()] * len(units), pa.int32()), pa.array(np.arange(len(units), dtype=np.int32)),
          pa.array(units, pa.string())], names=["of_part", "number", "unit"])
@@ -451,10 +452,10 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     stage = Staging(spark, "pieces")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     least = max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
-    blocks = bucketed(texts.mapInArrow(_make_blocks(pieces.neighbours()), BLOCK), "block", stage.root, least)
+    blocks = bucketed(texts.mapInArrow(releasing(_make_blocks(pieces.neighbours())), BLOCK), "block", stage.root, least)
     # every block's distinct units counted once bound the distinct units from above
     parts = max(least, -(-int(blocks.agg(F.sum("n_names")).first()[0] or 0) // (4 * PART_UNITS)))
-    asked = blocks.select("block", "names").mapInArrow(_ask(parts), ASKED)
+    asked = blocks.select("block", "names").mapInArrow(releasing(_ask(parts)), ASKED)
     units = bucketed(asked.groupBy("part").applyInArrow(_units_of, "of_part int, number int, unit string"),
                      "of_part", stage.root, parts)
     paths = bucketed(segment(units, pieces, ["of_part", "number"]), "of_part", stage.root, parts)

@@ -1,8 +1,13 @@
 """Unbroken runs of letters: the windows change nothing, and the cost is linear."""
 
+import os
 import random
+import subprocess
+import sys
 import time
 
+import pyarrow as pa
+
 from babelcask.llm import piece_lattice as P
 
 
@@ -38,3 +43,35 @@ def test_a_million_letters_cost_their_length(spark):
         spent.append(time.time() - start)
         assert row["round_trip"] and row["n_pieces"] > n / 4
     assert spent[2] - spent[0] < 25 * max(1.0, spent[1] - spent[0]) + 10
+
+
+def test_a_task_that_makes_blocks_gives_its_memory_back(scratch):
+    """What a worker keeps after a task (a process of its own here, as a worker is): not the memory of its arrays."""
+    rng = random.Random(3)
+    words = [run_of(rng.randint(2, 9), i) for i in range(5000)]
+    texts = [" ".join(rng.choices(words, k=350)) for _ in range(8000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    with pa.OSFile(f"{scratch}/docs", "wb") as sink, pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    code = f"""
+import re
+import numpy as np
+import pyarrow as pa
+from babelcask.llm import piece_lattice as P
+def held():
+    return sum(map(int, re.findall("Pss_(?:Anon|Shmem): +([0-9]+)", open("/proc/self/smaps_rollup").read()))) >> 10
+joins = np.zeros((256, 256), bool)
+joins[33:, 33:] = joins[32, 33:] = True
+def batches():
+    with open("{scratch}/docs", "rb") as f:
+        yield from pa.ipc.open_stream(f)
+before, n = held(), 0
+run = P.releasing(P._make_blocks(joins))
+for b in run(batches()):
+    n += b.num_rows
+    del b
+print(n, held() - before)
+"""
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    blocks, kept = map(int, subprocess.run([sys.executable, "-c", code], cwd=here, capture_output=True, text=True, check=True).stdout.split())
+    assert blocks > 1 and kept < 60
